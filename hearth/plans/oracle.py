@@ -149,3 +149,77 @@ def rounded_outer(inner: str, cols: list[str], doubles: set[str], scale: int = 4
     overrides = overrides or {}
     parts = [f"{rnd(c, overrides.get(c, scale))} AS {c}" if c in doubles else c for c in cols]
     return f"SELECT {', '.join(parts)} FROM ({inner}) _q"
+
+
+# --- market panel (JN-1..4, PRJ-5..7) ----------------------------------------------------------------------------
+
+def _state_volume(panel: str, label: str) -> str:
+    return (f"SELECT StateName, Date, avg(Value) AS State_{label}_Mean, sum(Value) AS State_{label}_Total "
+            f"FROM {panel} WHERE StateName IS NOT NULL AND Date IS NOT NULL GROUP BY StateName, Date")
+
+
+MARKET_BODY = f"""
+m0 AS (
+  SELECT h.*, r.Value AS Rent,
+         h.Value / nullif(r.Value * 12.0, 0) AS PriceToRentRatio,
+         (r.Value * 12.0) / 70000.0 AS RentAffordabilityRatio,
+         h.Value - (r.Value * 12.0) * 20.0 AS PriceRentSpread,
+         si.State_Inventory_Mean, si.State_Inventory_Total, ss.State_Sales_Mean, ss.State_Sales_Total,
+         si.State_Inventory_Total / nullif(ss.State_Sales_Total, 0) AS MonthsOfSupply,
+         ss.State_Sales_Total / nullif(si.State_Inventory_Total, 0) AS MarketLiquidity
+  FROM home h
+  LEFT JOIN rent r ON h.RegionName IS NOT DISTINCT FROM r.RegionName AND h.Date IS NOT DISTINCT FROM r.Date
+  LEFT JOIN ({_state_volume('inventory', 'Inventory')}) si ON h.StateName = si.StateName AND h.Date = si.Date
+  LEFT JOIN ({_state_volume('sales', 'Sales')}) ss ON h.StateName = ss.StateName AND h.Date = ss.Date
+),
+nat AS (
+  SELECT Date, avg(Value) AS National_mean, median(Value) AS National_median, stddev_samp(Value) AS National_std
+  FROM m0 WHERE Date IS NOT NULL GROUP BY Date
+),
+market AS (
+  SELECT m0.*, nat.National_mean, nat.National_median, nat.National_std,
+         m0.Value / nullif(nat.National_mean, 0) AS ValueVsNational,
+         m0.Value / nullif(nat.National_median, 0) AS ValueVsNationalMedian
+  FROM m0 LEFT JOIN nat ON m0.Date = nat.Date
+)"""
+
+MARKET_COLS = ["Rent", "PriceToRentRatio", "RentAffordabilityRatio", "PriceRentSpread", "State_Inventory_Mean",
+               "State_Inventory_Total", "State_Sales_Mean", "State_Sales_Total", "MonthsOfSupply", "MarketLiquidity",
+               "National_mean", "National_median", "National_std", "ValueVsNational", "ValueVsNationalMedian"]
+
+
+def with_market(body: str) -> str:
+    ctes = ",\n".join(f"{n} AS ({PANEL_SQL[n]})" for n in ("home", "rent", "inventory", "sales"))
+    return f"WITH {ctes},\n{MARKET_BODY}\n{body}"
+
+
+# --- geographic (JN-5/6, WIN-9/10) over a CTE named `src` ---------------------------------------------------------
+
+def geo_body(src: str) -> str:
+    """CTEs g1 (state/metro stats), geo (ranks) over the rows of ``src``."""
+    def stats(key: str, p: str) -> str:
+        return (f"SELECT {key}, avg(Value) AS {p}_mean, median(Value) AS {p}_median, stddev_samp(Value) AS {p}_std, "
+                f"CAST(count(Value) AS DOUBLE) AS {p}_count FROM {src} WHERE {key} IS NOT NULL GROUP BY {key}")
+    return f"""
+g1 AS (
+  SELECT s.*, st.State_mean, st.State_median, st.State_std, st.State_count,
+         mt.Metro_mean, mt.Metro_median, mt.Metro_std, mt.Metro_count
+  FROM {src} s
+  LEFT JOIN ({stats('StateName', 'State')}) st ON s.StateName = st.StateName
+  LEFT JOIN ({stats('Metro', 'Metro')}) mt ON s.Metro = mt.Metro
+),
+geo AS (
+  SELECT g1.*,
+    CASE WHEN State_count IS NOT NULL AND Date IS NOT NULL THEN
+      rank() OVER (PARTITION BY Date, State_count IS NULL ORDER BY State_count DESC) - 1
+      + (count(*) OVER (PARTITION BY Date, State_count) + 1) / 2.0 END AS StateRank,
+    CASE WHEN StateName IS NOT NULL AND Value IS NOT NULL THEN
+      (rank() OVER (PARTITION BY StateName, Date, Value IS NULL ORDER BY Value) - 1
+       + (count(*) OVER (PARTITION BY StateName, Date, Value) + 1) / 2.0)
+      / count(Value) OVER (PARTITION BY StateName, Date) END AS ValueRankInState
+  FROM g1
+)"""
+
+
+GEO_COLS = ["State_mean", "State_median", "State_std", "State_count", "Metro_mean", "Metro_median", "Metro_std",
+            "Metro_count", "StateRank", "ValueRankInState"]

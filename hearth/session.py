@@ -25,6 +25,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("HEARTH_DRIVER_MEMORY", "16g"))
