@@ -132,6 +132,7 @@ def exact_quantiles(
     value_col: str,
     probs: Mapping[str, float],
     num_partitions: int | None = None,
+    extras: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group (pandas ``quantile``, Spark
     ``percentile``, DuckDB ``quantile_cont``): one row per group with a column per
@@ -150,8 +151,10 @@ def exact_quantiles(
             F.max(F.when((start <= hi) & (hi < stop), v)).alias(f"_{name}_hi"),
             F.max(pos - lo.cast("double")).alias(f"_{name}_t"),
         ]
+    if extras:  # exact count / min / max from the same distinct-value table
+        aggs += [F.sum("_n").alias("_count"), F.min(v).alias("_min"), F.max(v).alias("_max")]
     agg = pc.groupBy(*group_cols).agg(*aggs)
-    outs = []
+    outs = [F.col(c) for c in ("_count", "_min", "_max")] if extras else []
     for name in probs:
         a, b, t = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_t")
         outs.append((a + (b - a) * t).alias(name))
