@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.operators.order_stats import group_stats, with_average_rank
+from hearth.operators.order_stats import average_rank_table, group_stats, with_average_rank
 from hearth.session import checkpoint_root
 
 STAT_NAMES = ("mean", "median", "std", "count")
@@ -29,10 +29,29 @@ def join_state_stats(df: DataFrame, key: str = "StateName", prefix: str = "State
     return df.join(stats, [key], "left").withColumn(cnt, F.col(cnt).cast("double"))
 
 
+def state_rank_table(df: DataFrame, key: str = "StateName", date: str = "Date") -> DataFrame:
+    """WIN-9 as a (Date, StateName) -> StateRank table.
+
+    State_count is the state's row count over all dates, repeated on each of its
+    rows; per date the rows are ranked by it, descending, ties averaged. That rank
+    only depends on how many rows each state has per date, so it is computed on
+    the (date, state) count table -- #dates x #states rows -- never on the rows."""
+    from pyspark.sql import Window
+    per = df.where(F.col(key).isNotNull() & F.col(date).isNotNull()).groupBy(date, key).agg(
+        F.count(F.lit(1)).alias("_n"))
+    per = per.withColumn("State_count", F.sum("_n").over(Window.partitionBy(key)).cast("double"))
+    by_count = per.groupBy(date, "State_count").agg(F.sum("_n").alias("_tie"))
+    w = Window.partitionBy(date).orderBy(F.col("State_count").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = by_count.withColumn("_before", F.coalesce(F.sum("_tie").over(w), F.lit(0))).select(
+        date, "State_count",
+        (F.col("_before").cast("double") + (F.col("_tie").cast("double") + F.lit(1.0)) / F.lit(2.0)).alias("StateRank"))
+    return per.join(ranks, [date, "State_count"]).select(date, key, "StateRank")
+
+
 def with_state_rank(df: DataFrame) -> DataFrame:
     """WIN-9: average-tie descending rank of State_count among the rows of each date
     (rows, not states, are ranked -- the reference's behaviour)."""
-    return with_average_rank(df, ["Date"], "State_count", ascending=False, out="StateRank")
+    return df.join(state_rank_table(df), ["Date", "StateName"], "left")
 
 
 def with_value_rank_in_state(df: DataFrame) -> DataFrame:
@@ -83,14 +102,21 @@ def geo_clusters(df: DataFrame, region: str = "RegionName", value: str = "Value"
 
 
 def geographic_features(df: DataFrame, cluster_k: int | None = None) -> DataFrame:
-    """The reference's ``create_geographic_features``."""
-    df = join_state_stats(df, "StateName", "State_")
+    """The reference's ``create_geographic_features``.
+
+    Every statistics and rank table is derived from the same input rows and
+    joined back once (each of them is small -- states, metros, dates x states --
+    except the value-rank table, which AQE joins by size)."""
+    out = df.join(state_stats(df, "StateName", prefix="State_"), ["StateName"], "left")
+    out = out.withColumn("State_count", F.col("State_count").cast("double"))
     if "Metro" in df.columns:
-        df = join_state_stats(df, "Metro", "Metro_")
-    df = with_state_rank(df)
-    df = with_value_rank_in_state(df)
+        out = out.join(state_stats(df, "Metro", prefix="Metro_"), ["Metro"], "left")
+        out = out.withColumn("Metro_count", F.col("Metro_count").cast("double"))
+    out = out.join(state_rank_table(df), ["Date", "StateName"], "left")
+    vr = average_rank_table(df, ["StateName", "Date"], "Value", pct=True, out="ValueRankInState")
+    out = out.join(vr, ["StateName", "Date", "Value"], "left")
     clusters = geo_clusters(df, k=cluster_k)
     if clusters is not None:
-        df = df.join(clusters, ["RegionName"], "left").withColumn(
+        out = out.join(clusters, ["RegionName"], "left").withColumn(
             "GeographicCluster", F.coalesce(F.col("Cluster"), F.lit(-1)).cast("int")).drop("Cluster")
-    return df
+    return out

@@ -10,12 +10,14 @@ then share one exchange and one sort. The output columns keep the reference's or
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hearth.operators import geographic as geo
 from hearth.operators import market as mk
 from hearth.operators import targets as tg
 from hearth.operators import temporal as tm
 from hearth.schema import LONG_SCHEMA
+from hearth.session import checkpoint_root
 from hearth.sources import panels as P
 
 MARKET_COLUMNS = ["Rent", "PriceToRentRatio", "RentAffordabilityRatio", "PriceRentSpread", "State_Inventory_Mean",
@@ -34,10 +36,21 @@ def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
                            P.inventory_panel(spark, sf_dir), P.sales_panel(spark, sf_dir))
 
 
-def build_features(market: DataFrame, cluster_k: int | None = None) -> DataFrame:
-    """Feature table from any market-shaped long panel."""
+def build_features(market: DataFrame, cluster_k: int | None = None, materialize: bool = True) -> DataFrame:
+    """Feature table from any market-shaped long panel.
+
+    The market panel feeds five branches (state and metro statistics, two rank
+    tables, the cluster profiles) and the main window pass, so it is
+    materialized once to the shared checkpoint folder: each branch reads it back
+    instead of re-running the lineitem aggregations, the plan stays small, and a
+    lost executor re-reads it instead of recomputing the lineage."""
+    if materialize:
+        checkpoint_root(market.sparkSession)
+        market = market.checkpoint(eager=True)
     g = geo.geographic_features(market, cluster_k=cluster_k)
-    t = tm.temporal_features(g)
+    # same rows as the market panel: take the global date bounds from the narrow base
+    bounds = (market.select(F.min("Date")).scalar(), market.select(F.max("Date")).scalar())
+    t = tm.temporal_features(g, bounds=bounds)
     t = tg.with_targets(t)
     return t.select(*[c for c in FEATURE_TABLE_COLUMNS if c in t.columns])
 
