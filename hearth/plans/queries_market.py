@@ -141,7 +141,7 @@ def _calendar_sql():
             "ELSE 'post_covid' END AS MarketEra")
 
 
-def feature_table_sql(where: str = "") -> str:
+def feature_table_sql(where: str = "", rounded: bool = True) -> str:
     f = {n: O.frame(n) for n in (3, 12, 24)}
     derived = [
         ("Value_momentum_short", f"avg(Value) OVER {f[3]} / nullif(avg(Value) OVER {f[12]}, 0)"),
@@ -157,7 +157,7 @@ def feature_table_sql(where: str = "") -> str:
             f"t1 AS (SELECT t0.*, CAST({cluster} AS INTEGER) AS GeographicCluster,\n  "
             + ",\n  ".join(f"{e} AS {n}" for n, e in win) + "\nFROM t0)\n")
     cols = FEATURE_TABLE_COLUMNS
-    doubles = _feature_doubles(cols)
+    doubles = _feature_doubles(cols) if rounded else set()
     sel = ", ".join(f"{O.rnd(c)} AS {c}" if c in doubles else c for c in cols)
     return O.with_market(body + f"SELECT {sel} FROM t1 {where}")
 

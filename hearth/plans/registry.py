@@ -44,5 +44,5 @@ def register(name: str, sql: str | None = None, scale: int = 4, overrides: dict[
 
 def load_all() -> dict[str, Query]:
     """Import every module that registers queries."""
-    from hearth.plans import queries_core, queries_market, queries_profile  # noqa: F401
+    from hearth.plans import queries_core, queries_market, queries_profile, queries_training  # noqa: F401
     return REGISTRY
