@@ -155,3 +155,40 @@ def dirty_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         date_txt.alias("Date"), value_txt.alias("Value"), "Dataset", "GeographyLevel")
     dup = txt.where(((F.col("RegionID") % 7) == 0) & (F.substring("Date", 6, 2) == "03"))
     return txt.unionByName(dup)
+
+
+# Fixed derivation of the scoring-request table from customer (FIXTURES.md section 2).
+SEGMENT_PROPERTY_TYPES = (("AUTOMOBILE", "SingleFamily"), ("BUILDING", "Condo"), ("FURNITURE", "Townhouse"),
+                          ("HOUSEHOLD", "MultiFamily"))
+UNKNOWN_PROPERTY_TYPE = "Mobile"
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valuation requests, one per customer, with deterministic defects: 4-digit
+    ZIPs, lower-case and unknown states, low or negative values, missing rents."""
+    from hearth.operators.scoring import US_STATES
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    key = F.col("c_custkey")
+    zip5 = F.lpad(key.cast("string"), 5, "0")
+    code = F.element_at(F.array(*[F.lit(s) for s in US_STATES[:25]]), (F.col("c_nationkey") % 25 + 1).cast("int"))
+    value = F.col("c_acctbal") * F.lit(250)
+    ptype = F.coalesce(*[F.when(F.col("c_mktsegment") == s, F.lit(t)) for s, t in SEGMENT_PROPERTY_TYPES],
+                       F.lit(UNKNOWN_PROPERTY_TYPE))
+    return c.select(
+        key.alias("request_id"),
+        F.when(key % 17 == 0, F.substring(zip5, 2, 4)).otherwise(zip5).alias("zip_code"),
+        F.when(key % 23 == 0, F.lit("ZZ")).when(key % 5 == 0, F.lower(code)).otherwise(code).alias("state"),
+        value.cast("double").alias("current_value"),
+        ptype.alias("property_type"),
+        F.when(key % 3 == 0, F.lit(None).cast("double")).otherwise(
+            value / (F.lit(12) * (F.lit(5) + key % 30))).cast("double").alias("recent_rent"),
+    )
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The service's request log from events: ts as a UTC timestamp, client,
+    kind (purchase = prediction, error = error, rest = other)."""
+    e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("client"),
+                    F.when(F.col("event_type") == "purchase", F.lit("prediction"))
+                    .when(F.col("event_type") == "error", F.lit("error")).otherwise(F.lit("other")).alias("kind"))
