@@ -166,8 +166,13 @@ UNKNOWN_PROPERTY_TYPE = "Mobile"
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valuation requests, one per customer, with deterministic defects: 4-digit
     ZIPs, lower-case and unknown states, low or negative values, missing rents."""
-    from hearth.operators.scoring import US_STATES
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    return requests_from_customer(c)
+
+
+def requests_from_customer(c: DataFrame) -> DataFrame:
+    """Row-wise derivation, so it applies to a batch or a streaming customer frame."""
+    from hearth.operators.scoring import US_STATES
     key = F.col("c_custkey")
     zip5 = F.lpad(key.cast("string"), 5, "0")
     code = F.element_at(F.array(*[F.lit(s) for s in US_STATES[:25]]), (F.col("c_nationkey") % 25 + 1).cast("int"))
@@ -189,6 +194,11 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The service's request log from events: ts as a UTC timestamp, client,
     kind (purchase = prediction, error = error, rest = other)."""
     e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
+    return request_log_from_events(e)
+
+
+def request_log_from_events(e: DataFrame) -> DataFrame:
+    """Row-wise, so it applies to a batch or a streaming events frame."""
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("client"),
                     F.when(F.col("event_type") == "purchase", F.lit("prediction"))
                     .when(F.col("event_type") == "error", F.lit("error")).otherwise(F.lit("other")).alias("kind"))
