@@ -45,6 +45,7 @@ def register(name: str, sql: str | None = None, scale: int = 4, overrides: dict[
 def load_all() -> dict[str, Query]:
     """Import every module that registers queries."""
     from hearth.plans import (  # noqa: F401
-        queries_core, queries_market, queries_models, queries_profile, queries_scoring, queries_streaming,
+        queries_core, queries_ingest, queries_market, queries_models, queries_profile, queries_scoring,
+        queries_streaming,
         queries_training)
     return REGISTRY
