@@ -12,6 +12,10 @@ from hearth.operators.temporal import region_window
 HORIZONS = (1, 3, 6, 12)
 
 
+def target_names(horizons=HORIZONS) -> list[str]:
+    return [f"target_{k}_{h}m" for h in horizons for k in ("value", "return", "direction", "category")]
+
+
 def target_columns(value: str = "Value", region: str = "RegionName", date: str = "Date",
                    horizons=HORIZONS) -> dict[str, Column]:
     w = region_window(region, date)

@@ -142,7 +142,9 @@ def temporal_features(df: DataFrame, value: str = "Value", region: str = "Region
 def feature_names(value: str = "Value", params: TemporalParams = DEFAULT) -> list[str]:
     names = ["Year", "Month", "Quarter", "DayOfYear", "WeekOfYear", "Month_sin", "Month_cos", "Quarter_sin",
              "Quarter_cos", "MonthsSinceStart", "MonthsSinceLatest", "MarketEra"]
-    names += list(window_columns(value, params=params))
+    names += [f"{value}_lag_{n}" for n in params.lags]
+    names += [f"{value}_rolling_{k}_{n}" for n in params.windows for k in ("mean", "std", "min", "max")]
+    names += [f"{value}_{k}_{n}" for n in params.changes for k in ("pct_change", "diff")]
     names += [f"{value}_momentum_short", f"{value}_momentum_long", f"{value}_volatility_3m", f"{value}_volatility_12m"]
     names += [f"{value}_trend_{k}" for k in params.trends]
     return names

@@ -26,7 +26,7 @@ MARKET_COLUMNS = ["Rent", "PriceToRentRatio", "RentAffordabilityRatio", "PriceRe
                   "ValueVsNationalMedian"]
 GEOGRAPHIC_COLUMNS = ["State_mean", "State_median", "State_std", "State_count", "Metro_mean", "Metro_median",
                       "Metro_std", "Metro_count", "StateRank", "ValueRankInState", "GeographicCluster"]
-TARGET_COLUMNS = list(tg.target_columns())
+TARGET_COLUMNS = tg.target_names()
 FEATURE_TABLE_COLUMNS = (list(LONG_SCHEMA.fieldNames()) + MARKET_COLUMNS + tm.feature_names() + GEOGRAPHIC_COLUMNS
                          + TARGET_COLUMNS)
 

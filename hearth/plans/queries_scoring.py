@@ -127,7 +127,6 @@ def validate_requests(spark, sf):
     return _validated(spark, sf).select(*_REQ_COLS, "errors", "valid")
 
 
-_DATE_COLS = list(sc.date_features(AS_OF))
 
 
 @register("request_date_features", _req_sql(
