@@ -63,9 +63,11 @@ def national_by_month(df: DataFrame, value: str = "Value", date: str = "Date") -
     return group_stats(df, [date], value, prefix="National_", stats=("mean", "median", "std"))
 
 
-def join_national(df: DataFrame, value: str = "Value", date: str = "Date") -> DataFrame:
-    """JN-4 + PRJ-7."""
-    j = df.join(national_by_month(df, value, date), [date], "left")
+def join_national(df: DataFrame, value: str = "Value", date: str = "Date",
+                  stats_base: DataFrame | None = None) -> DataFrame:
+    """JN-4 + PRJ-7. ``stats_base`` may give the same rows as ``df`` through a
+    shorter plan (see ``market_panel``)."""
+    j = df.join(national_by_month(stats_base if stats_base is not None else df, value, date), [date], "left")
     return j.withColumns({
         "ValueVsNational": safe_div(F.col(value), F.col("National_mean")),
         "ValueVsNationalMedian": safe_div(F.col(value), F.col("National_median")),
@@ -73,9 +75,17 @@ def join_national(df: DataFrame, value: str = "Value", date: str = "Date") -> Da
 
 
 def market_panel(home: DataFrame, rent: DataFrame | None = None, inventory: DataFrame | None = None,
-                 sales: DataFrame | None = None) -> DataFrame:
+                 sales: DataFrame | None = None, rent_unique: bool = True) -> DataFrame:
     """The reference's ``create_market_dynamics_features``; optional inputs add
-    their columns only when present."""
+    their columns only when present.
+
+    ``rent_unique``: the rent panel has one row per (RegionName, Date), as every
+    panel of ``hearth.sources.panels`` has (they are grouped on those keys). The
+    state volumes are grouped on their join keys too, so all LEFT JOINs keep
+    exactly the home rows and the national statistics can read the home panel
+    instead of a second copy of the joined plan. Pass False for a rent table
+    with repeated keys: the statistics then see the duplicated rows, as in the
+    reference's merge."""
     df = home
     if rent is not None:
         df = join_rent(df, rent)
@@ -85,4 +95,5 @@ def market_panel(home: DataFrame, rent: DataFrame | None = None, inventory: Data
         df = join_state_volume(df, sales, "Sales")
     if "State_Inventory_Total" in df.columns and "State_Sales_Total" in df.columns:
         df = with_market_velocity(df)
-    return join_national(df)
+    base = home.select("Date", "Value") if (rent is None or rent_unique) else None
+    return join_national(df, stats_base=base)
