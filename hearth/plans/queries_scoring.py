@@ -9,7 +9,7 @@ from hearth.operators import scoring as sc
 from hearth.operators import temporal as tm
 from hearth.plans import oracle as O
 from hearth.plans.registry import register
-from hearth.plans.queries_training import FEATURES, TARGETS, _sql_base, split_frame
+from hearth.plans.queries_training import FEATURES, TARGETS, _sql_base, narrow_split_frame
 from hearth.sources import panels as P
 
 R = O.rnd
@@ -300,7 +300,7 @@ def persistence_forecast(spark, sf):
 
 def eval_frame(spark, sf):
     """Test-split rows as (target, model, y, pred) for the persistence forecasts."""
-    df = split_frame(spark, sf).where(F.col("split") == "test")
+    df = narrow_split_frame(spark, sf).where(F.col("split") == "test")
     parts = None
     for h in _H:
         p = df.select(F.lit(f"target_return_{h}m").alias("target"), F.lit("persistence").alias("model"),

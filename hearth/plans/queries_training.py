@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearth.operators import training as tr
+from hearth.operators import targets as tg
 from hearth.operators.targets import training_rows
+from hearth.sources import panels as P
 from hearth.plans import oracle as O
 from hearth.plans.features import FEATURE_TABLE_COLUMNS, feature_table
 from hearth.plans.queries_market import feature_table_sql
@@ -31,10 +33,31 @@ def training_base(spark, sf):
     return t.checkpoint(eager=True)
 
 
+def narrow_training_base(spark, sf):
+    """The training rows with only what the split, the label codes and the
+    persistence evaluation read: the home panel's columns, the era, lags and
+    targets. The market panel keeps exactly the home rows (every LEFT JOIN right
+    side is unique on its keys) and the training filter reads only the home
+    series, so these are the same rows and values as in ``training_base``,
+    without computing the other ~80 feature columns."""
+    from hearth.operators import temporal as tm
+    home = P.home_panel(spark, sf)
+    w = tm.region_window()
+    t = tm.with_market_era(home).withColumns(
+        {f"Value_lag_{h}": F.lag("Value", h).over(w) for h in (1, 3, 6, 12)})
+    t = training_rows(tg.with_targets(t))
+    checkpoint_root(spark)
+    return t.checkpoint(eager=True)
+
+
 def split_frame(spark, sf):
     return tr.ordered_split(training_base(spark, sf))
 
 
+def narrow_split_frame(spark, sf):
+    return tr.ordered_split(narrow_training_base(spark, sf))
+
+
 def encoded_matrix(spark, sf):
     """Split rows with encoded categoricals and a numeric feature matrix."""
     df = split_frame(spark, sf)
@@ -73,13 +96,13 @@ def _codes_sql(src: str) -> str:
 
 @register("label_encode", _sql_base(f"\nSELECT * FROM ({_codes_sql('sp2')}) c"))
 def label_encode(spark, sf):
-    df = training_base(spark, sf)
+    df = narrow_training_base(spark, sf)
     return tr.label_codes(df, [c for c in CATEGORICAL if c in df.columns])
 
 
 @register("ordered_split", _sql_base("\nSELECT RegionName, Date, position, split FROM sp2"))
 def ordered_split(spark, sf):
-    return split_frame(spark, sf).select("RegionName", "Date", "position", "split")
+    return narrow_split_frame(spark, sf).select("RegionName", "Date", "position", "split")
 
 
 def _matrix_sql(std: bool) -> str:
