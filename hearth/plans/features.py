@@ -17,7 +17,7 @@ from hearth.operators import market as mk
 from hearth.operators import targets as tg
 from hearth.operators import temporal as tm
 from hearth.schema import LONG_SCHEMA
-from hearth.session import checkpoint_root
+from hearth.session import checkpoint_root, materialize
 from hearth.sources import panels as P
 
 MARKET_COLUMNS = ["Rent", "PriceToRentRatio", "RentAffordabilityRatio", "PriceRentSpread", "State_Inventory_Mean",
@@ -32,7 +32,8 @@ FEATURE_TABLE_COLUMNS = (list(LONG_SCHEMA.fieldNames()) + MARKET_COLUMNS + tm.fe
 
 
 def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mk.market_panel(P.home_panel(spark, sf_dir), P.rent_panel(spark, sf_dir),
+    # the home panel feeds the joined rows and the national statistics
+    return mk.market_panel(materialize(P.home_panel(spark, sf_dir)), P.rent_panel(spark, sf_dir),
                            P.inventory_panel(spark, sf_dir), P.sales_panel(spark, sf_dir))
 
 

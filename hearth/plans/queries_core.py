@@ -9,6 +9,7 @@ from hearth.operators import temporal as tm
 from hearth.operators.geographic import with_state_rank, with_value_rank_in_state, join_state_stats
 from hearth.plans import oracle as O
 from hearth.plans.registry import register
+from hearth.session import materialize
 from hearth.sources import panels as P
 
 KEY = ["RegionName", "Date", "Value"]
@@ -19,6 +20,11 @@ def _home(spark, sf):
     return P.home_panel(spark, sf)
 
 
+def _home_shared(spark, sf):
+    """The home panel for plans that read it in several branches."""
+    return materialize(P.home_panel(spark, sf))
+
+
 def _sel(df, cols):
     return df.select(*KEY, *cols)
 
@@ -171,7 +177,7 @@ _target_query("future_category", ("target_category",))
             "/ count(*) OVER (PARTITION BY StateName, Date)")
     + " AS ValueRankInState FROM home", "home"))
 def value_rank_in_state(spark, sf):
-    return with_value_rank_in_state(_home(spark, sf)).select(*KEY, "StateName", "ValueRankInState")
+    return with_value_rank_in_state(_home_shared(spark, sf)).select(*KEY, "StateName", "ValueRankInState")
 
 
 @register("state_rank", O.with_panels(
@@ -181,5 +187,5 @@ def value_rank_in_state(spark, sf):
     + " AS StateRank FROM (SELECT h.*, CAST(count(Value) OVER (PARTITION BY StateName) AS DOUBLE) AS State_count "
       "FROM home h) x", "home"))
 def state_rank(spark, sf):
-    df = with_state_rank(join_state_stats(_home(spark, sf)))
+    df = with_state_rank(join_state_stats(_home_shared(spark, sf)))
     return df.select(*KEY, "StateName", "State_count", "StateRank")

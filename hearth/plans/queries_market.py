@@ -11,6 +11,7 @@ from hearth.operators import temporal as tm
 from hearth.plans import oracle as O
 from hearth.plans.features import FEATURE_TABLE_COLUMNS, feature_table, market_panel
 from hearth.plans.registry import register
+from hearth.session import materialize
 from hearth.sources import panels as P
 
 KEY = ["RegionName", "Date", "Value"]
@@ -63,7 +64,7 @@ def state_month_volume(spark, sf):
     "SELECT Date, " + O.rnd("avg(Value)") + " AS National_mean, " + O.rnd("median(Value)") + " AS National_median, "
     + O.rnd("stddev_samp(Value)") + " AS National_std FROM home GROUP BY Date", "home"))
 def national_by_month(spark, sf):
-    return mk.national_by_month(P.home_panel(spark, sf))
+    return mk.national_by_month(materialize(P.home_panel(spark, sf)))
 
 
 def _stats_sql(key, p):
@@ -75,13 +76,13 @@ def _stats_sql(key, p):
 
 @register("state_stats", _stats_sql("StateName", "State"))
 def state_stats(spark, sf):
-    return geo.state_stats(P.home_panel(spark, sf), "StateName", prefix="State_").withColumn(
+    return geo.state_stats(materialize(P.home_panel(spark, sf)), "StateName", prefix="State_").withColumn(
         "State_count", F.col("State_count").cast("double"))
 
 
 @register("metro_stats", _stats_sql("Metro", "Metro"))
 def metro_stats(spark, sf):
-    return geo.state_stats(P.home_panel(spark, sf), "Metro", prefix="Metro_").withColumn(
+    return geo.state_stats(materialize(P.home_panel(spark, sf)), "Metro", prefix="Metro_").withColumn(
         "Metro_count", F.col("Metro_count").cast("double"))
 
 
@@ -112,7 +113,7 @@ def _geo_cols_sql():
     "," + O.geo_body("home") + f"\nSELECT {KEY_SQL}, StateName, Metro, {_geo_cols_sql()} FROM geo", "home"))
 def geographic_features(spark, sf):
     # cluster_k=0 keeps the clustering gate out of this oracle-checked query (see geo_clusters)
-    df = geo.geographic_features(P.home_panel(spark, sf), cluster_k=0)
+    df = geo.geographic_features(materialize(P.home_panel(spark, sf)), cluster_k=0)
     return df.select(*KEY, "StateName", "Metro", *O.GEO_COLS)
 
 

@@ -12,6 +12,7 @@ from hearth.plans import oracle as O
 from hearth.plans.registry import register
 from hearth.schema import LONG_SCHEMA, DatasetRegistry
 from hearth.sources import clean as C
+from hearth.session import materialize
 from hearth.sources import panels as P
 
 R = O.rnd
@@ -32,6 +33,11 @@ def _stack(spark, sf, names=ALL4):
     return out
 
 
+def _stack_shared(spark, sf, names=ALL4):
+    """Stacked panels for plans that read them in several branches."""
+    return materialize(_stack(spark, sf, names))
+
+
 # --- AGG-1..3 ----------------------------------------------------------------------------------------------------
 
 @register("dataset_overview", _all(
@@ -41,7 +47,7 @@ def _stack(spark, sf, names=ALL4):
     f"{R('CAST(count(*) FILTER (WHERE Value IS NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0')} AS Missing_Pct, "
     f"{R('median(Value)')} AS Median_Value FROM allp GROUP BY Dataset"))
 def dataset_overview(spark, sf):
-    return pf.dataset_overview(_stack(spark, sf))
+    return pf.dataset_overview(_stack_shared(spark, sf))
 
 
 _REG = DatasetRegistry()
@@ -55,7 +61,7 @@ _META = " UNION ALL ".join(f"SELECT '{n}' AS Dataset, '{d}' AS Description, '{g}
     f"{R('min(Value)')} AS Value_Range_Min, {R('max(Value)')} AS Value_Range_Max FROM allp GROUP BY Dataset) a "
     f"LEFT JOIN ({_META}) m ON a.Dataset = m.Dataset"))
 def dataset_summary(spark, sf):
-    return pf.dataset_summary(_stack(spark, sf))
+    return pf.dataset_summary(_stack_shared(spark, sf))
 
 
 @register("value_describe", _all(
@@ -63,7 +69,7 @@ def dataset_summary(spark, sf):
     f"{R('min(Value)')} AS min, {R('quantile_cont(Value, 0.25)')} AS p25, {R('quantile_cont(Value, 0.5)')} AS p50, "
     f"{R('quantile_cont(Value, 0.75)')} AS p75, {R('max(Value)')} AS max FROM allp GROUP BY Dataset"))
 def value_describe(spark, sf):
-    return pf.value_describe(_stack(spark, sf))
+    return pf.value_describe(_stack_shared(spark, sf))
 
 
 # --- AGG-4..7 ----------------------------------------------------------------------------------------------------
@@ -77,12 +83,12 @@ def _monthly_sql(names, third):
 
 @register("monthly_value_trend", O.with_panels(_monthly_sql(("home", "rent"), "count"), "home", "rent"))
 def monthly_value_trend(spark, sf):
-    return pf.monthly_trend(_stack(spark, sf, ("home", "rent")))
+    return pf.monthly_trend(_stack_shared(spark, sf, ("home", "rent")))
 
 
 @register("monthly_volume_trend", O.with_panels(_monthly_sql(("inventory", "sales"), "sum"), "inventory", "sales"))
 def monthly_volume_trend(spark, sf):
-    return pf.monthly_trend(_stack(spark, sf, ("inventory", "sales")), volume=True)
+    return pf.monthly_trend(_stack_shared(spark, sf, ("inventory", "sales")), volume=True)
 
 
 def _raw_monthly_sql(names, third):
@@ -98,7 +104,7 @@ def _raw_monthly_sql(names, third):
     f"FROM (SELECT *, row_number() OVER (PARTITION BY Dataset ORDER BY Date DESC) AS k "
     f"FROM ({_raw_monthly_sql(('home', 'rent'), 'count')}) m) x GROUP BY Dataset", "home", "rent"))
 def trend_headline(spark, sf):
-    return pf.trend_headline(pf.monthly_trend(_stack(spark, sf, ("home", "rent"))))
+    return pf.trend_headline(pf.monthly_trend(_stack_shared(spark, sf, ("home", "rent"))))
 
 
 @register("volume_headline", O.with_panels(
@@ -119,13 +125,13 @@ _METRO_INV = ("SELECT RegionName, round_even(avg(Value), 0) AS Avg_Inventory, ro
 
 @register("state_coverage", O.with_panels(_STATE_COV, "home"))
 def state_coverage(spark, sf):
-    return pf.state_coverage(P.home_panel(spark, sf))
+    return pf.state_coverage(materialize(P.home_panel(spark, sf)))
 
 
 @register("top_states", O.with_panels(
     f"SELECT * FROM ({_STATE_COV}) s ORDER BY Unique_Regions DESC, StateName LIMIT 10", "home"))
 def top_states(spark, sf):
-    return pf.top_k(pf.state_coverage(P.home_panel(spark, sf)), "Unique_Regions", "StateName")
+    return pf.top_k(pf.state_coverage(materialize(P.home_panel(spark, sf))), "Unique_Regions", "StateName")
 
 
 @register("metro_inventory_stats", O.with_panels(_METRO_INV, "inventory"))
@@ -256,7 +262,8 @@ def _dirty(body):
 
 
 def _cleaned(spark, sf):
-    return C.clean_long(P.dirty_panel(spark, sf))
+    """Cleaned dirty panel; every quality query reads it in several branches."""
+    return materialize(C.clean_long(P.dirty_panel(spark, sf)))
 
 
 @register("clean_long", _dirty(f"SELECT {_LONG_SEL} FROM cleaned"))
@@ -359,7 +366,7 @@ def _wide_sql():
 @register("monthly_wide", O.with_panels(
     f"SELECT Date, {', '.join(R(c) + ' AS ' + c for c in _WIDE_COLS)} FROM ({_wide_sql()}) w", *ALL4))
 def monthly_wide(spark, sf):
-    return pf.monthly_wide(_stack(spark, sf), SHORT)
+    return pf.monthly_wide(_stack_shared(spark, sf), SHORT)
 
 
 @register("metric_correlations", O.with_panels(
@@ -368,4 +375,4 @@ def monthly_wide(spark, sf):
                          for a, b in combinations(_WIDE_COLS, 2))
     + ") c WHERE abs(correlation) > 0.7", *ALL4).replace("\nSELECT metric_a", f", w AS ({_wide_sql()})\nSELECT metric_a", 1))
 def metric_correlations(spark, sf):
-    return pf.metric_correlations(pf.monthly_wide(_stack(spark, sf), SHORT))
+    return pf.metric_correlations(pf.monthly_wide(_stack_shared(spark, sf), SHORT))

@@ -70,3 +70,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder for a written table."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/hearth-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Checkpoint ``df`` into the shared folder when it feeds several branches of
+    one plan (e.g. the rows and a rank or median table derived from them):
+    column pruning makes those branches differ, so Spark would otherwise run the
+    upstream scan and aggregation once per branch."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
