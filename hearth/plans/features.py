@@ -32,9 +32,13 @@ FEATURE_TABLE_COLUMNS = (list(LONG_SCHEMA.fieldNames()) + MARKET_COLUMNS + tm.fe
 
 
 def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the home panel feeds the joined rows and the national statistics
-    return mk.market_panel(materialize(P.home_panel(spark, sf_dir)), P.rent_panel(spark, sf_dir),
-                           P.inventory_panel(spark, sf_dir), P.sales_panel(spark, sf_dir))
+    """Home, rent and inventory come from one materialized (supplier, month)
+    facts table -- one lineitem pass instead of three, and the home rows feed
+    both the joined panel and the national statistics without a recomputation.
+    Sales needs distinct orders per nation and month and reads lineitem itself."""
+    facts = materialize(P.supplier_month_facts(spark, sf_dir))
+    return mk.market_panel(P.home_from_facts(facts, spark, sf_dir), P.rent_from_facts(facts, spark, sf_dir),
+                           P.inventory_from_facts(facts, spark, sf_dir), P.sales_panel(spark, sf_dir))
 
 
 def build_features(market: DataFrame, cluster_k: int | None = None, materialize: bool = True) -> DataFrame:

@@ -202,3 +202,57 @@ def request_log_from_events(e: DataFrame) -> DataFrame:
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("client"),
                     F.when(F.col("event_type") == "purchase", F.lit("prediction"))
                     .when(F.col("event_type") == "error", F.lit("error")).otherwise(F.lit("other")).alias("kind"))
+
+
+def supplier_month_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lineitem pass for the home, rent and inventory panels: per (supplier,
+    month) the integer-cent sum and line count (home), the unit-price sum and
+    count from the rent start on (rent), and the quantity sum (inventory), joined
+    to the supplier's geography once."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"])
+    rent_row = F.col("l_shipdate") >= F.lit(RENT_START).cast("timestamp_ntz")
+    unit = F.try_divide("l_extendedprice", "l_quantity")
+    agg = li.groupBy("l_suppkey", _month("l_shipdate").alias("Date")).agg(
+        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("_cents"),
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(F.when(rent_row, unit)).alias("_unit_sum"),
+        F.count(F.when(rent_row, unit)).alias("_unit_n"),
+        F.count_if(rent_row).alias("_rent_rows"),
+        F.sum("l_quantity").alias("_q"),
+    )
+    sg = _supplier_geo(spark, sf_dir)
+    return agg.join(sg, agg.l_suppkey == sg.s_suppkey).drop("l_suppkey")
+
+
+def home_from_facts(facts: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = facts.withColumn("Value", F.col("_cents").cast("double") / (F.lit(100.0) * F.col("_n").cast("double")))
+    return _supplier_rows(f, "home")
+
+
+def rent_from_facts(facts: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same as ``rent_panel``: avg = sum / count of the unit prices, then / 12."""
+    f = facts.where(F.col("_rent_rows") > 0).withColumn(
+        "Value", F.try_divide(F.col("_unit_sum"), F.col("_unit_n").cast("double")) / F.lit(12.0))
+    return _supplier_rows(f, "rent")
+
+
+def inventory_from_facts(facts: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    agg = facts.groupBy("s_nationkey", "Date").agg(F.sum("_q").alias("Value"))
+    return _nation_panel(agg, spark, sf_dir, "inventory")
+
+
+def _supplier_rows(j: DataFrame, dataset: str) -> DataFrame:
+    return j.select(
+        F.col("s_suppkey").cast("long").alias("RegionID"),
+        F.col("s_suppkey").cast("int").alias("SizeRank"),
+        F.col("s_suppkey").cast("string").alias("RegionName"),
+        F.lit("zip").alias("RegionType"),
+        F.col("r_name").alias("StateName"),
+        F.substring("r_name", 1, 2).alias("State"),
+        F.col("n_name").alias("Metro"),
+        F.col("s_name").alias("CountyName"),
+        F.col("Date"),
+        F.col("Value").cast("double").alias("Value"),
+        F.lit(DATASET_NAMES[dataset]).alias("Dataset"),
+        F.lit("zip").alias("GeographyLevel"),
+    )
