@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.operators.order_stats import average_rank_table, group_stats, with_average_rank
-from hearth.session import checkpoint_root
+from hearth.operators.order_stats import average_rank_table, group_stats, prefix_counts, with_average_rank
+from hearth.session import materialize
 
 STAT_NAMES = ("mean", "median", "std", "count")
 
@@ -95,26 +95,79 @@ def geo_clusters(df: DataFrame, region: str = "RegionName", value: str = "Value"
     from pyspark.ml.feature import VectorAssembler
 
     feats = VectorAssembler(inputCols=["mean", "std", "min", "max"], outputCol="_features").transform(profiles)
-    checkpoint_root(df.sparkSession)
-    feats = feats.select(region, "_features").checkpoint()  # reused by every k-means iteration
+    feats = materialize(feats.select(region, "_features"), "kmeans-input")  # re-read by every iteration
     model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="Cluster").fit(feats)
     return model.transform(feats).select(region, F.col("Cluster").cast("int"))
 
 
+def fused_order_stats(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """State median, metro median and the value rank in (state, date) from ONE
+    prefix-count pass: the three (group, value) count tables are stacked under a
+    kind tag and range-partitioned together, instead of three separate
+    range-partition / window / offset pipelines."""
+    v = F.col("Value")
+    base = df.where(v.isNotNull() & ~F.isnan(v))
+    parts = [
+        base.where(F.col("StateName").isNotNull()).select(
+            F.lit("s").alias("_kind"), F.col("StateName").alias("_k1"), F.lit("").alias("_k2"), "Value"),
+        base.where(F.col("Metro").isNotNull()).select(
+            F.lit("m").alias("_kind"), F.col("Metro").alias("_k1"), F.lit("").alias("_k2"), "Value"),
+        base.where(F.col("StateName").isNotNull() & F.col("Date").isNotNull()).select(
+            F.lit("r").alias("_kind"), F.col("StateName").alias("_k1"), F.col("Date").cast("string").alias("_k2"),
+            "Value"),
+    ]
+    stacked = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    counts = stacked.groupBy("_kind", "_k1", "_k2", "Value").agg(F.count(F.lit(1)).alias("_n"))
+    pc = prefix_counts(counts, ["_kind", "_k1", "_k2"], ["Value"], "_n")
+    rank = (F.col("_before").cast("double") + (F.col("_n").cast("double") + F.lit(1.0)) / F.lit(2.0)) \
+        / F.col("_total").cast("double")
+    ranks = pc.where(F.col("_kind") == "r").select(
+        F.col("_k1").alias("StateName"), F.col("_k2").cast("date").alias("Date"), "Value",
+        rank.alias("ValueRankInState"))
+    pos = (F.col("_total") - F.lit(1)).cast("double") * F.lit(0.5)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    start, stop = F.col("_before"), F.col("_before") + F.col("_n")
+    med = pc.where(F.col("_kind") != "r").groupBy("_kind", "_k1").agg(
+        F.max(F.when((start <= lo) & (lo < stop), v)).alias("_lo"),
+        F.max(F.when((start <= hi) & (hi < stop), v)).alias("_hi"),
+        F.max(pos - lo.cast("double")).alias("_t"))
+    med = med.select("_kind", "_k1", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_t")).alias("_median"))
+    state_med = med.where(F.col("_kind") == "s").select(F.col("_k1").alias("StateName"),
+                                                        F.col("_median").alias("State_median"))
+    metro_med = med.where(F.col("_kind") == "m").select(F.col("_k1").alias("Metro"),
+                                                        F.col("_median").alias("Metro_median"))
+    return state_med, metro_med, ranks
+
+
+def _simple_stats(df: DataFrame, key: str, prefix: str) -> DataFrame:
+    v = F.col("Value")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.avg(v).alias(f"{prefix}mean"), F.stddev_samp(v).alias(f"{prefix}std"),
+        F.count(v).cast("double").alias(f"{prefix}count"))
+
+
 def geographic_features(df: DataFrame, cluster_k: int | None = None) -> DataFrame:
     """The reference's ``create_geographic_features``.
 
     Every statistics and rank table is derived from the same input rows and
     joined back once (each of them is small -- states, metros, dates x states --
-    except the value-rank table, which AQE joins by size)."""
-    out = df.join(state_stats(df, "StateName", prefix="State_"), ["StateName"], "left")
+    except the value-rank table, which AQE joins by size). The exact medians and
+    the value rank share one prefix-count pass (``fused_order_stats``)."""
+    state_med, metro_med, ranks = fused_order_stats(df) if "Metro" in df.columns else (None, None, None)
+    if state_med is None:
+        state = state_stats(df, "StateName", prefix="State_")
+        ranks = average_rank_table(df, ["StateName", "Date"], "Value", pct=True, out="ValueRankInState")
+    else:
+        state = _simple_stats(df, "StateName", "State_").join(state_med, "StateName", "left")
+    out = df.join(state.select("StateName", "State_mean", "State_median", "State_std", "State_count"),
+                  ["StateName"], "left")
     out = out.withColumn("State_count", F.col("State_count").cast("double"))
     if "Metro" in df.columns:
-        out = out.join(state_stats(df, "Metro", prefix="Metro_"), ["Metro"], "left")
-        out = out.withColumn("Metro_count", F.col("Metro_count").cast("double"))
+        metro = _simple_stats(df, "Metro", "Metro_").join(metro_med, "Metro", "left")
+        out = out.join(metro.select("Metro", "Metro_mean", "Metro_median", "Metro_std", "Metro_count"),
+                       ["Metro"], "left")
     out = out.join(state_rank_table(df), ["Date", "StateName"], "left")
-    vr = average_rank_table(df, ["StateName", "Date"], "Value", pct=True, out="ValueRankInState")
-    out = out.join(vr, ["StateName", "Date", "Value"], "left")
+    out = out.join(ranks, ["StateName", "Date", "Value"], "left")
     clusters = geo_clusters(df, k=cluster_k)
     if clusters is not None:
         out = out.join(clusters, ["RegionName"], "left").withColumn(

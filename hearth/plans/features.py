@@ -17,7 +17,7 @@ from hearth.operators import market as mk
 from hearth.operators import targets as tg
 from hearth.operators import temporal as tm
 from hearth.schema import LONG_SCHEMA
-from hearth.session import checkpoint_root, materialize
+from hearth.session import materialize
 from hearth.sources import panels as P
 
 MARKET_COLUMNS = ["Rent", "PriceToRentRatio", "RentAffordabilityRatio", "PriceRentSpread", "State_Inventory_Mean",
@@ -41,7 +41,7 @@ def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
                            P.inventory_from_facts(facts, spark, sf_dir), P.sales_panel(spark, sf_dir))
 
 
-def build_features(market: DataFrame, cluster_k: int | None = None, materialize: bool = True) -> DataFrame:
+def build_features(market: DataFrame, cluster_k: int | None = None, materialize_market: bool = True) -> DataFrame:
     """Feature table from any market-shaped long panel.
 
     The market panel feeds five branches (state and metro statistics, two rank
@@ -49,9 +49,8 @@ def build_features(market: DataFrame, cluster_k: int | None = None, materialize:
     materialized once to the shared checkpoint folder: each branch reads it back
     instead of re-running the lineitem aggregations, the plan stays small, and a
     lost executor re-reads it instead of recomputing the lineage."""
-    if materialize:
-        checkpoint_root(market.sparkSession)
-        market = market.checkpoint(eager=True)
+    if materialize_market:
+        market = materialize(market, "market")
     g = geo.geographic_features(market, cluster_k=cluster_k)
     # same rows as the market panel: take the global date bounds from the narrow base
     bounds = (market.select(F.min("Date")).scalar(), market.select(F.max("Date")).scalar())

@@ -13,7 +13,7 @@ from hearth.plans import oracle as O
 from hearth.plans.features import FEATURE_TABLE_COLUMNS, feature_table
 from hearth.plans.queries_market import feature_table_sql
 from hearth.plans.registry import register
-from hearth.session import checkpoint_root
+from hearth.session import materialize
 
 R = O.rnd
 TRAIN_WHERE = ("WHERE target_value_1m IS NOT NULL AND target_value_3m IS NOT NULL AND target_value_6m IS NOT NULL "
@@ -28,9 +28,7 @@ TARGETS = list(tr.TARGETS)
 def training_base(spark, sf):
     """Training rows of the feature table, materialized once: positions, codes
     and the split all read it several times."""
-    t = training_rows(feature_table(spark, sf))
-    checkpoint_root(spark)
-    return t.checkpoint(eager=True)
+    return materialize(training_rows(feature_table(spark, sf)), "training")
 
 
 def narrow_training_base(spark, sf):
@@ -45,9 +43,7 @@ def narrow_training_base(spark, sf):
     w = tm.region_window()
     t = tm.with_market_era(home).withColumns(
         {f"Value_lag_{h}": F.lag("Value", h).over(w) for h in (1, 3, 6, 12)})
-    t = training_rows(tg.with_targets(t))
-    checkpoint_root(spark)
-    return t.checkpoint(eager=True)
+    return materialize(training_rows(tg.with_targets(t)), "training-narrow")
 
 
 def split_frame(spark, sf):

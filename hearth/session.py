@@ -72,10 +72,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/hearth-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df):
-    """Checkpoint ``df`` into the shared folder when it feeds several branches of
-    one plan (e.g. the rows and a rank or median table derived from them):
-    column pruning makes those branches differ, so Spark would otherwise run the
-    upstream scan and aggregation once per branch."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "table"):
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and read
+    it back: the lineage is cut (a lost executor re-reads files instead of
+    recomputing), the plan of every later branch starts at a pruned columnar
+    scan, and the data is computed once. (An eager ``DataFrame.checkpoint()``
+    would run the plan twice: once to count, once to write the RDD.)
+
+    Used where one intermediate feeds several branches of a plan (e.g. the rows
+    and a rank or median table derived from them): column pruning makes those
+    branches differ, so Spark would otherwise run the upstream scan and
+    aggregation once per branch."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
