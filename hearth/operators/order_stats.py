@@ -187,10 +187,8 @@ def group_stats(
     qs = {f"{prefix}{s}": quant[s] for s in stats if s in quant}
     if qs:
         q = exact_quantiles(base, group_cols, value_col, qs, num_partitions)
-        out = out.join(q, on=group_cols, how="left") if group_cols else _join_one_row(out, q)
+        if group_cols:
+            out = out.join(q, on=group_cols, how="left")
+        else:  # one row each: the quantiles become scalar subqueries, no join
+            out = out.select("*", *[q.select(c).scalar().alias(c) for c in qs])
     return out.select(*group_cols, *[f"{prefix}{s}" for s in stats])
-
-
-def _join_one_row(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join two one-row frames without a cartesian product: a constant equi-key."""
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")

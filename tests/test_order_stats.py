@@ -45,3 +45,10 @@ def test_global_positions(spark):
     out = prefix_counts(df, [], ["a", "b"], num_partitions=6).toPandas().sort_values(["a", "b"])
     assert list(out["_before"]) == list(range(1000))
     assert set(out["_total"]) == {1000}
+
+
+def test_global_group_stats_without_join(spark):
+    from hearth.operators.order_stats import group_stats
+    pdf = pd.DataFrame({"v": [1.0, 2.0, 4.0, 10.0]})
+    r = group_stats(spark.createDataFrame(pdf), [], "v", stats=("mean", "median", "count")).collect()[0]
+    assert r["mean"] == 4.25 and r["median"] == 3.0 and r["count"] == 4
