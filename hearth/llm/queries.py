@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearth.llm import decontaminate, mixing, quality, simhash, token_files
+from hearth.llm import (decontaminate, licenses, line_dedup, mixing, quality, secret_scan, simhash, token_files, toxicity,
+                        url_filter)
 from hearth.llm.common import table
 
 
@@ -15,14 +16,30 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op1(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op2(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op3(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op4(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op5(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op6(spark, table(spark, sf_dir, "pages"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op7(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op8(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,8 +48,13 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op9(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op10(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op5_token_files, op8_decontamination, op9_source_mix)}
+    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_simhash_near_dedup, op4_toxicity, op5_token_files, op6_url_filter,
+                            op7_line_dedup, op8_decontamination, op9_source_mix, op10_license_scan)}
 
 #: DuckDB SQL where SQL can express the whole result.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}
