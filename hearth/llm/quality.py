@@ -18,7 +18,6 @@ judged one by one. Without any usable label ``PRIOR`` is used. Only ``doc_id`` a
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
