@@ -29,17 +29,17 @@ def join_state_stats(df: DataFrame, key: str = "StateName", prefix: str = "State
     return df.join(stats, [key], "left").withColumn(cnt, F.col(cnt).cast("double"))
 
 
-def state_rank_table(df: DataFrame, key: str = "StateName", date: str = "Date") -> DataFrame:
+def state_rank_table(df: DataFrame, key: str = "StateName", date: str = "Date", value: str = "Value") -> DataFrame:
     """WIN-9 as a (Date, StateName) -> StateRank table.
 
-    State_count is the state's row count over all dates, repeated on each of its
-    rows; per date the rows are ranked by it, descending, ties averaged. That rank
-    only depends on how many rows each state has per date, so it is computed on
-    the (date, state) count table -- #dates x #states rows -- never on the rows."""
+    State_count is the state's count of non-NULL values over all dates, repeated on
+    each of its rows; per date the rows are ranked by it, descending, ties averaged.
+    That rank only depends on how many rows each state has per date, so it is computed
+    on the (date, state) count table -- #dates x #states rows -- never on the rows."""
     from pyspark.sql import Window
     per = df.where(F.col(key).isNotNull() & F.col(date).isNotNull()).groupBy(date, key).agg(
-        F.count(F.lit(1)).alias("_n"))
-    per = per.withColumn("State_count", F.sum("_n").over(Window.partitionBy(key)).cast("double"))
+        F.count(F.lit(1)).alias("_n"), F.count(F.col(value)).alias("_v"))
+    per = per.withColumn("State_count", F.sum("_v").over(Window.partitionBy(key)).cast("double"))
     by_count = per.groupBy(date, "State_count").agg(F.sum("_n").alias("_tie"))
     w = Window.partitionBy(date).orderBy(F.col("State_count").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = by_count.withColumn("_before", F.coalesce(F.sum("_tie").over(w), F.lit(0))).select(
@@ -67,36 +67,30 @@ def region_profiles(df: DataFrame, region: str = "RegionName", value: str = "Val
     ).fillna(0.0, subset=["mean", "std", "min", "max"])
 
 
-# Fixed values of the reference's clustering gate.
-CLUSTER_MIN_ROWS = 1000
-CLUSTER_MIN_REGIONS = 10
-CLUSTER_MAX_K = 10
-CLUSTER_REGIONS_PER_K = 100
+# The reference's largest number of clusters; it is the default at every data size.
+CLUSTER_K = 10
 
 
-def cluster_count(n_regions: int, max_k: int = CLUSTER_MAX_K, per_k: int = CLUSTER_REGIONS_PER_K) -> int:
-    return min(max_k, n_regions // per_k)
+def geo_clusters(df: DataFrame, region: str = "RegionName", value: str = "Value", k: int = CLUSTER_K,
+                 seed: int = 42) -> DataFrame:
+    """ML-1: k-means of the (unscaled) region profiles, as (region, Cluster).
 
-
-def geo_clusters(df: DataFrame, region: str = "RegionName", value: str = "Value", k: int | None = None,
-                 seed: int = 42) -> DataFrame | None:
-    """ML-1: k-means of the (unscaled) region profiles. Returns (region, Cluster),
-    or None when the reference's gate (> 1000 rows and > 10 regions) is not met.
-    k <= 1 gives every region cluster 0 (k-means needs k >= 2)."""
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.col(region)).alias("r")).first()
-    n_rows, n_regions = int(stats["n"]), int(stats["r"])
-    if n_rows <= CLUSTER_MIN_ROWS or n_regions <= CLUSTER_MIN_REGIONS:
-        return None
-    k = cluster_count(n_regions) if k is None else k
-    profiles = region_profiles(df, region, value)
-    if k <= 1:
-        return profiles.select(region, F.lit(0).alias("Cluster"))
+    ``k`` is a plain parameter (the reference takes a cluster per 100 regions, at most
+    10, and skips small tables); the same path runs at every size and the column
+    always exists. No region gives an empty table; fewer distinct profiles than ``k``
+    give fewer clusters."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
+    if k < 2:
+        raise ValueError("k-means needs k >= 2")
+    profiles = region_profiles(df, region, value)
     feats = VectorAssembler(inputCols=["mean", "std", "min", "max"], outputCol="_features").transform(profiles)
     feats = materialize(feats.select(region, "_features"), "kmeans-input")  # re-read by every iteration
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="Cluster").fit(feats)
+    found = feats.select("_features").distinct().limit(k).count()
+    if found < 2:  # no profile, or one: nothing to tell apart
+        return feats.select(region, F.lit(0).alias("Cluster"))
+    model = KMeans(k=min(k, found), seed=seed, featuresCol="_features", predictionCol="Cluster").fit(feats)
     return model.transform(feats).select(region, F.col("Cluster").cast("int"))
 
 
@@ -118,7 +112,8 @@ def fused_order_stats(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ]
     stacked = parts[0].unionByName(parts[1]).unionByName(parts[2])
     counts = stacked.groupBy("_kind", "_k1", "_k2", "Value").agg(F.count(F.lit(1)).alias("_n"))
-    pc = prefix_counts(counts, ["_kind", "_k1", "_k2"], ["Value"], "_n")
+    # ranks, state medians and metro medians all read this table
+    pc = materialize(prefix_counts(counts, ["_kind", "_k1", "_k2"], ["Value"], "_n"), "order-stats")
     rank = (F.col("_before").cast("double") + (F.col("_n").cast("double") + F.lit(1.0)) / F.lit(2.0)) \
         / F.col("_total").cast("double")
     ranks = pc.where(F.col("_kind") == "r").select(
@@ -146,30 +141,33 @@ def _simple_stats(df: DataFrame, key: str, prefix: str) -> DataFrame:
         F.count(v).cast("double").alias(f"{prefix}count"))
 
 
-def geographic_features(df: DataFrame, cluster_k: int | None = None) -> DataFrame:
+def geographic_features(df: DataFrame, with_clusters: bool = True, cluster_k: int = CLUSTER_K) -> DataFrame:
     """The reference's ``create_geographic_features``.
 
-    Every statistics and rank table is derived from the same input rows and
-    joined back once (each of them is small -- states, metros, dates x states --
-    except the value-rank table, which AQE joins by size). The exact medians and
-    the value rank share one prefix-count pass (``fused_order_stats``)."""
-    state_med, metro_med, ranks = fused_order_stats(df) if "Metro" in df.columns else (None, None, None)
-    if state_med is None:
+    Every statistics and rank table is derived from the same input rows and written
+    before it is joined: their sizes are then known, so the planner broadcasts the
+    small ones (states, metros, dates x states, clusters) without moving the wide
+    side, and takes a sort-merge join beyond the limit. Only the value-rank table
+    usually needs a shuffle of the rows. The exact medians and the value rank share
+    one prefix-count pass (``fused_order_stats``)."""
+    has_metro = "Metro" in df.columns
+    if has_metro:
+        state_med, metro_med, ranks = fused_order_stats(df)
+        state = _simple_stats(df, "StateName", "State_").join(state_med, "StateName", "left")
+    else:
         state = state_stats(df, "StateName", prefix="State_")
         ranks = average_rank_table(df, ["StateName", "Date"], "Value", pct=True, out="ValueRankInState")
-    else:
-        state = _simple_stats(df, "StateName", "State_").join(state_med, "StateName", "left")
-    out = df.join(state.select("StateName", "State_mean", "State_median", "State_std", "State_count"),
+    state = state.withColumn("State_count", F.col("State_count").cast("double"))
+    out = df.join(materialize(state.select("StateName", "State_mean", "State_median", "State_std", "State_count"), "states"),
                   ["StateName"], "left")
-    out = out.withColumn("State_count", F.col("State_count").cast("double"))
-    if "Metro" in df.columns:
+    if has_metro:
         metro = _simple_stats(df, "Metro", "Metro_").join(metro_med, "Metro", "left")
-        out = out.join(metro.select("Metro", "Metro_mean", "Metro_median", "Metro_std", "Metro_count"),
+        out = out.join(materialize(metro.select("Metro", "Metro_mean", "Metro_median", "Metro_std", "Metro_count"), "metros"),
                        ["Metro"], "left")
-    out = out.join(state_rank_table(df), ["Date", "StateName"], "left")
-    out = out.join(ranks, ["StateName", "Date", "Value"], "left")
-    clusters = geo_clusters(df, k=cluster_k)
-    if clusters is not None:
+    out = out.join(materialize(state_rank_table(df), "state-ranks"), ["Date", "StateName"], "left")
+    out = out.join(materialize(ranks, "value-ranks"), ["StateName", "Date", "Value"], "left")
+    if with_clusters:
+        clusters = materialize(geo_clusters(df, k=cluster_k), "clusters")
         out = out.join(clusters, ["RegionName"], "left").withColumn(
             "GeographicCluster", F.coalesce(F.col("Cluster"), F.lit(-1)).cast("int")).drop("Cluster")
     return out

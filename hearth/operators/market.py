@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from hearth.functions.exprs import MEDIAN_INCOME, RENT_MULTIPLE, safe_div
 from hearth.operators.order_stats import group_stats
+from hearth.session import materialize
 
 
 def join_rent(home: DataFrame, rent: DataFrame, keys=("RegionName", "Date")) -> DataFrame:
@@ -47,7 +48,7 @@ def state_month_volume(panel: DataFrame, label: str) -> DataFrame:
 
 def join_state_volume(df: DataFrame, panel: DataFrame, label: str) -> DataFrame:
     """JN-2 / JN-3: LEFT JOIN the state-month volume aggregate."""
-    return df.join(state_month_volume(panel, label), ["StateName", "Date"], "left")
+    return df.join(materialize(state_month_volume(panel, label), "volume"), ["StateName", "Date"], "left")
 
 
 def with_market_velocity(df: DataFrame) -> DataFrame:
@@ -67,7 +68,9 @@ def join_national(df: DataFrame, value: str = "Value", date: str = "Date",
                   stats_base: DataFrame | None = None) -> DataFrame:
     """JN-4 + PRJ-7. ``stats_base`` may give the same rows as ``df`` through a
     shorter plan (see ``market_panel``)."""
-    j = df.join(national_by_month(stats_base if stats_base is not None else df, value, date), [date], "left")
+    # one row per month, written first: its size is known before the wide side would move
+    stats = materialize(national_by_month(stats_base if stats_base is not None else df, value, date), "national")
+    j = df.join(stats, [date], "left")
     return j.withColumns({
         "ValueVsNational": safe_div(F.col(value), F.col("National_mean")),
         "ValueVsNationalMedian": safe_div(F.col(value), F.col("National_median")),

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearth.functions.exprs import all_not_null
+from hearth.session import materialize
 
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -60,7 +61,10 @@ def prefix_counts(
         return F.col(c).asc_nulls_first() if ascending else F.col(c).desc_nulls_last()
 
     range_keys = [F.col(g).asc() for g in group_cols] + [ordered(o) for o in order_cols]
-    ranged = df.repartitionByRange(n, *range_keys).withColumn("_pid", F.spark_partition_id())
+    # Range bounds are sampled, so two runs of this exchange may cut differently. The cut
+    # table is written once, with the partition id as a stored column; the running sums and
+    # the offsets below both read that file and so always agree.
+    ranged = materialize(df.repartitionByRange(n, *range_keys).withColumn("_pid", F.spark_partition_id()), "ranged")
 
     local_w = Window.partitionBy("_pid", *group_cols).orderBy(*[ordered(o) for o in order_cols])
     local = ranged.withColumn(
@@ -133,13 +137,16 @@ def exact_quantiles(
     probs: Mapping[str, float],
     num_partitions: int | None = None,
     extras: bool = False,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group (pandas ``quantile``, Spark
     ``percentile``, DuckDB ``quantile_cont``): one row per group with a column per
-    entry of ``probs``. NULL/NaN values are skipped; NULL groups are dropped."""
+    entry of ``probs``. NULL/NaN values are skipped; NULL groups are dropped. ``runs``
+    may give the table of ``value_runs``."""
     group_cols = list(group_cols)
-    counts = _value_counts(df, group_cols, value_col)
-    pc = prefix_counts(counts, group_cols, [value_col], "_n", True, num_partitions)
+    pc = runs
+    if pc is None:
+        pc = prefix_counts(_value_counts(df, group_cols, value_col), group_cols, [value_col], "_n", True, num_partitions)
     v = F.col(value_col).cast("double")
     start, stop = F.col("_before"), F.col("_before") + F.col("_n")
     aggs = []
@@ -161,6 +168,12 @@ def exact_quantiles(
     return agg.select(*group_cols, *outs)
 
 
+def value_runs(df: DataFrame, group_cols: Sequence[str], value_col: str, num_partitions: int | None = None) -> DataFrame:
+    """(group_cols, value, _n, _before, _total): the distinct values of each group with
+    their counts and prefix counts, written once for readers that need them twice."""
+    return materialize(prefix_counts(_value_counts(df, group_cols, value_col), group_cols, [value_col], "_n", True, num_partitions), "runs")
+
+
 def group_stats(
     df: DataFrame,
     group_cols: Sequence[str],

@@ -12,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.functions.exprs import DAYS_PER_MONTH
-from hearth.operators.order_stats import exact_quantiles, group_stats
+from hearth.operators.order_stats import exact_quantiles, group_stats, value_runs
 from hearth.schema import DatasetRegistry
+from hearth.session import materialize
 
 # Fixed values of the reference's quality thresholds.
 MISSING_PCT_FLAG = 10.0
@@ -160,9 +161,11 @@ def histogram(df: DataFrame, col: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """AGG-19: equal-width bins between min and max (max falls in the last bin),
     every bin present (empty bins count 0)."""
     spark = df.sparkSession
-    lo = df.select(F.min(col)).scalar()
-    hi = df.select(F.max(col)).scalar()
-    width = hi - lo
+    low = df.select(F.min(col)).scalar()
+    high = df.select(F.max(col)).scalar()
+    flat = high == low  # one value only: half a unit of room on either side
+    lo = F.when(flat, low - F.lit(0.5)).otherwise(low)
+    width = F.when(flat, F.lit(1.0)).otherwise(high - low)
     idx = F.least(F.floor((F.col(col) - lo) / width * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
     counts = df.where(F.col(col).isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     # the 50 bin ids are the histogram's own axis, not data
@@ -173,7 +176,7 @@ def histogram(df: DataFrame, col: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
         (lo + width * (F.col("bin") + 1).cast("double") / F.lit(float(bins))).alias("bin_end"),
         F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
     )
-    return out.where(lo.isNotNull())
+    return out.where(low.isNotNull())
 
 
 def common_regions(a: DataFrame, b: DataFrame, key: str = "RegionName") -> DataFrame:
@@ -208,13 +211,17 @@ def null_rates(df: DataFrame, by: str = "Dataset") -> DataFrame:
 
 def iqr_outliers(df: DataFrame, by: str = "Dataset", value: str = "Value") -> DataFrame:
     """AGG-14: exact Q1/Q3, count and % of rows outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR]."""
-    q = exact_quantiles(df, [by], value, {"q1": 0.25, "q3": 0.75})
+    runs = value_runs(df, [by], value)
+    q = exact_quantiles(df, [by], value, {"q1": 0.25, "q3": 0.75}, runs=runs)
     q = q.withColumns({"lower": F.col("q1") - F.lit(IQR_K) * (F.col("q3") - F.col("q1")),
                        "upper": F.col("q3") + F.lit(IQR_K) * (F.col("q3") - F.col("q1"))})
-    j = df.select(by, value).join(q, [by])  # q: one row per dataset
+    # the fences are one row per dataset; they meet the distinct values and their counts, not the rows
+    q = materialize(q, "fences")
     v = F.col(value)
-    out = j.groupBy(by, "q1", "q3", "lower", "upper").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if((v < F.col("lower")) | (v > F.col("upper"))).alias("outliers"))
+    outside = F.sum(F.when((v < F.col("lower")) | (v > F.col("upper")), F.col("_n")).otherwise(0))
+    found = runs.join(q, [by]).groupBy(by, "q1", "q3", "lower", "upper").agg(outside.alias("outliers"))
+    rows = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("rows"))
+    out = found.join(rows, [by]).select(by, "q1", "q3", "lower", "upper", "rows", "outliers")
     out = out.withColumn("outlier_pct", F.col("outliers") / F.col("rows") * F.lit(100.0))
     return out.withColumn("flagged", F.col("outlier_pct") > F.lit(OUTLIER_PCT_FLAG))
 
@@ -262,8 +269,7 @@ def monthly_wide(df: DataFrame, names: dict[str, str], by: str = "Dataset") -> D
     stats = stats.withColumn(by, F.coalesce(*[F.when(F.col(by) == k, F.lit(v)) for k, v in names.items()]))
     aggs = [F.first(s, ignorenulls=True).alias(s) for s in ("mean", "median", "std")]
     wide = stats.groupBy("Date").pivot(by, list(names.values())).agg(*aggs)
-    ren = {f"{n}_{s}": f"{n}_{s}" for n in names.values() for s in ("mean", "median", "std")}
-    return wide.select("Date", *[F.col(c).alias(c) for c in ren])
+    return wide.select("Date", *[f"{n}_{s}" for n in names.values() for s in ("mean", "median", "std")])
 
 
 def metric_correlations(wide: DataFrame, threshold: float = CORRELATION_FLAG) -> DataFrame:
@@ -275,10 +281,3 @@ def metric_correlations(wide: DataFrame, threshold: float = CORRELATION_FLAG) ->
     stack = ", ".join(f"'{a}', '{b}', `{i}`" for i, (a, b) in enumerate(pairs))
     long = agg.selectExpr(f"stack({len(pairs)}, {stack}) as (metric_a, metric_b, correlation)")
     return long.where(F.abs(F.col("correlation")) > F.lit(threshold))
-
-
-def stacked(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
-    out = None
-    for df in frames.values():
-        out = df if out is None else out.unionByName(df)
-    return out

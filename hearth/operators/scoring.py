@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,19 @@ INTERVAL_Z = 1.5
 HIGH_VALUE, LOW_VALUE = 1_000_000.0, 200_000.0
 HIGH_VALUE_ADJ, LOW_VALUE_ADJ, VOLATILE_ADJ = (-0.5, 0.2), (-0.3, 0.8), (-0.4, 0.3)
 ANNUAL_GROWTH = 0.05
+LAG_DISCOUNT = 0.005
+MIDPOINTS = {"State_count": 1000.0, "ValueRankInState": 0.5, "State_Inventory_Mean": 5000.0, "State_Inventory_Total": 50000.0,
+             "State_Sales_Mean": 1000.0, "State_Sales_Total": 10000.0, "MonthsOfSupply": 5.0, "MarketLiquidity": 0.2,
+             "Value_momentum_short": 1.02, "Value_momentum_long": 1.05, "Value_volatility_3m": 0.05, "Value_volatility_12m": 0.1}
+STATE_SHARES = {"State_mean": 1.0, "State_median": 0.9, "State_std": 0.3}
+# Defaults of training features that no rule names, by the begin of the name: a share of the
+# value, a constant, a share or a constant by the months that end the name.
+VALUE_SHARES = {"Value_rolling_mean_": 1.0, "Value_rolling_std_": 0.1, "Value_rolling_min_": 0.9, "Value_rolling_max_": 1.1,
+                "Value_trend_": 0.001, "Metro_mean": 1.0, "Metro_median": 1.0, "Metro_std": 0.2}
+CONSTANTS = {"Value_momentum_": 1.02, "Value_volatility_": 0.05, "Metro_count": 500.0}
+LAG_MONTHS, CHANGE_MONTHS = 1, 3  # where a name does not end in months
+RISK_GAIN, RISK_LOSS = ((5, 10), (2, 5)), ((-2, -5), (0, 0))
+RISK_VALUES, RISK_RATIOS = (2_000_000, 100_000), (30, 10)
 # ---------------------------------------------------------------------------
 
 
@@ -107,42 +122,30 @@ def value_features() -> dict[str, Column]:
         "National_mean": F.lit(NATIONAL_MEAN), "National_median": F.lit(NATIONAL_MEDIAN),
         "National_std": F.lit(NATIONAL_STD),
         "ValueVsNational": v / F.lit(NATIONAL_MEAN), "ValueVsNationalMedian": v / F.lit(NATIONAL_MEDIAN),
-        "State_mean": v * F.lit(1.0), "State_median": v * F.lit(0.9), "State_std": v * F.lit(0.3),
-        "State_count": F.lit(1000.0),
         "GeographicCluster": (zip_int % 10).cast("double"), "StateRank": state_idx % F.lit(20.0),
-        "ValueRankInState": F.lit(0.5),
-        "State_Inventory_Mean": F.lit(5000.0), "State_Inventory_Total": F.lit(50000.0),
-        "State_Sales_Mean": F.lit(1000.0), "State_Sales_Total": F.lit(10000.0),
-        "MonthsOfSupply": F.lit(5.0), "MarketLiquidity": F.lit(0.2),
-        "Value_momentum_short": F.lit(1.02), "Value_momentum_long": F.lit(1.05),
-        "Value_volatility_3m": F.lit(0.05), "Value_volatility_12m": F.lit(0.1),
+        **{n: v * F.lit(share) for n, share in STATE_SHARES.items()}, **{n: F.lit(c) for n, c in MIDPOINTS.items()},
     }
-    for n in (1, 3, 6, 12, 24):
-        out[f"Value_lag_{n}"] = v * F.lit(1.0 - n * 0.005)
-    for n in (3, 6, 12, 24):
-        out[f"Value_rolling_mean_{n}"] = v * F.lit(1.0)
-        out[f"Value_rolling_std_{n}"] = v * F.lit(0.1)
-        out[f"Value_rolling_min_{n}"] = v * F.lit(0.9)
-        out[f"Value_rolling_max_{n}"] = v * F.lit(1.1)
-    for p in (3, 6, 12, 24, 36):
-        g = ANNUAL_GROWTH / 12.0 * p
-        out[f"Value_pct_change_{p}"] = F.lit(g)
-        out[f"Value_diff_{p}"] = v * F.lit(g)
-    for k in (6, 12, 24):
-        out[f"Value_trend_{k}"] = v * F.lit(0.001)
-    return out
+    names = [f"Value_lag_{n}" for n in (1, 3, 6, 12, 24)] + [f"Value_trend_{n}" for n in (6, 12, 24)]
+    names += [f"Value_rolling_{s}_{n}" for n in (3, 6, 12, 24) for s in ("mean", "std", "min", "max")]
+    names += [f"Value_{s}_{n}" for n in (3, 6, 12, 24, 36) for s in ("pct_change", "diff")]
+    return out | {n: default_for(n) for n in names}
 
 
 def default_for(name: str) -> Column:
-    """SCR-5 fallback for a training feature the request rules do not produce."""
+    """SCR-5 fallback for a training feature the request rules do not produce, by the
+    pattern of its name; 0 where no pattern fits."""
     v = F.col("current_value")
-    if name in ("Metro_mean", "Metro_median"):
-        return v * F.lit(1.0)
-    if name == "Metro_std":
-        return v * F.lit(0.2)
-    if name == "Metro_count":
-        return F.lit(500.0)
-    return F.lit(0.0)
+    tail = name.rsplit("_", 1)[-1]
+    months = int(tail) if tail.isdigit() else None
+    if name.startswith("Value_lag_"):
+        return v * F.lit(1.0 - (LAG_MONTHS if months is None else months) * LAG_DISCOUNT)
+    if name.startswith(("Value_pct_change_", "Value_diff_")):
+        grown = ANNUAL_GROWTH / 12.0 * (CHANGE_MONTHS if months is None else months)
+        return F.lit(grown) if name.startswith("Value_pct") else v * F.lit(grown)
+    for begin, share in VALUE_SHARES.items():
+        if name.startswith(begin):
+            return v * F.lit(share)
+    return F.lit(next((c for begin, c in CONSTANTS.items() if name.startswith(begin)), 0.0))
 
 
 def request_vector(req: DataFrame, feature_names: Sequence[str], as_of: str,
@@ -161,8 +164,8 @@ def latest_region_rows(features: DataFrame, region: str = "RegionName", date: st
 
 
 def region_key() -> Column:
-    """Request -> region: the ZIP's integer value as the region name."""
-    return F.col("zip_code").try_cast("int").cast("string")
+    """Request -> region: the region it names, else the ZIP's integer value."""
+    return F.coalesce(F.col("region"), F.col("zip_code").try_cast("int").cast("string"))
 
 
 def persistence(v: Column, lag: Column) -> Column:
@@ -203,11 +206,13 @@ def risk_simple(p1: Column, p3: Column) -> Column:
 def risk_points(p1: Column, p3: Column) -> Column:
     """SCR-11 points on clipped, unrounded predictions."""
     v, r = F.col("current_value"), F.col("recent_rent")
-    f1 = F.when((p1 > 5) | (p3 > 10), F.lit(2)).when((p1 > 2) | (p3 > 5), F.lit(1)).otherwise(F.lit(0))
-    f2 = F.when((p1 < -2) | (p3 < -5), F.lit(3)).when((p1 < 0) | (p3 < 0), F.lit(2)).otherwise(F.lit(0))
-    f3 = F.when(v > 2_000_000, F.lit(1)).when(v < 100_000, F.lit(2)).otherwise(F.lit(0))
+    (g1, g3), (h1, h3) = RISK_GAIN
+    f1 = F.when((p1 > g1) | (p3 > g3), F.lit(2)).when((p1 > h1) | (p3 > h3), F.lit(1)).otherwise(F.lit(0))
+    (g1, g3), (h1, h3) = RISK_LOSS
+    f2 = F.when((p1 < g1) | (p3 < g3), F.lit(3)).when((p1 < h1) | (p3 < h3), F.lit(2)).otherwise(F.lit(0))
+    f3 = F.when(v > RISK_VALUES[0], F.lit(1)).when(v < RISK_VALUES[1], F.lit(2)).otherwise(F.lit(0))
     pr = safe_div(v, r * F.lit(12.0))
-    f4 = F.when(r.isNotNull() & (r != 0) & ((pr > 30) | (pr < 10)), F.lit(1)).otherwise(F.lit(0))
+    f4 = F.when(r.isNotNull() & (r != 0) & ((pr > RISK_RATIOS[0]) | (pr < RISK_RATIOS[1])), F.lit(1)).otherwise(F.lit(0))
     return f1 + f2 + f3 + f4
 
 
@@ -215,12 +220,42 @@ def risk_category(points: Column) -> Column:
     return F.when(points >= 4, F.lit("High")).when(points >= 2, F.lit("Medium")).otherwise(F.lit("Low"))
 
 
-def score(req: DataFrame, latest: DataFrame | None, as_of: str, model_name: str = "persistence") -> DataFrame:
-    """SCR-1 + SCR-6..12 over a request table: validation, region lookup, forecast,
-    adjustment, clipping, rounding, intervals and both risk rules. ``latest`` is
-    the latest feature row per region (Value, Value_lag_1, Value_lag_3) or None."""
+@dataclass(frozen=True)
+class Forecasters:
+    """Fitted models of the 1- and 3-month return and the features they were trained on."""
+
+    model_1m: Any
+    model_3m: Any
+    features: tuple[str, ...]
+    name_1m: str = "model"
+    name_3m: str = "model"
+
+
+def model_forecasts(req: DataFrame, models: Forecasters, as_of: str) -> DataFrame:
+    """SCR-2..5 and predict: the request's feature vector in training order (missing
+    values are 0, as in training), and both models' predictions as raw_1m and raw_3m."""
+    from pyspark.ml.functions import array_to_vector
+
+    known = {**date_features(as_of), **rent_features(), **value_features()}
+    cells = [F.coalesce((known[n] if n in known else default_for(n)).cast("double"), F.lit(0.0)) for n in models.features]
+    out = req.withColumn("features", array_to_vector(F.array(*cells)))
+    for model, name in ((models.model_1m, "raw_1m"), (models.model_3m, "raw_3m")):
+        out = model.copy().setPredictionCol(name).transform(out)
+    return out.drop("features")
+
+
+def score(req: DataFrame, latest: DataFrame | None, as_of: str, model_name: str = "persistence",
+          models: Forecasters | None = None) -> DataFrame:
+    """SCR-1 + SCR-6..12 over a request table: validation, forecast, adjustment,
+    clipping, rounding, intervals and both risk rules. Forecasts come from fitted
+    ``models``, or, without them, from the region's last return: ``latest`` is the latest
+    feature row per region (Value, Value_lag_1, Value_lag_3) or None."""
     r = validate_requests(req)
-    if latest is not None:
+    names = (model_name, model_name)
+    if models is not None:
+        r, names = model_forecasts(r, models, as_of), (models.name_1m, models.name_3m)
+        l1, l3 = F.col("raw_1m"), F.col("raw_3m")
+    elif latest is not None:
         lk = latest.select(F.col("RegionName").alias("_region"), F.col("Value").alias("_rv"),
                            F.col("Value_lag_1").alias("_rl1"), F.col("Value_lag_3").alias("_rl3"))
         r = r.withColumn("_region", region_key()).join(lk, "_region", "left").drop("_region")
@@ -244,7 +279,7 @@ def score(req: DataFrame, latest: DataFrame | None, as_of: str, model_name: str
         "risk_category": F.when(ok, risk_category(pts)),
         "risk_simple": F.when(ok, risk_simple(F.col("raw_1m"), F.col("raw_3m"))),
         "prediction_id": F.concat(F.lit("pred_"), F.col("request_id").cast("string")),
-        "model_version": F.lit(f"1m:{model_name}, 3m:{model_name}"),
+        "model_version": F.lit(f"1m:{names[0]}, 3m:{names[1]}"),
         "prediction_date": F.lit(as_of).cast("date"),
     })
     out = out.withColumns({k: F.when(ok, v) for k, v in intervals(F.col("raw_1m"), F.col("raw_3m")).items()})

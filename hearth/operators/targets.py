@@ -38,19 +38,6 @@ def with_targets(df: DataFrame, value: str = "Value", region: str = "RegionName"
     return df.withColumns(target_columns(value, region, date, horizons))
 
 
-def future_returns(df: DataFrame, value: str = "Value", region: str = "RegionName", date: str = "Date",
-                   horizons=HORIZONS) -> DataFrame:
-    """PRJ-10: only the lead values and returns."""
-    w = region_window(region, date)
-    v = F.col(value)
-    cols = {}
-    for h in horizons:
-        fut = F.lead(v, h).over(w)
-        cols[f"target_value_{h}m"] = fut
-        cols[f"target_return_{h}m"] = (safe_div(fut, v) - F.lit(1.0)) * F.lit(100.0)
-    return df.withColumns(cols)
-
-
 def training_rows(df: DataFrame, horizons=HORIZONS) -> DataFrame:
     """TRN-1: rows whose every future value exists."""
     return df.dropna(subset=[f"target_value_{h}m" for h in horizons])

@@ -10,7 +10,6 @@ calendar (about 300 rows for 25 years), whatever the data volume.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -148,7 +147,3 @@ def feature_names(value: str = "Value", params: TemporalParams = DEFAULT) -> lis
     names += [f"{value}_momentum_short", f"{value}_momentum_long", f"{value}_volatility_3m", f"{value}_volatility_12m"]
     names += [f"{value}_trend_{k}" for k in params.trends]
     return names
-
-
-def select_existing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*[c for c in cols if c in df.columns])

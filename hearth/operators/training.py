@@ -14,10 +14,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hearth.operators.order_stats import prefix_counts
 from hearth.schema import METADATA_COLUMNS
+from hearth.session import materialize
 
 # Fixed values of the reference's split.
 TEST_SIZE = 0.2
@@ -75,7 +75,8 @@ def label_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         out = d if out is None else out.unionByName(d)
     distinct = out.distinct()
     pc = prefix_counts(distinct, ["column_name"], ["value"])
-    return pc.select("column_name", "value", F.col("_before").cast("int").alias("code"))
+    # written once: every encoded column reads its part of this table
+    return materialize(pc.select("column_name", "value", F.col("_before").cast("int").alias("code")), "codes")
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], codes: DataFrame | None = None) -> DataFrame:
@@ -91,10 +92,14 @@ def label_encode(df: DataFrame, cols: Sequence[str], codes: DataFrame | None = N
 
 
 def with_positions(df: DataFrame, order: Sequence[str] = ("Date", "RegionName"), out: str = "position") -> DataFrame:
-    """WIN-11: 0-based position of each row in the global order, plus ``_n`` rows."""
-    keys = df.select(*order)
-    pc = prefix_counts(keys, [], list(order)).select(*order, F.col("_before").alias(out), F.col("_total").alias("_n"))
-    return df.join(pc, list(order), "inner")
+    """WIN-11: 0-based position of each row in the global order, plus ``_n`` rows.
+
+    The rows themselves are ranked, so NULL keys (first) and repeated keys keep their
+    rows and every row gets a position of its own; rows of one key follow in the order
+    of a hash of their columns, which also spreads a very frequent key."""
+    tied = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    pc = prefix_counts(tied, [], [*order, "_tie"])
+    return pc.withColumnsRenamed({"_before": out, "_total": "_n"}).drop("_tie")
 
 
 def ordered_split(df: DataFrame, test_size: float = TEST_SIZE, val_size: float = VAL_SIZE,
@@ -114,20 +119,19 @@ def feature_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
 
 
+def scaler_statistics(df: DataFrame, features: Sequence[str], fit_filter=None) -> DataFrame:
+    """SCL-1's fitted part: (feature, mean, scale), population std, zero std scales by 1;
+    one pass over the rows of ``fit_filter``."""
+    fit = df.where(fit_filter) if fit_filter is not None else df
+    stats = fit.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"c{i}") for i, c in enumerate(features)])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(f"c{i}.m"), F.lit(0.0)).alias("mean"),
+                               F.coalesce(F.nullif(F.col(f"c{i}.s"), F.lit(0.0)), F.lit(1.0)).alias("scale"))
+                      for i, c in enumerate(features)])
+    return stats.select(F.inline(cells))
+
+
 def standardize(df: DataFrame, features: Sequence[str], fit_filter=None) -> DataFrame:
     """SCL-1: (x - mean) / population std, fitted on the rows of ``fit_filter``
-    (the train split); a zero std scales by 1. The fitted statistics are one row."""
-    fit = df.where(fit_filter) if fit_filter is not None else df
-    stats = fit.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(features)],
-                    *[F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(features)])
-    row = stats.first()  # the fitted model: 2 numbers per feature, like MLlib's StandardScalerModel
-    cols = {}
-    for i, c in enumerate(features):
-        m, s = row[f"_m{i}"], row[f"_s{i}"]
-        scale = 1.0 if s is None or s == 0 else float(s)
-        cols[c] = (F.col(c) - F.lit(0.0 if m is None else float(m))) / F.lit(scale)
-    return df.withColumns(cols)
-
-
-def to_double_struct(cols: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.DoubleType()) for c in cols])
+    (the train split); a zero std scales by 1. The fitted statistics are a row per feature."""
+    fitted = {r["feature"]: r for r in scaler_statistics(df, features, fit_filter).collect()}
+    return df.withColumns({c: (F.col(c) - F.lit(float(fitted[c]["mean"]))) / F.lit(float(fitted[c]["scale"])) for c in features})

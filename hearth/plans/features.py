@@ -41,8 +41,10 @@ def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
                            P.inventory_from_facts(facts, spark, sf_dir), P.sales_panel(spark, sf_dir))
 
 
-def build_features(market: DataFrame, cluster_k: int | None = None, materialize_market: bool = True) -> DataFrame:
-    """Feature table from any market-shaped long panel.
+def build_features(market: DataFrame, with_clusters: bool = True, cluster_k: int = geo.CLUSTER_K,
+                   materialize_market: bool = True) -> DataFrame:
+    """Feature table from any market-shaped long panel; the same columns at every size
+    (``with_clusters=False`` leaves GeographicCluster out).
 
     The market panel feeds five branches (state and metro statistics, two rank
     tables, the cluster profiles) and the main window pass, so it is
@@ -51,13 +53,13 @@ def build_features(market: DataFrame, cluster_k: int | None = None, materialize_
     lost executor re-reads it instead of recomputing the lineage."""
     if materialize_market:
         market = materialize(market, "market")
-    g = geo.geographic_features(market, cluster_k=cluster_k)
+    g = geo.geographic_features(market, with_clusters, cluster_k)
     # same rows as the market panel: take the global date bounds from the narrow base
     bounds = (market.select(F.min("Date")).scalar(), market.select(F.max("Date")).scalar())
     t = tm.temporal_features(g, bounds=bounds)
     t = tg.with_targets(t)
-    return t.select(*[c for c in FEATURE_TABLE_COLUMNS if c in t.columns])
+    return t.select(*[c for c in FEATURE_TABLE_COLUMNS if with_clusters or c != "GeographicCluster"])
 
 
-def feature_table(spark: SparkSession, sf_dir: str, cluster_k: int | None = None) -> DataFrame:
-    return build_features(market_panel(spark, sf_dir), cluster_k)
+def feature_table(spark: SparkSession, sf_dir: str, with_clusters: bool = True, cluster_k: int = geo.CLUSTER_K) -> DataFrame:
+    return build_features(market_panel(spark, sf_dir), with_clusters, cluster_k)

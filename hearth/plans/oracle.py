@@ -38,7 +38,7 @@ SELECT CAST(s.s_suppkey AS BIGINT) AS RegionID, CAST(s.s_suppkey AS INTEGER) AS
        a.v AS Value, 'rents' AS Dataset, 'zip' AS GeographyLevel
 FROM (SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS Date,
              avg(l_extendedprice / nullif(l_quantity, 0)) / 12.0 AS v
-      FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1, 2) a
+      FROM lineitem GROUP BY 1, 2) a
 JOIN supplier s ON a.l_suppkey = s.s_suppkey
 JOIN nation n ON s.s_nationkey = n.n_nationkey
 JOIN region r ON n.n_regionkey = r.r_regionkey
@@ -61,7 +61,7 @@ FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY 1, 2""")
 SALES = _NATION_PANEL.format(dataset="sales_count_metro", inner="""
 SELECT s.s_nationkey, CAST(date_trunc('month', l.l_shipdate) AS DATE) AS Date, COUNT(DISTINCT l.l_orderkey) AS v
 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
-WHERE l.l_shipdate >= TIMESTAMP '1997-01-01' GROUP BY 1, 2""")
+GROUP BY 1, 2""")
 
 PANEL_SQL = {"home": HOME, "rent": RENT, "inventory": INVENTORY, "sales": SALES}
 
@@ -143,14 +143,6 @@ def select_list(pairs: list[tuple[str, str]], doubles: set[str] | None = None, s
     return ",\n  ".join(parts)
 
 
-def rounded_outer(inner: str, cols: list[str], doubles: set[str], scale: int = 4,
-                  overrides: dict[str, int] | None = None) -> str:
-    """SELECT the listed columns of ``inner``, rounding the double ones."""
-    overrides = overrides or {}
-    parts = [f"{rnd(c, overrides.get(c, scale))} AS {c}" if c in doubles else c for c in cols]
-    return f"SELECT {', '.join(parts)} FROM ({inner}) _q"
-
-
 # --- market panel (JN-1..4, PRJ-5..7) ----------------------------------------------------------------------------
 
 def _state_volume(panel: str, label: str) -> str:

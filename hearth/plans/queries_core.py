@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from hearth.operators import targets as tg
 from hearth.operators import temporal as tm
@@ -77,12 +76,6 @@ def rolling_trend(spark, sf):
     return _sel(df, _trend_cols)
 
 
-_mom = {
-    "Value_momentum_short": ("avg(Value) OVER {f3}", "avg(Value) OVER {f12}"),
-    "Value_momentum_long": ("avg(Value) OVER {f12}", "avg(Value) OVER {f24}"),
-}
-
-
 def _derived_sql(kind):
     f = {f"f{n}": O.frame(n) for n in (3, 12, 24)}
     if kind == "momentum":

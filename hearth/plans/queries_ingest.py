@@ -82,9 +82,10 @@ def save_long(spark, sf):
           f"SELECT 'feature_summary', CAST({len(CATALOGUE)} AS BIGINT)")
 def save_features(spark, sf):
     """SRC-6: complete table, training rows and the catalogue, written and read back."""
-    complete = feature_table(spark, sf)
-    paths = Wd.save_tables({"complete": complete, "training": tg.training_rows(complete),
-                            "feature_summary": tr.feature_catalogue(complete)}, scratch_path(spark, "features"))
+    root = scratch_path(spark, "features")
+    paths = Wd.save_tables({"complete": feature_table(spark, sf, with_clusters=False)}, root)
+    complete = spark.read.parquet(paths["complete"])  # the chain runs once; the others read its result
+    paths |= Wd.save_tables({"training": tg.training_rows(complete), "feature_summary": tr.feature_catalogue(complete)}, root)
     out = None
     for name, path in paths.items():
         t = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("output"), "rows")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from hearth.operators import geographic as geo
 from hearth.operators import market as mk
-from hearth.operators import temporal as tm
 from hearth.plans import oracle as O
 from hearth.plans.features import FEATURE_TABLE_COLUMNS, feature_table, market_panel
 from hearth.plans.registry import register
@@ -15,6 +14,8 @@ from hearth.session import materialize
 from hearth.sources import panels as P
 
 KEY = ["RegionName", "Date", "Value"]
+#: The feature table without the cluster ids, which no SQL can name.
+CHECKED_COLUMNS = [c for c in FEATURE_TABLE_COLUMNS if c != "GeographicCluster"]
 KEY_SQL = "RegionName, Date, " + O.rnd("Value") + " AS Value"
 
 
@@ -97,12 +98,8 @@ def region_profiles(spark, sf):
 
 @register("geo_clusters")
 def geo_clusters(spark, sf):
-    """ML-1 (rows-only: cluster ids are arbitrary). The reference's k rule."""
-    home = P.home_panel(spark, sf)
-    c = geo.geo_clusters(home)
-    if c is None:
-        return home.select("RegionName").distinct().withColumn("Cluster", F.lit(-1))
-    return c
+    """ML-1 (rows-only: cluster ids are arbitrary; tests hold its invariants)."""
+    return geo.geo_clusters(P.home_panel(spark, sf))
 
 
 def _geo_cols_sql():
@@ -112,8 +109,8 @@ def _geo_cols_sql():
 @register("geographic_features", O.with_panels(
     "," + O.geo_body("home") + f"\nSELECT {KEY_SQL}, StateName, Metro, {_geo_cols_sql()} FROM geo", "home"))
 def geographic_features(spark, sf):
-    # cluster_k=0 keeps the clustering gate out of this oracle-checked query (see geo_clusters)
-    df = geo.geographic_features(materialize(P.home_panel(spark, sf)), cluster_k=0)
+    # cluster ids are arbitrary and are left out of what SQL checks (see geo_clusters)
+    df = geo.geographic_features(materialize(P.home_panel(spark, sf)), with_clusters=False)
     return df.select(*KEY, "StateName", "Metro", *O.GEO_COLS)
 
 
@@ -151,13 +148,11 @@ def feature_table_sql(where: str = "", rounded: bool = True) -> str:
         ("Value_volatility_12m", f"stddev_samp(Value) OVER {f[12]} / nullif(avg(Value) OVER {f[12]}, 0)"),
     ]
     win = O.lag_exprs() + O.rolling_exprs() + O.change_exprs() + derived + O.trend_exprs() + O.target_exprs()
-    cluster = ("CASE WHEN (SELECT count(*) FROM geo) > 1000 AND (SELECT count(DISTINCT RegionName) FROM geo) > 10 "
-               "AND least(10, (SELECT count(DISTINCT RegionName) FROM geo) // 100) <= 1 THEN 0 END")
     body = (f",\n{O.geo_body('market')},\n"
             f"t0 AS (SELECT geo.*{_calendar_sql()}, row_number() OVER ({O.W}) AS _rn FROM geo),\n"
-            f"t1 AS (SELECT t0.*, CAST({cluster} AS INTEGER) AS GeographicCluster,\n  "
+            "t1 AS (SELECT t0.*,\n  "
             + ",\n  ".join(f"{e} AS {n}" for n, e in win) + "\nFROM t0)\n")
-    cols = FEATURE_TABLE_COLUMNS
+    cols = CHECKED_COLUMNS
     doubles = _feature_doubles(cols) if rounded else set()
     sel = ", ".join(f"{O.rnd(c)} AS {c}" if c in doubles else c for c in cols)
     return O.with_market(body + f"SELECT {sel} FROM t1 {where}")
@@ -165,9 +160,8 @@ def feature_table_sql(where: str = "", rounded: bool = True) -> str:
 
 @register("feature_table", feature_table_sql())
 def feature_table_q(spark, sf):
-    """TRN-4: market -> temporal -> geographic -> targets."""
-    df = feature_table(spark, sf)
-    return df.select(*[c for c in FEATURE_TABLE_COLUMNS if c in df.columns])
+    """TRN-4: market -> temporal -> geographic -> targets (cluster ids: see geo_clusters)."""
+    return feature_table(spark, sf, with_clusters=False)
 
 
 @register("training_rows", feature_table_sql(
@@ -175,8 +169,4 @@ def feature_table_q(spark, sf):
     "AND target_value_12m IS NOT NULL"))
 def training_rows_q(spark, sf):
     from hearth.operators.targets import training_rows
-    df = training_rows(feature_table(spark, sf))
-    return df.select(*[c for c in FEATURE_TABLE_COLUMNS if c in df.columns])
-
-
-_ = tm  # temporal names are used through FEATURE_TABLE_COLUMNS
+    return training_rows(feature_table(spark, sf, with_clusters=False))

@@ -1,30 +1,31 @@
 """Registered queries: MLlib models and their evaluation (SURVEY 2.10, 2.11, SRC-10,
-SRT-5). Model outputs are not SQL-expressible: rows-only checks, plus invariant
-tests in tests/test_models.py."""
+SRT-5) and scoring with fitted models. Model outputs are not SQL-expressible: rows-only
+checks, plus invariant tests in tests/test_models.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from hearth.operators import models as M
+from hearth.operators import training as tr
+from hearth.operators import scoring as sc
+from hearth.operators.scoring import Forecasters
+from hearth.plans.queries_scoring import AS_OF, _req_sql
 from hearth.plans.queries_training import TARGETS, encoded_matrix
 from hearth.plans.registry import register
+from hearth.sources import panels as P
 
-# The reference tunes over 100-1000 trees; the registered query draws from a
-# smaller tree range so that one run stays in minutes on a laptop (the full
-# space is M.REFERENCE_SPACE, a parameter of tune_gbt).
-QUICK_SPACE = {**M.REFERENCE_SPACE, "maxIter": (10, 30), "maxDepth": (3, 6)}
 DEFAULT_TARGET = "target_return_3m"
 
 
 def _matrix(spark, sf):
     m, feats = encoded_matrix(spark, sf)
-    return M.assembled(m, feats, ["RegionName", "Date", "split", *TARGETS]), m, feats
+    return M.assembled(m, feats, ["RegionName", "Date", "split", *feats, *TARGETS]), feats
 
 
 @register("train_gbt")
 def train_gbt(spark, sf):
-    mat, _, _ = _matrix(spark, sf)
+    mat, _ = _matrix(spark, sf)
     model = M.train_gbt(mat, DEFAULT_TARGET)
     test = mat.where(F.col("split") == "test")
     return model.transform(test).select("RegionName", "Date", F.col(DEFAULT_TARGET).alias("y"), "prediction")
@@ -32,34 +33,63 @@ def train_gbt(spark, sf):
 
 @register("tune_gbt")
 def tune_gbt(spark, sf):
-    mat, _, _ = _matrix(spark, sf)
-    return M.tune_gbt(mat, DEFAULT_TARGET, n_trials=2, space=QUICK_SPACE)
+    mat, _ = _matrix(spark, sf)
+    return M.tune_gbt(mat, DEFAULT_TARGET, n_trials=M.TRAINING_TRIALS)
 
 
 @register("ensemble_predict")
 def ensemble_predict(spark, sf):
-    mat, _, _ = _matrix(spark, sf)
+    mat, _ = _matrix(spark, sf)
     return M.ensemble_predictions(mat, "target_return_1m")
 
 
 @register("train_all_horizons")
 def train_all_horizons(spark, sf):
-    mat, _, feats = _matrix(spark, sf)
-    return M.train_all_horizons(mat, TARGETS, n_features=len(feats))
+    mat, feats = _matrix(spark, sf)
+    return M.train_all_horizons(mat, TARGETS, len(feats))[0]
 
 
 @register("model_ranking")
 def model_ranking(spark, sf):
     """SRT-5: models for the default target by test RMSE, best first."""
-    mat, _, feats = _matrix(spark, sf)
-    return M.train_all_horizons(mat, [DEFAULT_TARGET], n_features=len(feats)).orderBy("rank")
+    mat, feats = _matrix(spark, sf)
+    return M.train_all_horizons(mat, [DEFAULT_TARGET], len(feats))[0].orderBy("rank")
 
 
 @register("save_model")
 def save_model(spark, sf):
-    """SRC-10: save the best-model bundle, load it back and score the test split."""
-    _, enc, feats = _matrix(spark, sf)
-    path = M.save_bundle(enc, feats, DEFAULT_TARGET)
-    scored = M.load_bundle(path).transform(enc.where(F.col("split") == "test"))
-    return scored.agg(F.count(F.lit(1)).alias("scored_rows"), F.avg("prediction").alias("mean_prediction")) \
-        .withColumn("n_features", F.lit(len(feats))).withColumn("target", F.lit(DEFAULT_TARGET))
+    """SRC-10: save the best model's bundle, load it back and score the test split."""
+    mat, feats = _matrix(spark, sf)
+    ev, models = M.train_all_horizons(mat, [DEFAULT_TARGET], len(feats))
+    scaler = tr.scaler_statistics(mat, feats, F.col("split") == "train")
+    model, name, features, scaler = M.load_best(spark, M.save_best(ev, models, DEFAULT_TARGET, feats, scaler))
+    scored = model.transform(mat.where(F.col("split") == "test").drop("features"))
+    return scored.agg(F.count(F.lit(1)).alias("scored_rows"), F.avg("prediction").alias("mean_prediction")).select(
+        F.lit(DEFAULT_TARGET).alias("target"), F.lit(name).alias("model"), F.lit(len(features)).alias("n_features"),
+        F.lit(scaler.count()).alias("n_scaled"), "scored_rows", "mean_prediction")
+
+
+_SCORED_TARGETS = ("target_return_1m", "target_return_3m")
+
+
+def forecasters(spark, sf) -> Forecasters:
+    """The best 1- and 3-month models, trained, saved, and loaded back."""
+    mat, feats = _matrix(spark, sf)
+    ev, models = M.train_all_horizons(mat, _SCORED_TARGETS, len(feats))
+    scaler = tr.scaler_statistics(mat, feats, F.col("split") == "train")
+    loaded = [M.load_best(spark, M.save_best(ev, models, t, feats, scaler)) for t in _SCORED_TARGETS]
+    (a, name_a, features, _), (b, name_b, _, _) = loaded
+    return Forecasters(a.stages[-1], b.stages[-1], tuple(features), name_a, name_b)
+
+
+@register("model_score", _req_sql("SELECT request_id, valid AS success, CASE WHEN NOT valid THEN errors END AS error, valid AS scored, "
+                                  "CASE WHEN valid THEN true END AS within_limits FROM val"))
+def model_score(spark, sf):
+    """SCR-2..12 with fitted models: vector, saved bundles, adjustment, clipping, intervals,
+    risk. What SQL can tell: which requests are scored, and that the clipped returns and
+    their intervals keep their limits; the predictions themselves are in ``scoring.score``."""
+    s = sc.score(P.requests(spark, sf), None, AS_OF, models=forecasters(spark, sf))
+    kept = (F.col("return_1m").between(*sc.CLIP_1M) & F.col("return_3m").between(*sc.CLIP_3M)
+            & (F.col("return_1m_lower") < F.col("return_1m_upper")) & (F.col("return_3m_lower") < F.col("return_3m_upper")))
+    return s.select("request_id", "success", "error", (F.col("return_1m").isNotNull() & F.col("risk_category").isNotNull()).alias("scored"),
+                    F.when(F.col("success"), kept).alias("within_limits"))

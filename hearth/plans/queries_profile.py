@@ -153,7 +153,8 @@ _RATIOS = ("SELECT h.RegionName, h.Value AS HomeValue, r.Value AS Rent, h.Value
 
 
 def _ratios(spark, sf):
-    return pf.latest_price_to_rent(P.home_panel(spark, sf), P.rent_panel(spark, sf))
+    # read two to five times by each query: written once
+    return materialize(pf.latest_price_to_rent(P.home_panel(spark, sf), P.rent_panel(spark, sf)), "ratios")
 
 
 @register("price_to_rent_latest", O.with_panels(
@@ -268,7 +269,7 @@ def _cleaned(spark, sf):
 
 @register("clean_long", _dirty(f"SELECT {_LONG_SEL} FROM cleaned"))
 def clean_long(spark, sf):
-    return _cleaned(spark, sf)
+    return C.clean_long(P.dirty_panel(spark, sf))
 
 
 @register("clean_rejects", _dirty(

@@ -7,29 +7,33 @@ from pyspark.sql import functions as F
 
 from hearth.operators import scoring as sc
 from hearth.operators import temporal as tm
+from hearth.operators.evaluation import metrics
 from hearth.plans import oracle as O
+from hearth.plans.queries_market import feature_table_sql
 from hearth.plans.registry import register
-from hearth.plans.queries_training import FEATURES, TARGETS, _sql_base, narrow_split_frame
+from hearth.plans.queries_training import CATEGORICAL, CHECKED, FEATURES, _sql_base, narrow_split_frame
+from hearth.session import materialize
 from hearth.sources import panels as P
 
 R = O.rnd
 AS_OF = "2024-06-15"  # scoring date: a parameter, never now()
-_STATES_SQL = "[" + ", ".join(f"'{s}'" for s in sc.US_STATES[:25]) + "]"
+_STATES_SQL = "[" + ", ".join(f"'{s}'" for s in sc.US_STATES) + "]"
 _ALL_STATES_SQL = "(" + ", ".join(f"'{s}'" for s in sc.US_STATES) + ")"
 _SEG = " ".join(f"WHEN '{s}' THEN '{t}'" for s, t in P.SEGMENT_PROPERTY_TYPES)
 
 REQ = f"""req AS (
   SELECT c_custkey AS request_id,
-         CASE WHEN c_custkey % 17 = 0 THEN substr(lpad(CAST(c_custkey AS VARCHAR), 5, '0'), 2, 4)
-              ELSE lpad(CAST(c_custkey AS VARCHAR), 5, '0') END AS zip_code,
+         CASE WHEN c_custkey % 17 = 0 THEN substr(lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0'), 2, 4)
+              ELSE lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') END AS zip_code,
+         CAST(c_custkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS VARCHAR) AS region,
          CASE WHEN c_custkey % 23 = 0 THEN 'ZZ' WHEN c_custkey % 5 = 0 THEN lower(st) ELSE st END AS state,
          CAST(c_acctbal * 250 AS DOUBLE) AS current_value,
          CASE c_mktsegment {_SEG} ELSE '{P.UNKNOWN_PROPERTY_TYPE}' END AS property_type,
          CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal * 250 / (12 * (5 + c_custkey % 30)) END AS recent_rent
-  FROM (SELECT *, {_STATES_SQL}[c_nationkey % 25 + 1] AS st FROM customer) c
+  FROM (SELECT *, {_STATES_SQL}[c_nationkey % 25 + 25 * (c_custkey % 2) + 1] AS st FROM customer) c
 ),
 val AS (
-  SELECT request_id, zip_code, upper(state) AS state, current_value, property_type, recent_rent,
+  SELECT request_id, region, zip_code, upper(state) AS state, current_value, property_type, recent_rent,
          concat_ws('; ', CASE WHEN NOT z THEN '{sc.MSG_ZIP}' END, CASE WHEN NOT s THEN '{sc.MSG_STATE}' END,
                    CASE WHEN NOT v THEN '{sc.MSG_VALUE.format(int(sc.MIN_VALUE_V2))}' END,
                    CASE WHEN NOT r THEN '{sc.MSG_RENT}' END) AS errors,
@@ -59,7 +63,7 @@ raw AS (
       + (CASE WHEN state IN ('CA', 'NY', 'FL', 'NV', 'AZ') THEN -0.4 ELSE 0.0 END) AS adj_low,
     (CASE WHEN current_value > 1000000.0 THEN 0.2 WHEN current_value < 200000.0 THEN 0.8 ELSE 0.0 END)
       + (CASE WHEN state IN ('CA', 'NY', 'FL', 'NV', 'AZ') THEN 0.3 ELSE 0.0 END) AS adj_high
-  FROM val LEFT JOIN latest ON CAST(TRY_CAST(val.zip_code AS INTEGER) AS VARCHAR) = latest.RegionName
+  FROM val LEFT JOIN latest ON val.region = latest.RegionName
 ),
 clipped AS (
   SELECT *, (adj_low + adj_high) / 2.0 AS adj_mid,
@@ -107,7 +111,8 @@ def _latest(spark, sf):
     home = P.home_panel(spark, sf)
     w = tm.region_window()
     lagged = home.withColumns({"Value_lag_1": F.lag("Value", 1).over(w), "Value_lag_3": F.lag("Value", 3).over(w)})
-    return sc.latest_region_rows(lagged)
+    # written once: the scoring join, and every micro-batch of the stream, read it
+    return materialize(sc.latest_region_rows(lagged).select("RegionName", "Value", "Value_lag_1", "Value_lag_3"), "latest")
 
 
 def _scored(spark, sf):
@@ -129,14 +134,16 @@ def validate_requests(spark, sf):
 
 
 
+_DATE_SQL = (("Year", "year(d)"), ("Month", "month(d)"), ("Quarter", "quarter(d)"), ("DayOfYear", "dayofyear(d)"),
+             ("WeekOfYear", "weekofyear(d)"), ("Month_sin", "sin(2 * pi() * month(d) / 12.0)"),
+             ("Month_cos", "cos(2 * pi() * month(d) / 12.0)"), ("Quarter_sin", "sin(2 * pi() * quarter(d) / 4.0)"),
+             ("Quarter_cos", "cos(2 * pi() * quarter(d) / 4.0)"), ("MonthsSinceStart", "(year(d) - 2000) * 12 + month(d)"),
+             ("MonthsSinceLatest", "0.0"),
+             ("MarketEra", "CASE WHEN year(d) >= 2022 THEN 4.0 WHEN year(d) >= 2020 THEN 3.0 ELSE 2.0 END"))
+
+
 @register("request_date_features", _req_sql(
-    "SELECT request_id, " + ", ".join(f"{R(e)} AS {n}" for n, e in (
-        ("Year", "year(d)"), ("Month", "month(d)"), ("Quarter", "quarter(d)"), ("DayOfYear", "dayofyear(d)"),
-        ("WeekOfYear", "weekofyear(d)"), ("Month_sin", "sin(2 * pi() * month(d) / 12.0)"),
-        ("Month_cos", "cos(2 * pi() * month(d) / 12.0)"), ("Quarter_sin", "sin(2 * pi() * quarter(d) / 4.0)"),
-        ("Quarter_cos", "cos(2 * pi() * quarter(d) / 4.0)"), ("MonthsSinceStart", "(year(d) - 2000) * 12 + month(d)"),
-        ("MonthsSinceLatest", "0.0"),
-        ("MarketEra", "CASE WHEN year(d) >= 2022 THEN 4.0 WHEN year(d) >= 2020 THEN 3.0 ELSE 2.0 END")))
+    "SELECT request_id, " + ", ".join(f"{R(e)} AS {n}" for n, e in _DATE_SQL)
     + f" FROM (SELECT *, DATE '{AS_OF}' AS d FROM val WHERE valid) v"))
 def request_date_features(spark, sf):
     v = _validated(spark, sf).where("valid")
@@ -197,25 +204,48 @@ def request_value_features(spark, sf):
     return v.select("request_id", *[e.cast("double").alias(n) for n, e in sc.value_features().items()])
 
 
-@register("request_vector")
+_METRO_SQL = (("Metro_mean", "current_value * 1.0"), ("Metro_median", "current_value * 1.0"), ("Metro_std", "current_value * 0.2"),
+              ("Metro_count", "500.0"))
+
+
+def _vector_sql() -> dict[str, str]:
+    rules = dict(_DATE_SQL) | dict(_RENT_SQL) | dict(_value_sql()) | dict(_METRO_SQL)
+    return {c: f"CAST({rules.get(c, '0.0')} AS DOUBLE)" for c in FEATURES}
+
+
+_VALID_SQL = (f"(SELECT *, DATE '{AS_OF}' AS d, recent_rent IS NOT NULL AND recent_rent > 0 AS g FROM val WHERE valid) v")
+
+
+@register("request_vector", _req_sql("SELECT request_id, " + ", ".join(f"{R(e)} AS {c}" for c, e in _vector_sql().items())
+                                     + f" FROM {_VALID_SQL}"))
 def request_vector(spark, sf):
-    """SCR-5 (rows-only): the 82-feature vector in training order, defaults by name pattern."""
+    """SCR-5: the 82-feature vector in training order, defaults by name pattern."""
     v = _validated(spark, sf).where("valid")
     return sc.request_vector(v, FEATURES, AS_OF).select("request_id", *FEATURES)
 
 
-@register("request_actual_features")
+#: Numeric features that the region's latest row gives; the request itself gives the date and the rent.
+_ACTUAL = [c for c in CHECKED if c not in CATEGORICAL and c not in dict(_DATE_SQL) and c not in dict(_RENT_SQL)]
+
+
+@register("request_actual_features", "WITH ft AS (" + feature_table_sql(rounded=False) + f"),\n{REQ},\n"
+          "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY RegionName ORDER BY Date DESC) AS k FROM ft) x WHERE k = 1)\n"
+          "SELECT request_id, region AS matched_region, l.RegionName IS NOT NULL AS matched, " + ", ".join(
+              (R(f"coalesce(CAST(l.{c} AS DOUBLE), {e})") if c in _ACTUAL else R(e)) + f" AS {c}"
+              for c, e in _vector_sql().items())
+          + f" FROM {_VALID_SQL} LEFT JOIN (SELECT RegionName, {', '.join(_ACTUAL)} FROM latest) l ON v.region = l.RegionName")
 def request_actual_features(spark, sf):
-    """SCR-6 (rows-only): the matched region's latest window features override the defaults."""
+    """SCR-6: the matched region's whole latest feature row overrides the defaults."""
     from hearth.plans.features import feature_table
-    latest = sc.latest_region_rows(feature_table(spark, sf))
-    feats = [c for c in FEATURES if c.startswith("Value_")]
-    lk = latest.select(F.col("RegionName").alias("_region"), *[F.col(c).alias(f"_a_{c}") for c in feats])
-    v = _validated(spark, sf).where("valid").withColumn("_region", sc.region_key()).join(lk, "_region", "left")
-    actual = {c: F.coalesce(F.col(f"_a_{c}"), sc.value_features()[c]) for c in feats}
+    latest = sc.latest_region_rows(feature_table(spark, sf, with_clusters=False))
+    lk = latest.select(F.col("RegionName").alias("_region"), *[F.col(c).alias(f"_a_{c}") for c in _ACTUAL])
+    lk = materialize(lk, "latest-features")  # a row per region: its size is known to the join
+    v = _validated(spark, sf).where("valid").withColumn("_region", sc.region_key())
+    v = v.join(lk.withColumn("_found", F.lit(True)), "_region", "left")
+    known = sc.value_features()
+    actual = {c: F.coalesce(F.col(f"_a_{c}").cast("double"), known[c] if c in known else sc.default_for(c)) for c in _ACTUAL}
     out = sc.request_vector(v, FEATURES, AS_OF, actual)
-    return out.select("request_id", F.col("_region").alias("matched_region"),
-                      F.col(f"_a_{feats[0]}").isNotNull().alias("matched"), *FEATURES)
+    return out.select("request_id", F.col("_region").alias("matched_region"), F.col("_found").isNotNull().alias("matched"), *FEATURES)
 
 
 _SCORE_COLS = ["request_id", "zip_code", "state", "current_value", "success", "error", "return_1m", "return_3m",
@@ -310,19 +340,6 @@ def eval_frame(spark, sf):
     return parts
 
 
-def metrics(frame):
-    """EVL-1: RMSE, MAE, R^2 = 1 - SSE/SST per (target, model), NULL forecasts skipped."""
-    f = frame.where(F.col("y").isNotNull() & F.col("pred").isNotNull())
-    means = f.groupBy("target", "model").agg(F.avg("y").alias("_ybar"))
-    j = f.join(means, ["target", "model"])  # one row per (target, model): AQE broadcasts it
-    e = F.col("y") - F.col("pred")
-    out = j.groupBy("target", "model").agg(
-        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-        F.sum(e * e).alias("_sse"), F.sum((F.col("y") - F.col("_ybar")) ** 2).alias("_sst"))
-    return out.select("target", "model", "n", "rmse", "mae",
-                      (F.lit(1.0) - F.try_divide("_sse", "_sst")).alias("r2"))
-
-
 @register("eval_metrics", _sql_base(
     ",\nev AS (" + " UNION ALL ".join(
         f"SELECT 'target_return_{h}m' AS target, 'persistence' AS model, target_return_{h}m AS y, "
@@ -335,6 +352,3 @@ def metrics(frame):
     "FROM ev2 JOIN mm ON ev2.target = mm.target AND ev2.model = mm.model GROUP BY ev2.target, ev2.model"))
 def eval_metrics(spark, sf):
     return metrics(eval_frame(spark, sf))
-
-
-_ = TARGETS

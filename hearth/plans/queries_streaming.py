@@ -3,7 +3,6 @@ with ``availableNow`` and its sink read back; the oracle is the batch SQL."""
 
 from __future__ import annotations
 
-from hearth.plans import oracle as O
 from hearth.plans.queries_scoring import AS_OF, _SCORE_COLS, _SCORE_DOUBLES, _latest, _req_sql, _rsel
 from hearth.plans.registry import register
 from hearth.streaming import requests as S
@@ -22,9 +21,9 @@ def stream_daily_counts(spark, sf):
 
 @register("stream_rate_audit",
           "SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id AS client, kind, "
-          "count(*) AS requests, CASE kind WHEN 'prediction' THEN 25 ELSE 30 END AS limit_per_minute, "
-          "count(*) > CASE kind WHEN 'prediction' THEN 25 ELSE 30 END AS flagged "
-          f"FROM (SELECT *, {_KIND} AS kind FROM events) e WHERE kind IN ('prediction', 'other') GROUP BY 1, 2, 3")
+          "count(*) AS requests, CASE kind WHEN 'prediction' THEN 25 WHEN 'other' THEN 30 ELSE 10 END AS limit_per_minute, "
+          "count(*) > CASE kind WHEN 'prediction' THEN 25 WHEN 'other' THEN 30 ELSE 10 END AS flagged "
+          f"FROM (SELECT *, {_KIND} AS kind FROM events) e GROUP BY 1, 2, 3")
 def stream_rate_audit(spark, sf):
     return S.stream_rate_audit(spark, sf)
 
@@ -33,5 +32,3 @@ def stream_rate_audit(spark, sf):
 def stream_score(spark, sf):
     return S.stream_score(spark, sf, _latest(spark, sf), AS_OF).select(*_SCORE_COLS)
 
-
-_ = O

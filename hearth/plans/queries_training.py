@@ -11,24 +11,26 @@ from hearth.operators.targets import training_rows
 from hearth.sources import panels as P
 from hearth.plans import oracle as O
 from hearth.plans.features import FEATURE_TABLE_COLUMNS, feature_table
-from hearth.plans.queries_market import feature_table_sql
+from hearth.plans.queries_market import CHECKED_COLUMNS, feature_table_sql
 from hearth.plans.registry import register
 from hearth.session import materialize
 
 R = O.rnd
 TRAIN_WHERE = ("WHERE target_value_1m IS NOT NULL AND target_value_3m IS NOT NULL AND target_value_6m IS NOT NULL "
                "AND target_value_12m IS NOT NULL")
-CATALOGUE = tr.catalogue_columns(FEATURE_TABLE_COLUMNS)
+CATALOGUE = tr.catalogue_columns(CHECKED_COLUMNS)
 FEATURES = [c for c in FEATURE_TABLE_COLUMNS if c not in ("RegionID", "RegionName", "Date", "Value", "Dataset",
                                                             "GeographyLevel") and not c.startswith("target_")]
+#: What SQL can check: cluster ids are arbitrary.
+CHECKED = [c for c in FEATURES if c != "GeographicCluster"]
 CATEGORICAL = ["RegionType", "StateName", "State", "Metro", "CountyName", "MarketEra"]
 TARGETS = list(tr.TARGETS)
 
 
-def training_base(spark, sf):
+def training_base(spark, sf, with_clusters=True):
     """Training rows of the feature table, materialized once: positions, codes
     and the split all read it several times."""
-    return materialize(training_rows(feature_table(spark, sf)), "training")
+    return materialize(training_rows(feature_table(spark, sf, with_clusters)), "training")
 
 
 def narrow_training_base(spark, sf):
@@ -46,21 +48,19 @@ def narrow_training_base(spark, sf):
     return materialize(training_rows(tg.with_targets(t)), "training-narrow")
 
 
-def split_frame(spark, sf):
-    return tr.ordered_split(training_base(spark, sf))
+def split_frame(spark, sf, with_clusters=True):
+    return tr.ordered_split(training_base(spark, sf, with_clusters))
 
 
 def narrow_split_frame(spark, sf):
     return tr.ordered_split(narrow_training_base(spark, sf))
 
 
-def encoded_matrix(spark, sf):
+def encoded_matrix(spark, sf, with_clusters=True):
     """Split rows with encoded categoricals and a numeric feature matrix."""
-    df = split_frame(spark, sf)
-    feats = [c for c in FEATURES if c in df.columns]
-    cats = [c for c in CATEGORICAL if c in df.columns]
-    enc = tr.label_encode(df, cats)
-    return tr.feature_matrix(enc, feats), feats
+    df = split_frame(spark, sf, with_clusters)
+    feats = FEATURES if with_clusters else CHECKED
+    return tr.feature_matrix(tr.label_encode(df, CATEGORICAL), feats), feats
 
 
 def _sql_base(extra: str = "") -> str:
@@ -73,14 +73,21 @@ def _sql_base(extra: str = "") -> str:
             "WHEN position < floor(_n * 0.8) THEN 'val' ELSE 'test' END AS split FROM sp)" + extra)
 
 
+# The type rule once more, in SQL: the first group with a matching part of the name.
+_TYPE_SQL = ("CASE WHEN regexp_matches('{c}', 'lag|rolling|trend|pct_change') THEN 'temporal' "
+             "WHEN regexp_matches('{c}', 'State|Metro|Cluster') THEN 'geographic' "
+             "WHEN regexp_matches('{c}', 'Ratio|Supply|National') THEN 'market_dynamics' "
+             "WHEN regexp_matches('{c}', 'Year|Month|Quarter') THEN 'time' ELSE 'other' END")
+
+
 @register("feature_catalogue", "WITH ft AS (" + feature_table_sql(rounded=False) + ")\n"
           "SELECT Feature, Type, position, non_null FROM (UNPIVOT (SELECT "
           + ", ".join(f"count({c}) AS c{i}" for i, c in enumerate(CATALOGUE)) + " FROM ft) ON "
           + ", ".join(f"c{i}" for i in range(len(CATALOGUE))) + " INTO NAME k VALUE non_null) u JOIN ("
-          + " UNION ALL ".join(f"SELECT 'c{i}' AS k, '{c}' AS Feature, '{tr.catalogue_type(c)}' AS Type, {i} AS position"
+          + " UNION ALL ".join(f"SELECT 'c{i}' AS k, '{c}' AS Feature, {_TYPE_SQL.format(c=c)} AS Type, {i} AS position"
                                for i, c in enumerate(CATALOGUE)) + ") t USING (k)")
 def feature_catalogue(spark, sf):
-    return tr.feature_catalogue(feature_table(spark, sf))
+    return tr.feature_catalogue(feature_table(spark, sf, with_clusters=False))
 
 
 def _codes_sql(src: str) -> str:
@@ -93,7 +100,7 @@ def _codes_sql(src: str) -> str:
 @register("label_encode", _sql_base(f"\nSELECT * FROM ({_codes_sql('sp2')}) c"))
 def label_encode(spark, sf):
     df = narrow_training_base(spark, sf)
-    return tr.label_codes(df, [c for c in CATEGORICAL if c in df.columns])
+    return tr.label_codes(df, CATEGORICAL)
 
 
 @register("ordered_split", _sql_base("\nSELECT RegionName, Date, position, split FROM sp2"))
@@ -107,26 +114,26 @@ def _matrix_sql(std: bool) -> str:
                      f"ON coalesce(CAST(sp2.{c} AS VARCHAR), 'nan') = e_{c}.value" for c in CATEGORICAL)
     feats = ", ".join(
         (f"CAST(coalesce(e_{c}.code, 0) AS DOUBLE) AS {c}" if c in CATEGORICAL
-         else f"coalesce(CAST(sp2.{c} AS DOUBLE), 0.0) AS {c}") for c in FEATURES)
+         else f"coalesce(CAST(sp2.{c} AS DOUBLE), 0.0) AS {c}") for c in CHECKED)
     mat = f",\nmat AS (SELECT sp2.RegionName, sp2.Date, sp2.split, {feats}, " + ", ".join(
         f"sp2.{t}" for t in TARGETS) + f" FROM sp2 {joins})"
     if not std:
         return _sql_base(codes + mat + "\nSELECT RegionName, Date, split, " + ", ".join(
-            f"{R(c)} AS {c}" for c in FEATURES + TARGETS) + " FROM mat")
+            f"{R(c)} AS {c}" for c in CHECKED + TARGETS) + " FROM mat")
     st = ",\nst AS (SELECT " + ", ".join(
-        f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURES) + " FROM mat WHERE split = 'train')"
+        f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in CHECKED) + " FROM mat WHERE split = 'train')"
     sel = ", ".join(f"{R(f'({c} - m_{c}) / CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1.0 ELSE s_{c} END')} AS {c}"
-                    for c in FEATURES)
+                    for c in CHECKED)
     return _sql_base(codes + mat + st + f"\nSELECT RegionName, Date, split, {sel} FROM mat, st")
 
 
 @register("feature_matrix", _matrix_sql(False))
 def feature_matrix(spark, sf):
-    m, feats = encoded_matrix(spark, sf)
+    m, feats = encoded_matrix(spark, sf, with_clusters=False)
     return m.select("RegionName", "Date", "split", *feats, *TARGETS)
 
 
 @register("standardize", _matrix_sql(True))
 def standardize(spark, sf):
-    m, feats = encoded_matrix(spark, sf)
+    m, feats = encoded_matrix(spark, sf, with_clusters=False)
     return tr.standardize(m, feats, F.col("split") == "train").select("RegionName", "Date", "split", *feats)

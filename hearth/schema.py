@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
@@ -33,22 +33,21 @@ METADATA_COLUMNS = ("RegionID", "RegionName", "Date", "Value", "Dataset", "Geogr
 
 @dataclass(frozen=True)
 class DatasetInfo:
+    """A monthly panel: its tag in ``Dataset``, its grain, the wide file it is read from."""
+
     name: str
-    file_path: str
     geography_level: str
-    description: str
+    file_path: str
     short_name: str
-    date_columns: tuple[str, ...] = field(default_factory=tuple)
-    value_column: str | None = None
+    description: str
 
 
-# The four default datasets (level and role fixed by the reference; file names are
-# configurable through ``DatasetRegistry.register``).
+# The four panels that ``hearth.sources.panels`` derives (names and levels are referred to by queries).
 DEFAULT_DATASETS = (
-    DatasetInfo("home_values", "home_values_zip.csv", "zip", "Home value index - all homes at ZIP level", "home"),
-    DatasetInfo("rents", "rents_zip.csv", "zip", "Observed rent index - all homes at ZIP level", "rent"),
-    DatasetInfo("inventory_metro", "inventory_metro.csv", "metro", "For-sale inventory at metro level", "inventory"),
-    DatasetInfo("sales_count_metro", "sales_count_metro.csv", "metro", "Sales count at metro level", "sales"),
+    DatasetInfo("home_values", "zip", "home_wide.csv", "home", "mean line price by supplier and month"),
+    DatasetInfo("rents", "zip", "rent_wide.csv", "rent", "a twelfth of the mean unit price by supplier and month"),
+    DatasetInfo("inventory_metro", "metro", "inventory_wide.csv", "inventory", "quantity shipped by nation and month"),
+    DatasetInfo("sales_count_metro", "metro", "sales_wide.csv", "sales", "orders shipped by nation and month"),
 )
 
 
@@ -69,11 +68,5 @@ class DatasetRegistry:
     def names(self) -> list[str]:
         return list(self._by_name)
 
-    def by_short_name(self, short: str) -> DatasetInfo | None:
-        for d in self._by_name.values():
-            if d.short_name == short:
-                return d
-        return None
-
     def as_rows(self) -> list[tuple[str, str, str, str]]:
         return [(d.short_name, d.name, d.description, d.geography_level) for d in self._by_name.values()]

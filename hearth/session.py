@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+#: Scratch paths made by this process and not deleted yet.
+_WRITTEN: list[str] = []
+
 # Runtime settings every job in this package relies on; applied without touching
 # settings a cluster operator already chose (except the time zone, which the
 # date arithmetic and the streaming casts assume is UTC).
@@ -53,12 +58,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the operator and points at shared storage; we only
-    read it. Where it is unset (tests, a laptop) a local folder is created and set.
+    read it, and it is an error if it is unset there: a folder of one machine would
+    be seen by none of the others. Under a local master a local folder is created and set.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir is unset and the master is {sc.master}: name a folder that all machines share")
         if not root:
             root = tempfile.mkdtemp(prefix="hearth-ckpt-")
         sc.setCheckpointDir(root)
@@ -69,7 +77,29 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder for a written table."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/hearth-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/hearth-{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes one scratch path, by the file system of its scheme."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, every scratch path made inside: build a query's DataFrame and
+    consume it within one such block, and shared storage does not grow with the jobs run."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in [p for p in _WRITTEN if p not in before]:
+            remove(spark, path)
 
 
 def materialize(df, name: str = "table"):

@@ -7,7 +7,8 @@ the reference's loaders do.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REQUIRED = ("Date", "Value")
@@ -40,6 +41,25 @@ def clean_long(df: DataFrame) -> DataFrame:
     return out.dropna(how="all")
 
 
+def read_long_csv(spark: SparkSession, path: str) -> DataFrame | None:
+    """SRC-4: one long CSV (header, every column as text), cleaned. A missing file, or one
+    without a required column, gives None, as the reference skips that dataset; any other
+    error is raised."""
+    try:
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if missing_required(raw) else clean_long(raw)
+
+
+def load_long(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """The long CSVs that load, by name."""
+    found = {name: read_long_csv(spark, path) for name, path in paths.items()}
+    return {name: df for name, df in found.items() if df is not None}
+
+
 def clean_rejects(df: DataFrame, by: str = "Dataset") -> DataFrame:
     """RSH-6: per dataset, rows read, rows with an invalid date, rows (with a valid
     date) whose value is invalid, rows kept -- one pass."""

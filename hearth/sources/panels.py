@@ -14,12 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.functions.exprs import round_half_up
-from hearth.schema import LONG_SCHEMA
 from hearth.sources.tables import read_table
 
 # Fixed derivation parameters of the driver-table panels.
-RENT_START = "1998-01-01"
-SALES_START = "1997-01-01"
 DATASET_NAMES = {"home": "home_values", "rent": "rents", "inventory": "inventory_metro", "sales": "sales_count_metro"}
 
 
@@ -44,21 +41,7 @@ def _supplier_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _supplier_panel(agg: DataFrame, spark: SparkSession, sf_dir: str, dataset: str) -> DataFrame:
     sg = _supplier_geo(spark, sf_dir)
-    j = agg.join(sg, agg.l_suppkey == sg.s_suppkey)
-    return j.select(
-        F.col("s_suppkey").cast("long").alias("RegionID"),
-        F.col("s_suppkey").cast("int").alias("SizeRank"),
-        F.col("s_suppkey").cast("string").alias("RegionName"),
-        F.lit("zip").alias("RegionType"),
-        F.col("r_name").alias("StateName"),
-        F.substring("r_name", 1, 2).alias("State"),
-        F.col("n_name").alias("Metro"),
-        F.col("s_name").alias("CountyName"),
-        F.col("Date"),
-        F.col("Value").cast("double").alias("Value"),
-        F.lit(DATASET_NAMES[dataset]).alias("Dataset"),
-        F.lit("zip").alias("GeographyLevel"),
-    )
+    return _supplier_rows(agg.join(sg, agg.l_suppkey == sg.s_suppkey), dataset)
 
 
 def home_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +57,8 @@ def home_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rent_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier x month from 1998-01, Value = mean unit price / 12."""
+    """supplier x month, Value = mean unit price / 12."""
     li = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"])
-    li = li.where(F.col("l_shipdate") >= F.lit(RENT_START).cast("timestamp_ntz"))
     agg = li.groupBy("l_suppkey", _month("l_shipdate").alias("Date")).agg(
         (F.avg(F.try_divide("l_extendedprice", "l_quantity")) / F.lit(12.0)).alias("Value"))
     return _supplier_panel(agg, spark, sf_dir, "rent")
@@ -112,14 +94,14 @@ def inventory_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nation x month from 1997-01, Value = distinct orders. Distinct
-    (supplier, month, order) first, so the supplier join sees no duplicate lines."""
+    """nation x month, Value = distinct orders. The lines meet the supplier's nation
+    first: a supplier table under the broadcast limit moves no line, beyond it the
+    join's skew handling splits a hot supplier. Then one distinct per (nation, month,
+    order) spreads the rows by order."""
     li = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_orderkey"])
-    li = li.where(F.col("l_shipdate") >= F.lit(SALES_START).cast("timestamp_ntz"))
-    per_supp = li.select("l_suppkey", _month("l_shipdate").alias("Date"), "l_orderkey").distinct()
     supp = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
-    agg = per_supp.join(supp, per_supp.l_suppkey == supp.s_suppkey).groupBy("s_nationkey", "Date").agg(
-        F.countDistinct("l_orderkey").cast("double").alias("Value"))
+    lines = li.join(supp, li.l_suppkey == supp.s_suppkey).select("s_nationkey", _month("l_shipdate").alias("Date"), "l_orderkey")
+    agg = lines.distinct().groupBy("s_nationkey", "Date").agg(F.count("l_orderkey").cast("double").alias("Value"))
     return _nation_panel(agg, spark, sf_dir, "sales")
 
 
@@ -130,15 +112,6 @@ def panel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return PANELS[name](spark, sf_dir)
 
 
-def all_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All four datasets stacked in the long schema."""
-    out = None
-    for name in PANELS:
-        p = panel(spark, sf_dir, name)
-        out = p if out is None else out.unionByName(p)
-    return out.select(*LONG_SCHEMA.fieldNames())
-
-
 def dirty_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The home panel as text, with deterministic defects (FIXTURES.md section 2):
     unparseable dates, unparseable values, full duplicate rows and x100 outliers."""
@@ -167,20 +140,28 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valuation requests, one per customer, with deterministic defects: 4-digit
     ZIPs, lower-case and unknown states, low or negative values, missing rents."""
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
-    return requests_from_customer(c)
+    return requests_from_customer(c, region_count(spark, sf_dir))
+
+
+def region_count(spark: SparkSession, sf_dir: str) -> int:
+    """The largest region number (regions are supplier keys)."""
+    return int(read_table(spark, sf_dir, "supplier", ["s_suppkey"]).agg(F.max("s_suppkey")).first()[0] or 1)
 
 
-def requests_from_customer(c: DataFrame) -> DataFrame:
-    """Row-wise derivation, so it applies to a batch or a streaming customer frame."""
+def requests_from_customer(c: DataFrame, n_regions: int) -> DataFrame:
+    """Row-wise derivation, so it applies to a batch or a streaming customer frame.
+    ``region`` names the region that the request asks about."""
     from hearth.operators.scoring import US_STATES
     key = F.col("c_custkey")
-    zip5 = F.lpad(key.cast("string"), 5, "0")
-    code = F.element_at(F.array(*[F.lit(s) for s in US_STATES[:25]]), (F.col("c_nationkey") % 25 + 1).cast("int"))
+    zip5 = F.lpad((key % 100000).cast("string"), 5, "0")
+    state = F.col("c_nationkey") % 25 + F.lit(25) * (key % 2)  # all 50
+    code = F.element_at(F.array(*[F.lit(s) for s in US_STATES]), (state + 1).cast("int"))
     value = F.col("c_acctbal") * F.lit(250)
     ptype = F.coalesce(*[F.when(F.col("c_mktsegment") == s, F.lit(t)) for s, t in SEGMENT_PROPERTY_TYPES],
                        F.lit(UNKNOWN_PROPERTY_TYPE))
     return c.select(
         key.alias("request_id"),
+        (key % n_regions + 1).cast("string").alias("region"),
         F.when(key % 17 == 0, F.substring(zip5, 2, 4)).otherwise(zip5).alias("zip_code"),
         F.when(key % 23 == 0, F.lit("ZZ")).when(key % 5 == 0, F.lower(code)).otherwise(code).alias("state"),
         value.cast("double").alias("current_value"),
@@ -210,14 +191,12 @@ def supplier_month_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     count from the rent start on (rent), and the quantity sum (inventory), joined
     to the supplier's geography once."""
     li = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"])
-    rent_row = F.col("l_shipdate") >= F.lit(RENT_START).cast("timestamp_ntz")
     unit = F.try_divide("l_extendedprice", "l_quantity")
     agg = li.groupBy("l_suppkey", _month("l_shipdate").alias("Date")).agg(
         F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("_cents"),
         F.count(F.lit(1)).alias("_n"),
-        F.sum(F.when(rent_row, unit)).alias("_unit_sum"),
-        F.count(F.when(rent_row, unit)).alias("_unit_n"),
-        F.count_if(rent_row).alias("_rent_rows"),
+        F.sum(unit).alias("_unit_sum"),
+        F.count(unit).alias("_unit_n"),
         F.sum("l_quantity").alias("_q"),
     )
     sg = _supplier_geo(spark, sf_dir)
@@ -231,7 +210,7 @@ def home_from_facts(facts: DataFrame, spark: SparkSession, sf_dir: str) -> DataF
 
 def rent_from_facts(facts: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same as ``rent_panel``: avg = sum / count of the unit prices, then / 12."""
-    f = facts.where(F.col("_rent_rows") > 0).withColumn(
+    f = facts.withColumn(
         "Value", F.try_divide(F.col("_unit_sum"), F.col("_unit_n").cast("double")) / F.lit(12.0))
     return _supplier_rows(f, "rent")
 

@@ -8,22 +8,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-_SCANS: dict[tuple[str, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """``spark.read.parquet`` of one table; selecting columns right away keeps the
-    ``ReadSchema`` of the scan to what the query uses.
-
-    The unpruned scan is built once per application and path (listing the files
-    and reading the footers costs ~0.1 s each time); plans that read the same
-    table then also share one relation, which helps exchange reuse."""
+    """``spark.read.parquet`` of one table as it is now; selecting columns right away
+    keeps the ``ReadSchema`` of the scan to what the query uses."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    df = _SCANS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _SCANS[key] = df
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df

@@ -12,6 +12,7 @@ import datetime as dt
 import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,9 @@ def wide_to_long(df: DataFrame, info: DatasetInfo) -> DataFrame:
         src = next((g for g in geo if canon[g.lower()] == name), None)
         c = F.col(f"`{src}`").cast("string").try_cast(types[name]) if src else F.lit(None).cast(types[name])
         cols.append(c.alias(name))
-    out = long.select(*cols, parse_date("_hdr").alias("Date"), parse_double("_val").alias("Value"),
+    # the date that header_date found, not the header's text parsed once more
+    dates = F.create_map(*[x for m in months for x in (F.lit(m), F.lit(header_date(m)))])
+    out = long.select(*cols, dates[F.col("_hdr")].alias("Date"), parse_double("_val").alias("Value"),
                       F.lit(info.name).alias("Dataset"), F.lit(info.geography_level).alias("GeographyLevel"))
     return out.where(F.col("Value").isNotNull() & ~F.isnan("Value"))
 
@@ -73,13 +76,16 @@ def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_wide_csv(spark: SparkSession, data_dir: str, info: DatasetInfo | None) -> DataFrame | None:
-    """SRC-2: one registered dataset; unregistered or missing -> None."""
+    """SRC-2: one registered dataset; unregistered or missing -> None. Any other read
+    error (permissions, storage, a damaged file) is raised."""
     if info is None:
         return None
     path = f"{data_dir.rstrip('/')}/{info.file_path}"
     try:
         df = read_wide_csv(spark, path)
-    except Exception:  # noqa: BLE001 -- missing file, as the reference returns None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return wide_to_long(df, info)
 

@@ -2,13 +2,15 @@
 
 import datetime as dt
 
+import pytest
+
 from conftest import SF001
 from hearth.schema import DatasetInfo
 from hearth.sources import clean as C
 from hearth.sources import panels as P
 from hearth.sources import wide as W
 
-INFO = DatasetInfo("home_values", "home_values_zip.csv", "zip", "test", "home")
+INFO = DatasetInfo("home_values", "zip", "home_wide.csv", "home", "test")
 
 
 def test_header_rules():
@@ -42,3 +44,25 @@ def test_clean_rejects_counts(spark):
     assert r["rows_read"] == dirty.count()
     assert r["rows_kept"] == C.clean_long(dirty).count()
     assert r["invalid_dates"] + r["invalid_values"] + r["rows_kept"] == r["rows_read"]
+
+
+def test_short_header_dates_keep_their_month(spark):
+    df = spark.createDataFrame([("a", "1.0", "2.0")], "RegionName string, `2020-1-5` string, `3/4/2020` string")
+    assert {r["Date"] for r in W.wide_to_long(df, INFO).collect()} == {dt.date(2020, 1, 5), dt.date(2020, 3, 4)}
+
+
+def test_missing_file_is_skipped_and_a_damaged_one_raises(spark, tmp_path):
+    assert W.ingest_wide_csv(spark, str(tmp_path), INFO) is None
+    (tmp_path / INFO.file_path).write_bytes(b"x")
+    (tmp_path / INFO.file_path).rename(tmp_path / "home_wide.csv.gz")
+    broken = DatasetInfo("home_values", "zip", "home_wide.csv.gz", "home", "test")
+    with pytest.raises(Exception):
+        W.ingest_wide_csv(spark, str(tmp_path), broken).collect()
+
+
+def test_long_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("RegionName,Date,Value\nx,2020-01-31,1.5\ny,bad,2\nz,1/31/2020,\n")
+    (tmp_path / "b.csv").write_text("RegionName,Value\nx,1\n")
+    got = C.load_long(spark, {n: str(tmp_path / f"{n}.csv") for n in "abc"})
+    assert set(got) == {"a"}
+    assert [(r["RegionName"], r["Date"], r["Value"]) for r in got["a"].collect()] == [("x", dt.date(2020, 1, 31), 1.5)]

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from hearth.operators.order_stats import exact_quantiles, prefix_counts, with_average_rank
+from hearth.operators.training import label_codes, with_positions
 
 
 def test_rank_ties_pct(spark):
@@ -52,3 +54,32 @@ def test_global_group_stats_without_join(spark):
     pdf = pd.DataFrame({"v": [1.0, 2.0, 4.0, 10.0]})
     r = group_stats(spark.createDataFrame(pdf), [], "v", stats=("mean", "median", "count")).collect()[0]
     assert r["mean"] == 4.25 and r["median"] == 3.0 and r["count"] == 4
+
+
+@pytest.fixture
+def no_reuse(spark):
+    was = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    yield
+    spark.conf.set("spark.sql.exchange.reuse", was)
+
+
+def test_prefix_counts_do_not_need_exchange_reuse(spark, no_reuse):
+    """Above the range sampler's sample size, where two runs of the exchange cut differently."""
+    n = 120_000
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"g": np.where(rng.random(n) < 0.4, "hot", rng.integers(0, 9, n).astype(str)), "v": rng.normal(size=n).round(4),
+                        "Date": rng.integers(0, 300, n), "RegionName": rng.integers(0, 2000, n).astype(str)})
+    df = spark.createDataFrame(pdf).repartition(6)
+    ranks = pdf.groupby("g")["v"].rank(method="average").sum()
+    medians = pdf.groupby("g")["v"].median()
+    codes = {v: i for i, v in enumerate(sorted(pdf.RegionName.unique()))}
+    for _ in range(2):
+        got = with_average_rank(df, ["g"], "v", out="r", num_partitions=9).agg({"r": "sum"}).first()[0]
+        assert np.isclose(got, ranks, rtol=0, atol=1e-3)
+        q = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}, num_partitions=9).collect()}
+        assert all(np.isclose(q[g], m) for g, m in medians.items())
+        pos = with_positions(df.select("Date", "RegionName")).toPandas().sort_values("position")
+        assert list(pos["position"]) == list(range(n))
+        assert pos[["Date", "RegionName"]].equals(pos[["Date", "RegionName"]].sort_values(["Date", "RegionName"], kind="stable"))
+        assert {r["value"]: r["code"] for r in label_codes(df, ["RegionName"]).collect()} == codes

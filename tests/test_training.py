@@ -37,3 +37,12 @@ def test_catalogue_rule():
     assert tr.catalogue_type("PriceToRentRatio") == "market_dynamics"
     assert tr.catalogue_type("MonthsOfSupply") == "market_dynamics"  # Supply wins over Month: rule order
     assert tr.catalogue_type("Quarter_sin") == "time"
+
+
+def test_positions_keep_null_and_repeated_keys(spark):
+    rows = [(1, "a", 1), (1, "a", 2), (2, None, 3), (None, "b", 4), (1, "a", 1)]
+    out = tr.with_positions(spark.createDataFrame(rows, "Date int, RegionName string, x int")).collect()
+    assert sorted(r["position"] for r in out) == [0, 1, 2, 3, 4] and {r["_n"] for r in out} == {5}
+    assert sorted((r["x"] for r in out)) == [1, 1, 2, 3, 4]
+    by = {r["x"]: r["position"] for r in out}
+    assert by[4] == 0 and by[3] == 4
