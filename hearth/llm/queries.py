@@ -57,4 +57,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                             op7_line_dedup, op8_decontamination, op9_source_mix, op10_license_scan)}
 
 #: DuckDB SQL where SQL can express the whole result.
-ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE, "op8_decontamination": decontaminate.ORACLE}

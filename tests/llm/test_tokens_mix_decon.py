@@ -1,9 +1,11 @@
 import hashlib
 import io
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -218,11 +220,36 @@ def test_contamination_matches_brute_force(whole, items, monkeypatch):
     assert Counter(r.doc_id for r in kept.collect()) == sum((Counter({k[0]: n}) for k, n in want.items() if not k[5]), Counter())
 
 
+def near_ids(text, items, slop):
+    """Items of which some window has a place where each term is at most ``slop`` off."""
+    w, out = dwords(text), set()
+    for i in items:
+        t = dwords(i.text)
+        for a in range(max(1, len(t) - 12) if t else 0):
+            win = t[a:a + 13]
+            if any(all(x in w[max(0, p + j - slop):max(0, p + j + slop + 1)] for j, x in enumerate(win)) for p in range(-slop, len(w) + slop)):
+                out.add(i.item_id)
+    return out
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha x beta y gamma delta"), (3, "delta gamma beta alpha"), (4, "alpha")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
-    rows = {r.doc_id: r for r in decontaminate.report(decontaminate.build_index(docs), items, slop=2).collect()}
-    assert [(rows[i].n_items, rows[i].n_near_items) for i in (1, 2, 3, 4)] == [(1, 0), (0, 1), (0, 0), (0, 0)]
+    rng = random.Random(5)
+    texts = ["alpha beta gamma delta", "alpha x beta y gamma delta", "delta gamma beta alpha", "alpha", "delta x x x alpha beta gamma"]
+    texts += [" ".join(rng.choice("alpha beta gamma delta x y".split()) for _ in range(rng.randrange(12))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "beta alpha"), (3, "gamma x delta y beta")], "item_id long, text string")
+    asked = items.collect()
+    for slop in (1, 2):
+        for r in decontaminate.report(decontaminate.build_index(docs), items, slop=slop).collect():
+            exact = near_ids(texts[r.doc_id], asked, 0)
+            assert (r.n_items, r.n_near_items) == (len(exact), len(near_ids(texts[r.doc_id], asked, slop) - exact)), texts[r.doc_id]
+
+
+def test_contamination_matches_sql(docs, bench):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    assert sorted(map(tuple, decontaminate.op8(docs.sparkSession, docs, bench).collect())) == sorted(con.execute(decontaminate.ORACLE).fetchall())
 
 
 def test_contamination_of_long_text_and_empty_tables(spark, edge, empty, items):
