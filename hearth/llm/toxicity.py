@@ -12,7 +12,7 @@ lists. Five weighted transducers read the symbols and add weights on their arcs:
     report     insults and threats after a reporting word count little
 
 Their composition runs them side by side as one transducer; a clause's score is
-the weight of its path, and a clause that scores over zero is a match. A document's score
+the weight of its path, and a clause that scores over ``MATCH`` is a match. A document's score
 is a logistic function of its best clause, the sum and the number of matches per word; the
 coefficients are fitted on labelled documents too. Isolated words do not score: the same
 word counts less, or not at all, in a negated or reported clause.
@@ -48,6 +48,8 @@ MIN_G2 = 20.0
 MIN_SHARE = 0.8
 STEMS = (5, 6, 7, 8)
 THRESHOLD = 0.7
+MAX_WEIGHT = 10.0
+MATCH = 0.25
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "target", "negation", "report", "other"
 #: Word lists in the four languages of the corpora.
@@ -157,7 +159,7 @@ class Scanner:
         matches = 0
         for clause in CLAUSE.split(lower):
             w = self.machine.weight(map(self.symbol, utf8(clause).translate(_FOLD).split()))
-            if w > 0.25:
+            if w > MATCH:
                 best, total, matches = max(best, w), total + w, matches + 1
         return best, math.log1p(total), 100.0 * matches / len(words), matches
 
@@ -246,7 +248,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     for r in sorted(top, key=lambda r: (not r.token.endswith("*"), len(r.token), r.token)):
         if _g2(r.tox, r.non, n_tox, n_non) < MIN_G2:
             continue
-        weight = min(5.0, math.log(((r.tox + 0.5) / (n_tox + 1)) / ((r.non + 0.5) / (n_non + 1))))
+        weight = min(MAX_WEIGHT, math.log(((r.tox + 0.5) / (n_tox + 1)) / ((r.non + 0.5) / (n_non + 1))))
         token = r.token.rstrip("*")
         if any(token.startswith(s) for s in stems):
             continue
