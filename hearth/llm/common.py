@@ -3,24 +3,63 @@ reads, and a row key that does not trust ``doc_id``."""
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
+import hearth
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from hearth.session import configure
+from hearth.session import checkpoint_root, configure
 
 #: Rows of one Arrow batch. Documents average some KB, so a batch stays at a few MB
 #: beside the longest single document.
 BATCH_ROWS = 1000
 
 
+#: Applications whose executors have this package's code.
+_SHIPPED: set[str] = set()
+
+
+def open_folder(uri: str):
+    """(file system, path) of a shared folder by its URI scheme."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application: a zip in the shared folder,
+    added with ``addPyFile``. Tasks then import it wherever their workers start."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    packed = io.BytesIO()
+    root = Path(hearth.__file__).parent
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    name = f"hearth_code_{uuid.uuid4().hex[:12]}.zip"
+    folder = checkpoint_root(spark).rstrip("/")
+    fs, base = open_folder(folder)
+    fs.create_dir(base, recursive=True)
+    with fs.open_output_stream(f"{base}/{name}") as out:
+        out.write(packed.getvalue())
+    sc.addPyFile(f"{folder}/{name}")
+    _SHIPPED.add(sc.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings of every operator here: UTC, AQE, small Arrow batches."""
+    """Session settings of every operator here: UTC, AQE, small Arrow batches; and the
+    package's code on the executors."""
     configure(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
