@@ -28,10 +28,14 @@ _SHIPPED: set[str] = set()
 
 
 def open_folder(uri: str):
-    """(file system, path) of a shared folder by its URI scheme."""
+    """(file system, path) of a shared folder by its URI scheme (Hadoop's names for S3 are
+    Arrow's s3); a plain path is a mounted folder."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    scheme, found, rest = uri.partition(":")
+    if not found or scheme.startswith("/"):
+        return fs.FileSystem.from_uri(f"file://{uri}")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
 
 
 def ship(spark: SparkSession) -> None:

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm.common import prepare, stream_batches
+from hearth.llm.common import open_folder, prepare, stream_batches
 from hearth.session import materialize, scratch_path
 
 END_ID = 2
@@ -51,17 +51,31 @@ MEMO_WORDS = 400_000
 # --- encoding ----------------------------------------------------------------
 
 
+def _byte_symbols() -> list[str]:
+    """The printable symbol of each byte in byte-level vocabularies: printable Latin-1
+    characters stand for themselves, the others take the next code points from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
+BYTE_SYMBOLS = _byte_symbols()
+
+
 class Encoder:
     """Exact ids of the tokenizers library, with a bounded memo of blank-parted chunks.
 
     Only for tokenizers that drop white space (NFC, lower case, split into pieces that no
-    blank enters): there a text's ids are those of its chunks in turn. Plain ASCII chunks
-    are split by the file's own pattern and go to the library's model piece by piece;
-    other chunks go through the whole library; texts in which chunking could differ
-    (special token strings, not in NFC, control blanks, capital sigma) are encoded whole.
+    blank enters): there a text's ids are those of its chunks in turn. Chunks of ASCII and
+    Latin letters are split by the file's own pattern and go to the library's model piece
+    by piece, as byte symbols; other chunks go through the whole library; texts in which
+    chunking could differ (special token strings, not in NFC, control blanks, capital
+    sigma) are encoded whole.
     """
 
-    _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    #: U+00C0 to U+024F are letters but for the two signs.
+    _PLAIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+    _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^\\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
     _ODD = re.compile("[\x1c-\x1fΣİ]|<\\|")
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
@@ -82,21 +96,22 @@ class Encoder:
         self.most = memo_words
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def _whole(self, text: str) -> bytes:
         return self._pack(self.library.encode(text, add_special_tokens=False).ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        if not chunk.isascii():
+        if not self._PLAIN.fullmatch(chunk):
             return self._whole(chunk)
         out = []
-        for piece in self._PLAIN.findall(chunk):
+        for piece in self._PIECES.findall(chunk):
             got = self.pieces.get(piece)
             if got is None:
                 if len(self.pieces) >= self.most:
                     self.pieces.clear()
-                got = self.pieces[piece] = self._pack([t.id for t in self.library.model.tokenize(piece)])
+                symbols = piece if piece.isalnum() and piece.isascii() else "".join([BYTE_SYMBOLS[b] for b in piece.encode()])
+                got = self.pieces[piece] = self._pack([t.id for t in self.library.model.tokenize(symbols)])
             out.append(got)
         return b"".join(out)
 
@@ -136,19 +151,12 @@ def encoder(path: str) -> Encoder:
 # --- one shard -----------------------------------------------------------------
 
 
-def open_folder(uri: str):
-    """(file system, path) of a shared folder by its URI scheme."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 class ShardWriter:
     """Writes one shard file; memory: one frame and 25 bytes a document."""
 
     def __init__(self, out, width: int, frame_bytes: int = FRAME_BYTES):
         self.out, self.width, self.frame_bytes = out, width, frame_bytes
-        self.zip = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
+        self.zip = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True)
         self.open: list[bytes] = []
         self.size = 0
         self.frames: list[tuple[int, int, int]] = []
