@@ -113,7 +113,9 @@ def thresholds(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     for level in range(LEVELS):
         if not need:
             break
-        open_ = spark.createDataFrame([(s, plan[s][4], plan[s][5], need[s]) for s in need], "llm_source string, p1 long, p2 long, need double")
+        # a row per source, written first: with its size known it meets the rows without moving them
+        open_ = materialize(spark.createDataFrame([(s, plan[s][4], plan[s][5], need[s]) for s in need],
+                                                  "llm_source string, p1 long, p2 long, need double"), "open")
         a, b = _prefix(level)
         inside = rows.join(open_, rows.source.eqNullSafe(open_.llm_source) & (a == F.col("p1")) & (b == F.col("p2"))) if level else \
             rows.join(open_, rows.source.eqNullSafe(open_.llm_source))
@@ -132,7 +134,7 @@ def thresholds(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
             if r.rows == 1 or last:
                 plan[s][7] = 2 * need[s] >= r.n
                 del need[s]
-    return spark.createDataFrame([tuple(p) for p in plan.values()], PLAN)
+    return materialize(spark.createDataFrame([tuple(p) for p in plan.values()], PLAN), "plan")
 
 
 def _by_source():
