@@ -207,7 +207,9 @@ def classes(docs: DataFrame, k: int = SHINGLE_WORDS, radius: int = RADIUS, bucke
     groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "groups")
     roots = components(links(groups.select("fp"), radius, bucket_cap))
     rooted = groups.join(roots, groups.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = materialize(rooted, "rooted")
+    # written apart: a component with very many fingerprints is then a key that the join can split
+    lowest = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
     named = rooted.select("fp", "root").join(lowest, "root").select("fp", "root", "component_id")
     return prints.join(named, "fp")
 
