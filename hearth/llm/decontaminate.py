@@ -26,7 +26,8 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import zstandard
@@ -157,8 +158,9 @@ MATCHES = ("block string, seq long, doc_id long, n_words long, starts array<long
            "near_items array<string>")
 
 
-def _search(items: list[tuple[str, list[bytes]]], window: int, slop: int):
-    """A task's search of index rows for a block of test items."""
+def _search(items: list[tuple[str, list[bytes]]], window: int, slop: int, finish: Callable[[dict], dict] | None = None):
+    """A task's search of index rows for a block of test items; ``finish`` may turn each
+    block's matches into the rows to give."""
     wanted: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
     for item, words in items:
         for w in windows_of(words, window):
@@ -181,16 +183,17 @@ def _search(items: list[tuple[str, list[bytes]]], window: int, slop: int):
                         for at in block.find(w, slop).tolist():
                             # a start may lie before its document; its first term lies inside
                             near[max(0, int(np.searchsorted(block.starts, at + slop, side="right")) - 1)].update(ids)
-                yield {"block": [cols["block"][i]] * n, "seq": list(range(n)), "doc_id": block.ids, "n_words": block.lengths.tolist(),
+                out = {"block": [cols["block"][i]] * n, "seq": list(range(n)), "doc_id": block.ids, "n_words": block.lengths.tolist(),
                        "starts": [[a for a, _ in s] for s in spans], "ends": [[b for _, b in s] for s in spans],
                        "items": [sorted(f) for f in found], "near_items": [sorted(x - f) for x, f in zip(near, found)]}
+                yield finish(out) if finish else out
 
     return run
 
 
 def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The test items in blocks of bounded size (the driver holds one block)."""
-    block, size = [], 0
+    """The test items in blocks of bounded size, one at least."""
+    block, size, first = [], 0, True
     for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").toLocalIterator():
         words = words_of(utf8(row.text))
         if words:
@@ -198,27 +201,27 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]
             size += len(row.text)
         if size >= ITEM_BLOCK_BYTES:
             yield block
-            block, size = [], 0
-    yield block
+            block, size, first = [], 0, False
+    if block or first:
+        yield block
 
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
     """Matches of every indexed row: the spans (word positions, end exclusive) and ids of
     items with exact windows, and ids of items that only have proximity matches."""
-    found = None
-    blocks = 0
-    for items in _item_blocks(benchmark):
-        if not items and blocks:
-            continue
-        part = stream_batches(index, _search(items, window, slop), MATCHES)
-        found = part if found is None else found.union(part)
-        blocks += 1
-    if blocks > 1:
-        merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")]
-        found = found.groupBy("block", "seq").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-                                                  *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")], *merged)
-        found = found.withColumn("near_items", F.array_except("near_items", "items")).select(*[f.split()[0] for f in MATCHES.split(", ")])
-    return found
+    return _merged(index, list(_item_blocks(benchmark)), window, slop)
+
+
+def _merged(index: DataFrame, blocks: Iterable[list[tuple[str, list[bytes]]]], window: int, slop: int) -> DataFrame:
+    """The union of the searches of several blocks of items, row by row."""
+    parts = [stream_batches(index, _search(items, window, slop), MATCHES) for items in blocks]
+    if len(parts) == 1:
+        return parts[0]
+    merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")]
+    found = reduce(DataFrame.union, parts).groupBy("block", "seq").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")], *merged)
+    return found.withColumn("near_items", F.array_except("near_items", "items")).select(*[f.split()[0] for f in MATCHES.split(", ")])
 
 
 def covered(starts: list[int], ends: list[int]) -> int:
@@ -233,19 +236,21 @@ def covered(starts: list[int], ends: list[int]) -> int:
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long"
 
 
+def _reported(c: dict) -> dict:
+    """Report rows from matches."""
+    hits = [covered(a, b) for a, b in zip(c["starts"], c["ends"])]
+    return {"doc_id": c["doc_id"], "n_words": c["n_words"], "n_hit": hits, "n_items": [len(i) for i in c["items"]],
+            "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for i in c["items"]],
+            "contaminated": [h > 0 and 20 * h >= n for h, n in zip(hits, c["n_words"])], "n_near_items": [len(i) for i in c["near_items"]]}
+
+
 def report(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    names = [f.split()[0] for f in REPORT.split(", ")]
-
-    def make():
-        def step(c):
-            hits = [covered(a, b) for a, b in zip(c["starts"], c["ends"])]
-            listed = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in c["items"]]
-            bad = [h > 0 and 20 * h >= n for h, n in zip(hits, c["n_words"])]
-            return dict(zip(names, [c["doc_id"], c["n_words"], hits, [len(i) for i in c["items"]], listed, bad,
-                                    [len(i) for i in c["near_items"]]]))
-        return step
-
-    return map_batches(search(index, benchmark, window, slop), make, REPORT)
+    """A row per indexed row: hit words, items, verdict. One block of items is searched and
+    reported in one pass of one worker; several are merged first."""
+    blocks = list(_item_blocks(benchmark))
+    if len(blocks) == 1:
+        return stream_batches(index, _search(blocks[0], window, slop, _reported), REPORT)
+    return map_batches(_merged(index, blocks, window, slop), lambda: _reported, REPORT)
 
 
 def op8(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ FRAME_BYTES = 1 << 17
 SEEK_MAGIC = 0x8F92EAB1
 SKIP_SEEK = 0x184D2A5E
 SKIP_DIRECTORY = 0x184D2A5D
-MEMO_WORDS = 400_000
+MEMO_WORDS = 120_000
 
 # --- encoding ----------------------------------------------------------------
 
