@@ -46,7 +46,7 @@ FRAME_BYTES = 1 << 17
 SEEK_MAGIC = 0x8F92EAB1
 SKIP_SEEK = 0x184D2A5E
 SKIP_DIRECTORY = 0x184D2A5D
-MEMO_WORDS = 120_000
+MEMO_WORDS = 240_000
 
 # --- encoding ----------------------------------------------------------------
 
@@ -106,12 +106,16 @@ class Encoder:
             return self._whole(chunk)
         out = []
         for piece in self._PIECES.findall(chunk):
-            got = self.pieces.get(piece)
+            got = self.chunks.get(piece)  # a piece that stood alone is known as a chunk
+            if got is None:
+                got = self.pieces.get(piece)
             if got is None:
-                if len(self.pieces) >= self.most:
-                    self.pieces.clear()
                 symbols = piece if piece.isalnum() and piece.isascii() else "".join([BYTE_SYMBOLS[b] for b in piece.encode()])
-                got = self.pieces[piece] = self._pack([t.id for t in self.library.model.tokenize(symbols)])
+                got = self._pack([t.id for t in self.library.model.tokenize(symbols)])
+                if piece != chunk:
+                    if len(self.pieces) >= self.most:
+                        self.pieces.clear()
+                    self.pieces[piece] = got
             out.append(got)
         return b"".join(out)
 
