@@ -5,11 +5,11 @@ Native: DataFrame expressions only.
 Index: of every text the positions of licence words (the words of the templates). Words
 that are common in any prose (``COMMON``) are indexed where a licence word stands right
 before them, so that phrases such as "cc by" are whole. The words' document frequencies in the
-corpus give IDF; a file is looked up by its ``top_words`` licence words of highest IDF.
+corpus give IDF. A file is looked up by all its licence words, however many notices it holds.
 
 Match: a file's postings meet the template's postings by word; text position minus
 template position is the shift, and words that agree on one shift stand as in the
-template. A template is a candidate at shifts that one of the file's rarest words names;
+template. A template is a candidate at every shift that one of its words names;
 its share is the IDF of the words aligned there over the template's. It gives its label
 if all words of its mandatory key phrase are aligned and the share is ``min_share`` or more.
 Base phrases are templates that must be aligned whole; each shift is a place.
@@ -51,7 +51,6 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released"),
 )
 COMMON = frozenset("a an and any are by for from in into is it of on or that the this to use under was with without 0 1 2 3 4 v".split())
-TOP_WORDS = 12
 MIN_SHARE = 0.5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -97,7 +96,7 @@ def index(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     return materialize(split.select(F.monotonically_increasing_id().alias("rid"), "doc_id", n.cast("long").alias("n_words"), hits.alias("hits")), "postings")
 
 
-def scan(docs: DataFrame, base=BASE, templates=TEMPLATES, top_words: int = TOP_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
+def scan(docs: DataFrame, base=BASE, templates=TEMPLATES, min_share: float = MIN_SHARE) -> DataFrame:
     spark = prepare(docs.sparkSession)
     table = index(docs.select("doc_id", "text"), base, templates)
     per_word = table.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
@@ -106,19 +105,14 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES, top_words: int = TOP_W
     idf = materialize(per_word.select("word", F.log1p(F.lit(float(total)) / F.col("df")).alias("idf")), "idf")
     tokens = table.where(F.size("hits") > 0).select("rid", F.explode("hits").alias("h")).select("rid", "h.word", "h.pos")
     weighed = tokens.join(F.broadcast(idf), "word")
-    # the rarest words of each file: a file has no more distinct ones than the templates
-    ranked = F.sort_array(F.collect_set(F.struct((-F.col("idf")).alias("i"), "word")))
-    rarest = weighed.groupBy("rid").agg(F.transform(F.slice(ranked, 1, top_words), lambda x: x["word"]).alias("rarest"))
     postings = _postings(spark, base, templates)
     by_template = postings.join(F.broadcast(idf), "word", "left").groupBy("template").agg(F.sum(F.coalesce("idf", F.lit(float(0)))).alias("mass"))
     postings = F.broadcast(postings.join(F.broadcast(by_template), "template"))
-    aligned = weighed.join(rarest, "rid").join(postings, "word").select(
-        "rid", "template", "label", "is_base", "mass", "n_key", "is_key", "idf", (F.col("pos") - F.col("at")).alias("shift"),
-        F.array_contains("rarest", F.col("word")).alias("is_rare"))
+    aligned = weighed.join(postings, "word").select(
+        "rid", "template", "label", "is_base", "mass", "n_key", "is_key", "idf", (F.col("pos") - F.col("at")).alias("shift"))
     # a shift has each template position once, since a text position holds one word
     places = aligned.groupBy("rid", "template", "label", "is_base", "mass", "n_key", "shift").agg(
-        F.sum("idf").alias("share"), F.sum(F.col("is_key").cast("int")).alias("keys"), F.max("is_rare").alias("rare"))
-    places = places.where((F.col("keys") == F.col("n_key")) & (F.col("is_base") | F.col("rare")))
+        F.sum("idf").alias("share"), F.sum(F.col("is_key").cast("int")).alias("keys")).where(F.col("keys") == F.col("n_key"))
     share = F.least(F.lit(1.0), F.col("share") / F.col("mass"))
     full = F.col("is_base")
     said = ~full & (share >= min_share)

@@ -143,6 +143,16 @@ def test_licenses_match_brute_force(notices):
     assert by[18].labels == "apache,apache-2.0,cc-by,cc-by-nc,gpl,mit"
 
 
+def test_licenses_of_many_notices_in_one_file(spark):
+    """Notices of corpus-common words are found beside any number of rarer ones."""
+    rows = [(i, "Licensed under the Apache License, Version 2.0") for i in range(50)]
+    for i, kept in ((100, ("apache-2.0", "mit", "isc")), (101, [label for label, _, _ in licenses.TEMPLATES])):
+        rows.append((i, " ... ".join(words for label, words, _ in licenses.TEMPLATES if label in kept)))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {"apache-2.0", "mit", "isc"} <= set(got[100].labels.split(","))
+    assert {label for label, _, _ in licenses.TEMPLATES} <= set(got[101].labels.split(","))
+
+
 def test_licenses_empty_and_native(empty, edge):
     assert licenses.scan(empty).count() == 0
     out = licenses.scan(edge)
