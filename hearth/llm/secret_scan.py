@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
@@ -42,14 +43,13 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pas
 PLACEHOLDER = re.compile(r"(?ai)x{4,}|\*{3,}|change_?me|example|placeholder|your[_-]|dummy|<.*>|\$\{.*\}|%\(.*\)|\{\{.*\}\}")
 
 _OPERATOR = re.compile(r"=>|:=|(?<![=!<>:+])=(?!=)|:(?![:=/])")
-_NAME_LEFT = re.compile(r"""(?a)(?<![\w$.-])([A-Za-z_$][\w$.-]*)["'`]?[ \t]*\Z""")
+_NAME_FIRST = frozenset(string.ascii_letters + "_$")
+_NAME_CHARS = string.ascii_letters + string.digits + "_$.-"
 _TERM = re.compile(r"""(?a)"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\]|\\.)*)`|([^\s"'`,;(){}\[\]<>#]+)""")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*|[ \t]+(?=[\"'])")
 _BLANK = re.compile(r"[ \t]*")
 _XML = re.compile(r"(?a)<([A-Za-z_][\w.-]*)>([^<\s]+)</\1>")
 _PARTS = re.compile(r"(?a)[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-#: A name left of an operator is looked for in this many characters first, then in all.
-_LOOK_BACK = 120
 
 
 @dataclass(frozen=True)
@@ -105,23 +105,30 @@ def _terms(text: str, at: int, known: dict[str, Literal]) -> Literal | None:
     return Literal("".join(value), tuple(spans)) if spans else None
 
 
+def _name_left(left: str) -> str | None:
+    """The name at the end of ``left``, what stands between two operators: an optional quote
+    and blanks may follow it, and name and gap may have any length."""
+    left = left.rstrip(" \t")
+    if left.endswith(('"', "'", "`")):
+        left = left[:-1]
+    name = left[len(left.rstrip(_NAME_CHARS)):]
+    return name if name[:1] in _NAME_FIRST else None
+
+
 def pairs(text: str) -> list[tuple[str, Literal]]:
     """(target name, literal) of every assignment, constants propagated, in text order."""
     found: list[tuple[int, str, Literal]] = []
     known: dict[str, Literal] = {}
+    last = 0
     for op in _OPERATOR.finditer(text):
         end = op.start()
-        lo = max(0, end - _LOOK_BACK)
-        name = _NAME_LEFT.search(text, lo, end)
-        while name and name.start(1) == lo and lo:  # the name may begin further left
-            lo = max(0, lo - 8 * _LOOK_BACK)
-            name = _NAME_LEFT.search(text, lo, end)
+        name, last = _name_left(text[last:end]), op.end()  # no name holds an operator
         if not name:
             continue
         literal = _terms(text, _BLANK.match(text, op.end()).end(), known)
         if literal:
-            known[name.group(1)] = literal
-            found.append((end, name.group(1), literal))
+            known[name] = literal
+            found.append((end, name, literal))
     if "</" in text:
         found += [(m.start(), m.group(1), Literal(m.group(2), (m.span(2),))) for m in _XML.finditer(text)]
     return [(n, x) for _, n, x in sorted(found, key=lambda f: f[0])]

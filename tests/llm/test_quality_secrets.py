@@ -115,3 +115,19 @@ def test_lexer_pairs_and_constants():
     assert not spans & {"A long harmless title", "changeme-changeme"}
     assert secret_scan.pairs("<apiKey>q8W7e6R5t4Y3</apiKey>")[0][1].value == "q8W7e6R5t4Y3"
     assert secret_scan.scan_text(None)[:3] == (0, 0, 0)
+
+
+def test_names_and_gaps_of_any_length():
+    for name in ("x" * 130 + "_password", "a.b-c$" * 30 + ".password", "password" + " " * 125, "password" + "\t" * 5000, 'p' * 9000 + '_token"'):
+        text = f"first = 1;\n{name}= 'Zk39fkJd02QpLx7'"
+        assert [(n, x.value) for n, x in secret_scan.pairs(text)] == [("first", "1"), (name.strip(' \t"'), "Zk39fkJd02QpLx7")]
+    assert any(k == 3 for _, k, _ in secret_scan.pair_spans("key." * 50 + "passphrase: Zk39fkJd02QpLx7", []))
+
+
+def test_names_match_one_pattern_over_the_whole_text():
+    pattern = re.compile(r"""(?a)(?<![\w$.-])([A-Za-z_$][\w$.-]*)["'`]?[ \t]*\Z""")
+    rng = random.Random(11)
+    for _ in range(20_000):
+        left = "".join(rng.choice("aZ_$.-0é'\"` \t\n(") for _ in range(rng.randrange(9)))
+        want = pattern.search(left)
+        assert secret_scan._name_left(left) == (want.group(1) if want else None), left
