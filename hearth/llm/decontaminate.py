@@ -14,8 +14,11 @@ intersection lets each term lie up to s positions off its place, whichever term
 starts from: proximity matches.
 
 Words: A-Z lower-cased, runs of characters outside ASCII punctuation, blanks and
-controls. Test items are a stated query set: they go to the tasks in blocks of at most
-``ITEM_BLOCK_BYTES``; with several blocks the matches of a row are merged.
+controls. Test items are written to the shared folder in blocks of at most
+``ITEM_BLOCK_WINDOWS`` windows and ``ITEM_BLOCK_BYTES`` (a longer item is cut into parts
+that share ``window - 1`` words); tasks read a block there and make its windows. The driver
+holds the blocks' names and sizes. Blocks are searched one after the other, their matches
+written, and the matches of a row merged.
 
 Cases: null or wordless texts have n_words 0 and no hit, but a row. Items without words
 match nothing; an item id that repeats counts once; a null item id is listed as "".
@@ -34,13 +37,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm.common import map_batches, prepare, stream_batches, utf8
-from hearth.session import materialize
+from hearth.llm.common import map_batches, open_folder, prepare, stream_batches, utf8
+from hearth.session import materialize, scratch_path
 
 WINDOW = 13
 GAP = 64  # more than a window and its slop
 BLOCK_TOKENS = 1 << 18
 ITEM_BLOCK_BYTES = 32 << 20
+ITEM_BLOCK_WINDOWS = 250_000  # some 412 bytes each in a task's memory
 #: ASCII letters and digits, lower-cased, and all bytes of other characters; the rest part words.
 _FOLD = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 
@@ -158,16 +162,71 @@ MATCHES = ("block string, seq long, doc_id long, n_words long, starts array<long
            "near_items array<string>")
 
 
-def _search(items: list[tuple[str, list[bytes]]], window: int, slop: int, finish: Callable[[dict], dict] | None = None):
-    """A task's search of index rows for a block of test items; ``finish`` may turn each
-    block's matches into the rows to give."""
+ITEMS = "item string, words binary, n_windows long, block string"
+
+
+def write_items(benchmark: DataFrame, window: int = WINDOW) -> str:
+    """Writes the words of the test items under a folder for each block; returns its path."""
+    most, most_bytes = ITEM_BLOCK_WINDOWS, ITEM_BLOCK_BYTES
+
+    def run(batches: Iterable[dict[str, list]]) -> Iterator[dict]:
+        from pyspark import TaskContext
+
+        task, made, n, size = TaskContext.get().partitionId(), 0, 0, 0
+        for cols in batches:
+            for item, text in zip(cols["item_id"], cols["text"]):
+                words = words_of(utf8(text))
+                for at in range(0, max(1, len(words) - window + 1) if words else 0, most):
+                    part = words[at:at + most + window - 1]
+                    own, joined = max(1, len(part) - window + 1), b" ".join(part)
+                    if n and (n + own > most or size + len(joined) > most_bytes):
+                        made, n, size = made + 1, 0, 0
+                    n, size = n + own, size + len(joined)
+                    yield {"item": [item or ""], "words": [joined], "n_windows": [own], "block": [f"{task}-{made}"]}
+
+    path = scratch_path(benchmark.sparkSession, "items")
+    stream_batches(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text"), run, ITEMS).write.partitionBy("block").parquet(path)
+    return path
+
+
+def _passes(spark: SparkSession, items: str) -> list[list[str]]:
+    """The written blocks by name, small ones (of small files) searched together; one pass at least."""
+    sizes = spark.read.schema(ITEMS).parquet(items).groupBy("block").agg(F.sum("n_windows").alias("n"), F.sum(F.length("words")).alias("size"))
+    out: list[list[str]] = [[]]
+    n = size = 0
+    for r in sizes.orderBy("block").toLocalIterator():
+        if out[-1] and (n + r.n > ITEM_BLOCK_WINDOWS or size + r.size > ITEM_BLOCK_BYTES):
+            out.append([])
+            n = size = 0
+        out[-1].append(r.block)
+        n, size = n + r.n, size + r.size
+    return out
+
+
+def _windows(items: str, blocks: list[str], window: int) -> dict[tuple[bytes, ...], set[str]]:
+    """The windows of some written blocks, with the items that have them."""
+    from pyarrow import parquet
+
     wanted: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    for item, words in items:
-        for w in windows_of(words, window):
-            wanted[w].add(item)
+    fs, base = open_folder(items)
+    for b in blocks:
+        cols = parquet.read_table(f"{base}/block={b}", filesystem=fs, partitioning=None, columns=["item", "words"]).to_pydict()
+        for item, words in zip(cols["item"], cols["words"]):
+            for w in windows_of(words.split(), window):
+                wanted[w].add(item)
+    return wanted
+
+
+def _search(items: str, blocks: list[str], window: int, slop: int, finish: Callable[[dict], dict] | None = None, every: bool = True):
+    """A task's search of index rows for blocks of test items: a row for each document, or
+    only (not ``every``) for those with matches; ``finish`` may turn each block's matches
+    into the rows to give."""
 
     def run(rows: Iterable[dict[str, list]]) -> Iterator[dict]:
+        wanted = None
         for cols in rows:
+            if wanted is None:
+                wanted = _windows(items, blocks, window)
             for i in range(len(cols["block"])):
                 block = Block({k: v[i] for k, v in cols.items()})
                 n = len(block.ids)
@@ -186,37 +245,26 @@ def _search(items: list[tuple[str, list[bytes]]], window: int, slop: int, finish
                 out = {"block": [cols["block"][i]] * n, "seq": list(range(n)), "doc_id": block.ids, "n_words": block.lengths.tolist(),
                        "starts": [[a for a, _ in s] for s in spans], "ends": [[b for _, b in s] for s in spans],
                        "items": [sorted(f) for f in found], "near_items": [sorted(x - f) for x, f in zip(near, found)]}
+                if not every:
+                    hit = [d for d in range(n) if found[d] or near[d]]
+                    out = {k: [v[d] for d in hit] for k, v in out.items()}
                 yield finish(out) if finish else out
 
     return run
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The test items in blocks of bounded size, one at least."""
-    block, size, first = [], 0, True
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").toLocalIterator():
-        words = words_of(utf8(row.text))
-        if words:
-            block.append((row.item_id or "", words))
-            size += len(row.text)
-        if size >= ITEM_BLOCK_BYTES:
-            yield block
-            block, size, first = [], 0, False
-    if block or first:
-        yield block
-
-
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
     """Matches of every indexed row: the spans (word positions, end exclusive) and ids of
     items with exact windows, and ids of items that only have proximity matches."""
-    return _merged(index, list(_item_blocks(benchmark)), window, slop)
+    items = write_items(benchmark, window)
+    return _merged(index, items, _passes(index.sparkSession, items), window, slop)
 
 
-def _merged(index: DataFrame, blocks: Iterable[list[tuple[str, list[bytes]]]], window: int, slop: int) -> DataFrame:
-    """The union of the searches of several blocks of items, row by row."""
-    parts = [stream_batches(index, _search(items, window, slop), MATCHES) for items in blocks]
-    if len(parts) == 1:
-        return parts[0]
+def _merged(index: DataFrame, items: str, passes: list[list[str]], window: int, slop: int) -> DataFrame:
+    """The union of the searches of several passes, each written, row by row."""
+    if len(passes) == 1:
+        return stream_batches(index, _search(items, passes[0], window, slop), MATCHES)
+    parts = [materialize(stream_batches(index, _search(items, blocks, window, slop, every=k == 0), MATCHES), "matches") for k, blocks in enumerate(passes)]
     merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")]
     found = reduce(DataFrame.union, parts).groupBy("block", "seq").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
@@ -245,12 +293,13 @@ def _reported(c: dict) -> dict:
 
 
 def report(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """A row per indexed row: hit words, items, verdict. One block of items is searched and
-    reported in one pass of one worker; several are merged first."""
-    blocks = list(_item_blocks(benchmark))
-    if len(blocks) == 1:
-        return stream_batches(index, _search(blocks[0], window, slop, _reported), REPORT)
-    return map_batches(_merged(index, blocks, window, slop), lambda: _reported, REPORT)
+    """A row per indexed row: hit words, items, verdict. One pass over the items is searched
+    and reported by one worker; several are merged first."""
+    items = write_items(benchmark, window)
+    passes = _passes(index.sparkSession, items)
+    if len(passes) == 1:
+        return stream_batches(index, _search(items, passes[0], window, slop, _reported), REPORT)
+    return map_batches(_merged(index, items, passes, window, slop), lambda: _reported, REPORT)
 
 
 def op8(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

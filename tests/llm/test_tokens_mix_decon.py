@@ -220,6 +220,34 @@ def test_contamination_matches_brute_force(whole, items, monkeypatch):
     assert Counter(r.doc_id for r in kept.collect()) == sum((Counter({k[0]: n}) for k, n in want.items() if not k[5]), Counter())
 
 
+def test_items_stay_off_the_driver(spark, whole, items, monkeypatch):
+    """Items of any number and length go to the tasks in bounded blocks, not through the driver."""
+    whole = whole.where(F.length("text").isNull() | (F.length("text") < 100_000))
+    long = whole.where("doc_id = 1000").select(F.lit(9100).cast("long").alias("item_id"), "text")
+    items = items.select("item_id", "text").unionByName(long)
+    want = brute_contamination(whole.collect(), items.collect())
+    texts = {r.text for r in items.where("text is not null").collect()}
+    local = type(items).toLocalIterator
+
+    def checked(frame, *args, **kwargs):
+        for row in local(frame, *args, **kwargs):
+            assert not texts & set(row)
+            yield row
+
+    monkeypatch.setattr(type(items), "toLocalIterator", checked)
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK_WINDOWS", 1500, raising=False)
+    got = decontaminate.report(decontaminate.build_index(whole), items)
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert Counter(map(tuple, got.select(*cols).collect())) == want
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK_WINDOWS", 7)  # items are cut as well
+    path = decontaminate.write_items(items)
+    written = spark.read.parquet(path)
+    assert written.groupBy("block").agg(F.sum("n_windows").alias("n")).agg(F.max("n")).first()[0] <= 7
+    windows = lambda rows: {(i, w) for i, t in rows for w in decontaminate.windows_of(t)}
+    assert windows((r.item, bytes(r.words).split()) for r in written.collect()) == \
+        windows(("" if r.item_id is None else str(r.item_id), [w.encode() for w in dwords(r.text)]) for r in items.collect())
+
+
 def near_ids(text, items, slop):
     """Items of which some window has a place where each term is at most ``slop`` off."""
     w, out = dwords(text), set()
