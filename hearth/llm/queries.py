@@ -44,6 +44,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op8(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op8_near(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op9(spark, table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_simhash_near_dedup, op4_toxicity, op5_token_files, op6_url_filter,
-                            op7_line_dedup, op8_decontamination, op9_source_mix, op10_license_scan)}
+                            op7_line_dedup, op8_decontamination, op8_proximity, op9_source_mix, op10_license_scan)}
 
 #: DuckDB SQL where SQL can express the whole result.
 ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE, "op8_decontamination": decontaminate.ORACLE}

@@ -273,6 +273,26 @@ def test_proximity(spark):
             assert (r.n_items, r.n_near_items) == (len(exact), len(near_ids(texts[r.doc_id], asked, slop) - exact)), texts[r.doc_id]
 
 
+def test_a_registered_query_gives_proximity(spark, tmp_path):
+    """Words put in inside every window leave an item near by; the exact columns stay op8's."""
+    from __spark_entry__ import queries
+
+    item = [f"term{i}" for i in range(26)]
+    gaps = [w + (" also" if i % 6 == 5 else "") for i, w in enumerate(item)]
+    texts = [" ".join(item), " ".join(gaps), "nothing of it", None, " ".join(gaps[:14])]
+    items = [(1, " ".join(item)), (2, " ".join(item[:12])), (3, "elsewhere")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = queries()["op8_proximity"](spark, str(tmp_path))
+    exact = queries()["op8_decontamination"](spark, str(tmp_path))
+    assert Counter(map(tuple, near.drop("n_near_items", "near_items").collect())) == Counter(map(tuple, exact.collect()))
+    asked = spark.createDataFrame(items, "item_id long, text string").collect()
+    for r in near.collect():
+        want = sorted(map(str, near_ids(texts[r.doc_id], asked, 2) - near_ids(texts[r.doc_id], asked, 0)))
+        assert (r.n_near_items, r.near_items) == (len(want), want)
+    assert {r.doc_id: r.near_items for r in near.collect()}[1] == ["1", "2"]
+
+
 def test_contamination_matches_sql(docs, bench):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
