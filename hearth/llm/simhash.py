@@ -14,8 +14,10 @@ Scale: tables hold distinct fingerprints, so a group of copies is one row before
 bucket is made. A bucket's links are found in blocks of one task and only a spanning
 forest of them leaves it (at most size - 1 rows, never all pairs). A bucket above
 ``bucket_cap`` fingerprints is dealt out anew by the same construction on the bits its
-key hides: pairs within the radius still meet, and each level halves the hidden bits,
-so a bucket of distinct fingerprints must get below the cap. Components are made by
+key hides: pairs within the radius still meet, and every mask of a level keeps at least one
+more bit while over ``radius`` are hidden (about half of them), so a bucket of distinct
+fingerprints must get below the cap, or below the 2^radius that all lie within the radius.
+Components are made by
 joins (``graph.components``).
 
 Cases: null and blank texts have fingerprint zero and are linked like any other. Null
@@ -26,6 +28,7 @@ Repeated rows are copies of each other. Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -67,17 +70,35 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+@cache
+def _spread(radius: int) -> tuple[int, ...]:
+    """All vectors of radius + 1 bits, such that the first n serve n positions: the units
+    first, of which every v has one with <p, v> = 1, then those that evenest raise the
+    number of positions that a v keeps."""
+    size = 1 << (radius + 1)
+    out = [1 << i for i in range(radius + 1)]
+    kept = {v: v.bit_count() for v in range(1, size)}
+    left = [p for p in range(size) if p not in out]
+    while left:
+        best = max(left, key=lambda p: sorted(k + ((p & v).bit_count() & 1) for v, k in kept.items()))
+        left.remove(best)
+        out.append(best)
+        kept = {v: k + ((best & v).bit_count() & 1) for v, k in kept.items()}
+    return tuple(out)
+
+
 def covering_masks(radius: int, bits: list[int], seed: int) -> list[int]:
     """The 2^(radius+1) - 1 masks over the given bit positions. The vectors run through
     0 .. 2^(radius+1) - 1 in turn over a shuffled order of positions, so that each mask
-    keeps about half of them."""
+    keeps about half of them; fewer positions than vectors take those of ``_spread``."""
     size = 1 << (radius + 1)
+    vectors = range(size) if len(bits) >= size else _spread(radius)
     order = np.random.default_rng(seed).permutation(len(bits))
     masks = []
     for v in range(1, size):
         mask = 0
         for i, bit in enumerate(bits):
-            if bin((int(order[i]) % size) & v).count("1") & 1:
+            if bin(vectors[int(order[i]) % size] & v).count("1") & 1:
                 mask |= 1 << bit
         masks.append(mask)
     return masks
@@ -111,6 +132,7 @@ def spanning_links(values: np.ndarray, radius: int) -> tuple[list[int], list[int
 def _scan_buckets(radius: int, cap: int, level: int):
     """Reads rows (mask, key, fp) in the order of (mask, key); gives links, and for buckets
     above ``cap`` their rows under finer masks. Holds at most ``cap`` rows of a bucket."""
+    cap = max(cap, 1 << radius)  # distinct values with at most ``radius`` hidden bits
     known: dict[int, list[int]] = {}
 
     def finer(mask: int, values: np.ndarray) -> Iterator[dict]:

@@ -69,6 +69,32 @@ def test_small_caps_lose_no_link(spark):
         assert sorted(got.values()) == sorted(sizes.values())
 
 
+def test_every_level_shrinks_a_bucket():
+    rng = random.Random(2)
+    for radius in (1, 2, 4):
+        for n in range(radius + 1, 33):
+            bits = rng.sample(range(64), n)
+            masks = simhash.covering_masks(radius, bits, 42 + n)
+            assert all(masks), (radius, n)
+            for _ in range(50):
+                hidden = sum(1 << b for b in rng.sample(bits, radius))
+                assert any(not m & hidden for m in masks)
+
+
+def test_a_bucket_in_few_bits(spark):
+    """5000 values that agree in the 48 bits of a second-level mask are linked whole."""
+    rng = random.Random(3)
+    mask = simhash.sub_masks(simhash.covering_masks(4, list(range(64)), simhash.SEED)[0], 4, 1)[0]
+    hidden = [b for b in range(64) if not mask >> b & 1]
+    assert len(hidden) == 16
+    base = rng.getrandbits(64) & mask
+    values = sorted(base | sum(1 << b for k, b in enumerate(hidden) if x >> k & 1) for x in rng.sample(range(1 << 16), 5000))
+    table = spark.createDataFrame([(simhash.signed(v),) for v in values], "fp long")
+    roots = dict(map(tuple, graph.components(simhash.links(table)).collect()))
+    assert len(simhash.spanning_links(np.array(values, np.uint64), 4)[0]) == 4999
+    assert len({roots[simhash.signed(v)] for v in values}) == 1
+
+
 def test_covering_masks_guarantee():
     rng = random.Random(1)
     for bits in (list(range(64)), [3, 9, 17, 20, 33, 40, 41, 59, 63]):
