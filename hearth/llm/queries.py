@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearth.llm import (decontaminate, licenses, line_dedup, mixing, quality, secret_scan, simhash, token_files, toxicity,
-                        url_filter)
+from hearth.llm import (decontaminate, filter_audit, licenses, line_dedup, mixing, quality, secret_scan, simhash, spelling, token_counts,
+                        token_files, toxicity, url_filter)
 from hearth.llm.common import table
 
 
@@ -56,9 +56,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op11(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.op12(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op13(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_simhash_near_dedup, op4_toxicity, op5_token_files, op6_url_filter,
-                            op7_line_dedup, op8_decontamination, op8_proximity, op9_source_mix, op10_license_scan)}
+                            op7_line_dedup, op8_decontamination, op8_proximity, op9_source_mix, op10_license_scan,
+                            op11_token_counts, op12_filter_audit, op13_spelling_variants)}
 
 #: DuckDB SQL where SQL can express the whole result.
-ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE, "op8_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE, "op8_decontamination": decontaminate.ORACLE,
+                           "op12_filter_audit": filter_audit.ORACLE}
