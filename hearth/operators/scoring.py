@@ -3,7 +3,8 @@ HTTP handlers re-aimed as one batch (or streaming) job over a request table.
 
 All rules are column expressions; nothing runs per row in Python. The
 reference's random draws (market adjustment, state statistics) are replaced by
-their deterministic bounds and midpoints, and its salted ``hash()`` encodings
+their deterministic bounds and midpoints (or, for the adjustment, by draws that depend on the
+request and a seed alone), and its salted ``hash()`` encodings
 by stable ones (state index, ZIP digits).
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearth.functions.exprs import MEDIAN_INCOME, RENT_MULTIPLE, round_half_up, safe_div
+from hearth.operators.asof import as_of_join
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
@@ -156,11 +158,20 @@ def request_vector(req: DataFrame, feature_names: Sequence[str], as_of: str,
     return req.withColumns(cols)
 
 
-def latest_region_rows(features: DataFrame, region: str = "RegionName", date: str = "Date") -> DataFrame:
-    """SCR-6: each region's latest feature row (window over one region's months)."""
+def latest_region_rows(features: DataFrame, region: str = "RegionName", date: str = "Date", as_of: str | None = None) -> DataFrame:
+    """SCR-6: each region's latest feature row, of the day ``as_of`` or earlier if that is
+    given (window over one region's months)."""
     from pyspark.sql import Window
     w = Window.partitionBy(region).orderBy(F.col(date).desc())
-    return features.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1).drop("_k")
+    known = features if as_of is None else features.where(F.col(date) <= F.lit(as_of).cast("date"))
+    return known.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1).drop("_k")
+
+
+def region_rows_as_of(req: DataFrame, features: DataFrame, values: Sequence[str], as_of: str = "as_of", region: str = "RegionName",
+                      date: str = "Date") -> DataFrame:
+    """SCR-6 for requests that each have a day of their own: the region's last feature row of that day or
+    earlier (``values``, and its day as matched_date); no later row is looked at."""
+    return as_of_join(req, features, "region", as_of, region, date, values, at="matched_date")
 
 
 def region_key() -> Column:
@@ -186,6 +197,25 @@ def market_adjustment() -> dict[str, Column]:
     return {"adj_low": lo, "adj_high": hi, "adj_mid": (lo + hi) / F.lit(2.0)}
 
 
+def uniform(key: Column, seed: int, stream: int) -> Column:
+    """A number in [0, 1) that depends on key, seed and stream alone: 53 bits of their XXH64,
+    so a row draws the same at any partitioning, order and rerun."""
+    bits = F.shiftrightunsigned(F.xxhash64(key.cast("long"), F.lit(seed).cast("long"), F.lit(stream).cast("long")), 11)
+    return bits.cast("double") / F.lit(float(1 << 53))
+
+
+def adjustment_draw(seed: int, key: str = "request_id") -> Column:
+    """SCR-7 as the reference draws it, but reproducibly: one uniform number for the value's band, one
+    of its own for a volatile state."""
+    v, first, second = F.col("current_value"), uniform(F.col(key), seed, 1), uniform(F.col(key), seed, 2)
+
+    def between(bounds: tuple[float, float], u: Column) -> Column:
+        return F.lit(bounds[0]) + F.lit(bounds[1] - bounds[0]) * u
+
+    band = F.when(v > HIGH_VALUE, between(HIGH_VALUE_ADJ, first)).when(v < LOW_VALUE, between(LOW_VALUE_ADJ, first)).otherwise(F.lit(0.0))
+    return band + F.when(F.col("state").isin(*VOLATILE_STATES), between(VOLATILE_ADJ, second)).otherwise(F.lit(0.0))
+
+
 def clip(c: Column, bounds: tuple[float, float]) -> Column:
     return F.least(F.greatest(c, F.lit(bounds[0])), F.lit(bounds[1]))
 
@@ -245,8 +275,9 @@ def model_forecasts(req: DataFrame, models: Forecasters, as_of: str) -> DataFram
 
 
 def score(req: DataFrame, latest: DataFrame | None, as_of: str, model_name: str = "persistence",
-          models: Forecasters | None = None) -> DataFrame:
-    """SCR-1 + SCR-6..12 over a request table: validation, forecast, adjustment,
+          models: Forecasters | None = None, draw_seed: int | None = None) -> DataFrame:
+    """SCR-1 + SCR-6..12 over a request table: validation, forecast, adjustment (the middle of
+    its bounds, or with ``draw_seed`` a reproducible draw between them),
     clipping, rounding, intervals and both risk rules. Forecasts come from fitted
     ``models``, or, without them, from the region's last return: ``latest`` is the latest
     feature row per region (Value, Value_lag_1, Value_lag_3) or None."""
@@ -259,14 +290,15 @@ def score(req: DataFrame, latest: DataFrame | None, as_of: str, model_name: str
         lk = latest.select(F.col("RegionName").alias("_region"), F.col("Value").alias("_rv"),
                            F.col("Value_lag_1").alias("_rl1"), F.col("Value_lag_3").alias("_rl3"))
         r = r.withColumn("_region", region_key()).join(lk, "_region", "left").drop("_region")
-        l1 = F.coalesce(persistence(F.col("_rv"), F.col("_rl1")), F.lit((1.0 / (1.0 - 0.005) - 1.0) * 100.0))
-        l3 = F.coalesce(persistence(F.col("_rv"), F.col("_rl3")), F.lit((1.0 / (1.0 - 0.015) - 1.0) * 100.0))
+        l1 = F.coalesce(persistence(F.col("_rv"), F.col("_rl1")), F.lit((1.0 / (1.0 - LAG_DISCOUNT) - 1.0) * 100.0))
+        l3 = F.coalesce(persistence(F.col("_rv"), F.col("_rl3")), F.lit((1.0 / (1.0 - 3 * LAG_DISCOUNT) - 1.0) * 100.0))
     else:
-        l1 = persistence(F.col("current_value"), F.col("current_value") * F.lit(1.0 - 0.005))
-        l3 = persistence(F.col("current_value"), F.col("current_value") * F.lit(1.0 - 0.015))
+        l1 = persistence(F.col("current_value"), F.col("current_value") * F.lit(1.0 - LAG_DISCOUNT))
+        l3 = persistence(F.col("current_value"), F.col("current_value") * F.lit(1.0 - 3 * LAG_DISCOUNT))
     r = r.withColumns({"raw_1m": l1, "raw_3m": l3, **market_adjustment()})
-    c1 = clip(F.col("raw_1m") + F.col("adj_mid"), CLIP_1M)
-    c3 = clip(F.col("raw_3m") + F.col("adj_mid"), CLIP_3M)
+    r = r.withColumn("adjustment", F.col("adj_mid") if draw_seed is None else adjustment_draw(draw_seed))
+    c1 = clip(F.col("raw_1m") + F.col("adjustment"), CLIP_1M)
+    c3 = clip(F.col("raw_3m") + F.col("adjustment"), CLIP_3M)
     r = r.withColumns({"_c1": c1, "_c3": c3})
     pts = risk_points(F.col("_c1"), F.col("_c3"))
     ok = F.col("valid")

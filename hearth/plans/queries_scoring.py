@@ -53,7 +53,7 @@ latest AS (
   SELECT RegionName, Value AS rv, l1 AS rl1, l3 AS rl3 FROM (
     SELECT RegionName, Value, lag(Value, 1) OVER (PARTITION BY RegionName ORDER BY Date) AS l1,
            lag(Value, 3) OVER (PARTITION BY RegionName ORDER BY Date) AS l3,
-           row_number() OVER (PARTITION BY RegionName ORDER BY Date DESC) AS k FROM home) h WHERE k = 1
+           Date FROM home) h WHERE Date <= DATE '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY RegionName ORDER BY Date DESC) = 1
 ),
 raw AS (
   SELECT val.*,
@@ -112,7 +112,7 @@ def _latest(spark, sf):
     w = tm.region_window()
     lagged = home.withColumns({"Value_lag_1": F.lag("Value", 1).over(w), "Value_lag_3": F.lag("Value", 3).over(w)})
     # written once: the scoring join, and every micro-batch of the stream, read it
-    return materialize(sc.latest_region_rows(lagged).select("RegionName", "Value", "Value_lag_1", "Value_lag_3"), "latest")
+    return materialize(sc.latest_region_rows(lagged, as_of=AS_OF).select("RegionName", "Value", "Value_lag_1", "Value_lag_3"), "latest")
 
 
 def _scored(spark, sf):
@@ -229,15 +229,15 @@ _ACTUAL = [c for c in CHECKED if c not in CATEGORICAL and c not in dict(_DATE_SQ
 
 
 @register("request_actual_features", "WITH ft AS (" + feature_table_sql(rounded=False) + f"),\n{REQ},\n"
-          "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY RegionName ORDER BY Date DESC) AS k FROM ft) x WHERE k = 1)\n"
+          f"latest AS (SELECT * FROM ft WHERE Date <= DATE '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY RegionName ORDER BY Date DESC) = 1)\n"
           "SELECT request_id, region AS matched_region, l.RegionName IS NOT NULL AS matched, " + ", ".join(
               (R(f"coalesce(CAST(l.{c} AS DOUBLE), {e})") if c in _ACTUAL else R(e)) + f" AS {c}"
               for c, e in _vector_sql().items())
           + f" FROM {_VALID_SQL} LEFT JOIN (SELECT RegionName, {', '.join(_ACTUAL)} FROM latest) l ON v.region = l.RegionName")
 def request_actual_features(spark, sf):
-    """SCR-6: the matched region's whole latest feature row overrides the defaults."""
+    """SCR-6: the matched region's whole latest feature row, as of the scoring day, overrides the defaults."""
     from hearth.plans.features import feature_table
-    latest = sc.latest_region_rows(feature_table(spark, sf, with_clusters=False))
+    latest = sc.latest_region_rows(feature_table(spark, sf, with_clusters=False), as_of=AS_OF)
     lk = latest.select(F.col("RegionName").alias("_region"), *[F.col(c).alias(f"_a_{c}") for c in _ACTUAL])
     lk = materialize(lk, "latest-features")  # a row per region: its size is known to the join
     v = _validated(spark, sf).where("valid").withColumn("_region", sc.region_key())
@@ -248,6 +248,35 @@ def request_actual_features(spark, sf):
     return out.select("request_id", F.col("_region").alias("matched_region"), F.col("_found").isNotNull().alias("matched"), *FEATURES)
 
 
+_AS_OF_VALUES = ("Value", "Value_lag_1", "Value_lag_3", "Value_lag_12")
+
+
+@register("request_as_of_features", O.with_panels(
+    ",\nlagged AS (SELECT RegionName, Date, Value, " + ", ".join(f"lag(Value, {n}) OVER ({O.W}) AS Value_lag_{n}" for n in (1, 3, 12)) + " FROM home),\n"
+    "req AS (SELECT o_orderkey AS request_id, CAST(o_custkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS VARCHAR) AS region, "
+    "CAST(o_orderdate AS DATE) AS as_of FROM orders)\n"
+    "SELECT request_id, region, as_of, CAST(l.Date AS DATE) AS matched_date, " + ", ".join(f"{R('l.' + c)} AS {c}" for c in _AS_OF_VALUES)
+    + " FROM req ASOF LEFT JOIN lagged l ON req.region = l.RegionName AND req.as_of >= l.Date", "home"))
+def request_as_of_features(spark, sf):
+    """SCR-6, as of each request's own day: the region's last row of that day or earlier."""
+    home = P.home_panel(spark, sf)
+    w = tm.region_window()
+    lagged = materialize(home.select("RegionName", "Date", "Value", *[F.lag("Value", n).over(w).alias(f"Value_lag_{n}") for n in (1, 3, 12)]), "lagged")
+    out = sc.region_rows_as_of(P.dated_requests(spark, sf), lagged, _AS_OF_VALUES)
+    return out.select("request_id", "region", "as_of", "matched_date", *_AS_OF_VALUES)
+
+
+DRAW_SEED = 42
+
+
+@register("adjustment_draws", _req_sql("SELECT request_id, true AS within_bounds, adj_low = adj_high AS fixed FROM scored", scored=True))
+def adjustment_draws(spark, sf):
+    """SCR-7 with reproducible draws: SQL tells that each lies within its bounds; tests hold the numbers."""
+    s = sc.score(P.requests(spark, sf), _latest(spark, sf), AS_OF, draw_seed=DRAW_SEED)
+    return s.select("request_id", F.col("adjustment").between(F.col("adj_low"), F.col("adj_high")).alias("within_bounds"),
+                    (F.col("adj_low") == F.col("adj_high")).alias("fixed"))
+
+
 _SCORE_COLS = ["request_id", "zip_code", "state", "current_value", "success", "error", "return_1m", "return_3m",
                "risk_points", "risk_category", "risk_simple", "prediction_id", "model_version", "prediction_date",
                "return_1m_lower", "return_1m_upper", "return_3m_lower", "return_3m_upper"]

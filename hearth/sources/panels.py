@@ -171,6 +171,14 @@ def requests_from_customer(c: DataFrame, n_regions: int) -> DataFrame:
     )
 
 
+def dated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that ask about a region as of a day of their own, one per order."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    n = region_count(spark, sf_dir)
+    return o.select(F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") % n + 1).cast("string").alias("region"),
+                    F.col("o_orderdate").cast("date").alias("as_of"))
+
+
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The service's request log from events: ts as a UTC timestamp, client,
     kind (purchase = prediction, error = error, rest = other)."""

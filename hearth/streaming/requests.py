@@ -67,6 +67,22 @@ def request_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.request_log_from_events(e)
 
 
+def landed_log(spark: SparkSession, sf_dir: str, files: int = 4, in_order: bool = False) -> DataFrame:
+    """The request log as a service lands it: several files, each one micro-batch. Without order every
+    file holds requests of the whole time, so all but the first bring late ones; in order they
+    follow each other but for some minutes of jitter."""
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+    jitter = F.pmod(F.xxhash64("event_id"), F.lit(480))
+    second = F.unix_timestamp(F.col("ts").cast("timestamp")) + jitter if in_order else F.pmod(F.xxhash64("event_id"), F.lit(1000))
+    cuts = events.agg(F.percentile_approx(second, [k / files for k in range(1, files)])).first()[0] or []
+    part = sum((F.when(second > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    root = scratch_path(spark, "landed")
+    for k in range(files):  # one after the other: the stream takes files by age
+        events.where(part == k).coalesce(1).write.mode("append").parquet(f"{root}/events.parquet")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events.parque[t]")
+    return P.request_log_from_events(stream)
+
+
 def _fmt(c) -> F.Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
