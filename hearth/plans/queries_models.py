@@ -4,8 +4,11 @@ checks, plus invariant tests in tests/test_models.py."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from hearth.operators import boosting
 from hearth.operators import models as M
 from hearth.operators import training as tr
 from hearth.operators import scoring as sc
@@ -31,6 +34,33 @@ def train_gbt(spark, sf):
     return model.transform(test).select("RegionName", "Date", F.col(DEFAULT_TARGET).alias("y"), "prediction")
 
 
+@register("validation_curve")
+def validation_curve(spark, sf):
+    """EVL-2: the curve by which the default target's boosted model is cut."""
+    mat, _ = _matrix(spark, sf)
+    return M.validation_curve(mat, DEFAULT_TARGET)
+
+
+#: A short job of the regularised booster: the search draws the reference's ranges, the trees are bounded.
+REGULARISED = boosting.BoostParams(trees=20, max_depth=4, max_leaves=12, rate=0.1, alpha=1.0, lambda_=5.0, row_share=0.8, feature_share=0.8)
+
+
+@register("train_regularised")
+def train_regularised(spark, sf):
+    """ML-3: leaf-wise trees with L1 and L2 penalties, cut on the validation split; predictions of the test split."""
+    mat, feats = _matrix(spark, sf)
+    model = boosting.fit(mat, feats, DEFAULT_TARGET, REGULARISED)
+    return model.predict(mat.where(F.col("split") == "test")).select("RegionName", "Date", F.col(DEFAULT_TARGET).alias("y"), "prediction")
+
+
+@register("tune_regularised")
+def tune_regularised(spark, sf):
+    """ML-3: seeded trials of penalties, leaves and shares by validation RMSE."""
+    mat, feats = _matrix(spark, sf)
+    trials = [replace(p, trees=REGULARISED.trees, max_depth=min(p.max_depth, REGULARISED.max_depth)) for p in boosting.draw(M.TRAINING_TRIALS)]
+    return boosting.tune(mat, feats, DEFAULT_TARGET, trials)[0]
+
+
 @register("tune_gbt")
 def tune_gbt(spark, sf):
     mat, _ = _matrix(spark, sf)
