@@ -42,7 +42,7 @@ def validation_curve(spark, sf):
 
 
 #: A short job of the regularised booster: the search draws the reference's ranges, the trees are bounded.
-REGULARISED = boosting.BoostParams(trees=20, max_depth=4, max_leaves=12, rate=0.1, alpha=1.0, lambda_=5.0, row_share=0.8, feature_share=0.8)
+REGULARISED = boosting.BoostParams(trees=12, max_depth=4, max_leaves=12, rate=0.1, alpha=1.0, lambda_=5.0, row_share=0.8, feature_share=0.8)
 
 
 @register("train_regularised")
