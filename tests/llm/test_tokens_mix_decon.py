@@ -112,11 +112,46 @@ def brute_fill(sizes):
     return {s: min(3 * sizes[s], low * w[s]) for s in order}
 
 
-def test_water_fill():
-    for sizes in ({"a": 10, "b": 100, None: 50}, {"a": 1, "b": 1, "c": 1000}, {"x": 0, "y": 7}, {"z": 5}, {"a": 3, "b": 0, None: 0}):
-        got, want = mixing.water_fill(list(sizes.items())), brute_fill(sizes)
-        assert all(abs(got[s] - want[s]) < 1e-6 * (1 + want[s]) for s in sizes)
-    assert mixing.water_fill([]) == {}
+def filled(spark, sizes):
+    rows = spark.createDataFrame(list(sizes.items()), "source string, n long")
+    return {r.source: r.target for r in mixing.targets(rows).collect()}
+
+
+def test_water_fill(spark):
+    for sizes in ({"a": 10, "b": 100, None: 50}, {"a": 1, "b": 1, "c": 1000}, {"x": 0, "y": 7}, {"z": 5}, {"a": 3, "b": 0, None: 0}, {"a": 0, None: 0},
+                  {f"s{i}": (i * 7919) % 101 for i in range(60)}):
+        got, want = filled(spark, sizes), brute_fill(sizes)
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * (1 + want[s]) for s in sizes)
+    assert filled(spark, {}) == {}
+
+
+def test_a_million_sources(spark):
+    rows = spark.range(1_000_000).select(F.concat(F.lit("host"), F.col("id").cast("string")).alias("source"), (F.pmod(F.xxhash64("id"), F.lit(900)) * F.when(F.col("id") % 1000 == 0, 5000).otherwise(1)).alias("n"))
+    got = mixing.targets(rows).toPandas()
+    order = got.sort_values("source").reset_index(drop=True)
+    w = np.array([5.0, 2.0, 1.0])[np.arange(len(order)) % 3]
+    n = order.n.to_numpy(float)
+    low, high = 0.0, 1e12
+    for _ in range(120):
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.minimum(3 * n, mid * w).sum() < n.sum() else (low, mid)
+    assert np.allclose(order.target, np.minimum(3 * n, low * w), rtol=1e-9, atol=1e-6) and abs(order.target.sum() / n.sum() - 1) < 1e-9
+
+
+def test_taken_rows_do_not_depend_on_how_the_table_is_cut(spark, tmp_path):
+    rows = [(i % 40, "word " * (i % 9 + 1), f"s{i % 4}") for i in range(400)] * 2  # identical rows
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    try:
+        for size in ("134217728", "1500"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            docs = spark.read.parquet(str(tmp_path / "t"))
+            seen.append((Counter(map(tuple, mixing.mix(docs).collect())), Counter(map(tuple, mixing.apply_mix(docs).collect()))))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(g[4] * k for g, k in seen[0][0].items()) == sum(len(r[1].split()) * k for r, k in seen[0][1].items())
+    assert seen[0] == seen[1]
 
 
 def check_mix(rows, got):
@@ -170,8 +205,6 @@ def test_mix_applied(whole, empty, edge):
     assert +got == +want
     assert mixing.mix(empty).count() == 0 and mixing.apply_mix(empty).count() == 0
     assert mixing.apply_mix(edge).columns == edge.columns
-    with pytest.raises(ValueError):
-        mixing.thresholds(mixing.with_hash(whole), max_sources=2)
 
 
 LOW = {c: c + 32 for c in range(65, 91)}
