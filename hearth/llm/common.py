@@ -121,3 +121,11 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -
         c = left[a].eqNullSafe(right[b])
         cond = c if cond is None else cond & c
     return cond
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` has not got."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish

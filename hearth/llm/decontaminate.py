@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm.common import map_batches, open_folder, prepare, stream_batches, utf8
+from hearth.llm.common import free_name, map_batches, open_folder, prepare, stream_batches, utf8
 from hearth.session import materialize, scratch_path
 
 WINDOW = 13
@@ -343,5 +343,6 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = F.xxhash64("doc_id", "text")
     out = report(build_index(docs.select(key.alias("doc_id"), "text")), benchmark).where("contaminated")
     out = materialize(out.select(F.col("doc_id").alias("llm_out")).distinct(), "contaminated")
-    keyed = docs.withColumn("llm_key", key)
-    return keyed.join(out, keyed.llm_key == out.llm_out, "left_anti").select(*docs.columns)
+    name = free_name(docs, "llm_key")
+    keyed = docs.withColumn(name, key)
+    return keyed.join(out, keyed[name] == out.llm_out, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,8 +7,8 @@ share of words in content lines decides whether the document stays.
 
 The field is fitted on labelled documents (``labels.quality``): lines of a good
 document count as content unless they repeat an earlier line, lines of a bad one as
-boilerplate. Fit: at most ``max_train_docs`` labelled documents and the first
-``max_train_lines`` lines of each (a bounded sample; decoding reads every line).
+boilerplate. Fit: at most ``max_train_docs`` labelled documents (a bounded sample), all lines
+of each, in chains of ``CHAIN`` lines.
 
 Cases: a null or blank text has no words: n_words 0, base_failed, not kept. Lines
 without a word carry no state. Ties in Viterbi go to content. Repeated rows are
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from hearth.llm.common import map_batches, prepare, utf8
 
 MAX_TRAIN_DOCS = 1000
-MAX_TRAIN_LINES = 64
+#: Lines of one training chain; a longer text gives several, so all of its lines are used.
+CHAIN = 64
 CONTENT_SHARE = 0.5
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -107,7 +108,7 @@ def repeat_words(words: list[bytes]) -> int:
     return int(hit.sum())
 
 
-def line_stats(data: bytes, limit: int | None = None) -> np.ndarray:
+def line_stats(data: bytes) -> np.ndarray:
     """Raw statistics (``RAW``) of the lines that hold a word, in order."""
     rows = []
     seen: set[bytes] = set()
@@ -120,8 +121,6 @@ def line_stats(data: bytes, limit: int | None = None) -> np.ndarray:
                      size - len(line.translate(None, DIGITS)), line.count(b"!"), line.count(b"|"), len(set(words)),
                      line in seen, words[-1][-1:] in b".?!", size - len(line.translate(None, UPPER + LOWER))))
         seen.add(line)
-        if limit and len(rows) >= limit:
-            break
     return np.array(rows, np.float64).reshape(-1, len(RAW))
 
 
@@ -226,7 +225,7 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 90, rate: f
     return LineCRF(tuple(theta[:k].tolist()), tuple(theta[k:k + 4].tolist()), tuple(theta[k + 4:].tolist()))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_train_lines: int = MAX_TRAIN_LINES) -> LineCRF:
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, chain: int = CHAIN) -> LineCRF:
     """Fit on a bounded sample of labelled rows: the ``max_train_docs`` smallest hashes
     of labelled ids (no sort of the table; a top-k), line statistics made on executors."""
     ids = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -237,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
 
     def make():
         def step(cols):
-            raw = [line_stats(utf8(t), max_train_lines) for t in cols["text"]]
+            raw = [line_stats(utf8(t)) for t in cols["text"]]
             return {"doc_id": cols["doc_id"], "quality": cols["quality"], "raw": [r.astype("<f4").tobytes() for r in raw]}
         return step
 
@@ -246,7 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
     for r in rows:
         raw = np.frombuffer(r.raw, "<f4").reshape(-1, len(RAW)).astype(np.float64)
         y = np.full(len(raw), r.quality) * (raw[:, RAW.index("dup")] == 0)
-        sequences.append((features(raw), y))
+        x = features(raw)
+        sequences += [(x[i:i + chain], y[i:i + chain]) for i in range(0, len(raw), chain)]
     return fit(sequences)
 
 
@@ -283,10 +283,12 @@ def filter_documents(docs: DataFrame, crf: LineCRF, share: float = CONTENT_SHARE
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(at).to_pylist()
             yield batch.filter(pa.array([judge_text(t, crf, share)[6] for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # a column may have any name, dots in it
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op1(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm.common import map_batches, null_safe, prepare, row_hash, stream_batches, utf8
+from hearth.llm.common import free_name, map_batches, null_safe, prepare, row_hash, stream_batches, utf8
 from hearth.llm.graph import components
 from hearth.session import materialize
 
@@ -238,7 +238,8 @@ def classes(docs: DataFrame, k: int = SHINGLE_WORDS, radius: int = RADIUS, bucke
 
 def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, radius: int = RADIUS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """One row of each group, all columns as they came: the row with the smallest id
-    (null ids last), then the smallest text hash; of identical (id, text) rows one."""
+    (null ids last), then the smallest text hash; of rows alike in id and text the one whose
+    columns, written as JSON, come first."""
     prepare(docs.sparkSession)
     rows = materialize(classes(docs, k, radius, bucket_cap).select("doc_id", "h", "root"), "classes")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("w"))
@@ -247,15 +248,17 @@ def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, radius: int = RADIUS, buck
     marked = materialize(keys.join(best, keys.doc_id.eqNullSafe(best.llm_id) & (keys.h == best.llm_h), "left")
                          .select("doc_id", "h", "n", F.col("llm_best").isNotNull().alias("best")), "marked")
     out = marked.where("not best or n > 1").select(F.col("doc_id").alias("llm_id"), F.col("h").alias("llm_h"))
-    hashed = docs.withColumn("llm_text_hash", row_hash("text"))
-    on = lambda d, x: null_safe(d, x, [("doc_id", "llm_id"), ("llm_text_hash", "llm_h")])
-    single = hashed.join(out, on(hashed, out), "left_anti").select(*docs.columns)
+    key = free_name(docs, "llm_text_hash")
+    hashed = docs.withColumn(key, row_hash("text"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    on = lambda d, x: null_safe(d, x, [("doc_id", "llm_id"), (key, "llm_h")])
+    single = hashed.join(out, on(hashed, out), "left_anti").select(*columns)
     again = marked.where("best and n > 1").select(F.col("doc_id").alias("llm_id"), F.col("h").alias("llm_h"))
     if again.isEmpty():
         return single
-    whole = F.struct(*[F.col(c) for c in docs.columns])
-    repeated = (hashed.join(again, on(hashed, again), "left_semi").groupBy("doc_id", "llm_text_hash")
-                .agg(F.first(whole).alias("llm_row")).select("llm_row.*"))
+    whole = F.struct(*columns)
+    repeated = (hashed.join(again, on(hashed, again), "left_semi").groupBy(F.col("doc_id").alias("llm_id"), F.col(key).alias("llm_h"))
+                .agg(F.min_by(whole, F.to_json(whole, {"ignoreNullFields": "false"})).alias("llm_row")).select("llm_row.*"))
     return single.unionByName(repeated)
 
 
