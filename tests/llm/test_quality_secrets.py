@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -109,7 +110,7 @@ def test_tricky_base_matches():
 def test_lexer_pairs_and_constants():
     text = 'part = "aB3dE5gH7j"\nclient_secret = part + "K9mNpQ2r"\nexport DB_PWD=Zk39fkJd02Qp\ntitle = "A long harmless title"\npassword = "changeme-changeme"\nx == y'
     got = dict(secret_scan.pairs(text))
-    assert got["client_secret"].value == "aB3dE5gH7jK9mNpQ2r" and len(got["client_secret"].spans) == 2
+    assert got["client_secret"].value == "aB3dE5gH7jK9mNpQ2r" and len(got["client_secret"].spans(set())) == 2
     spans = {text[s:e] for s, _, e in secret_scan.pair_spans(text, secret_scan.base_spans(text))}
     assert {"aB3dE5gH7j", "Zk39fkJd02Qp"} <= spans
     assert not spans & {"A long harmless title", "changeme-changeme"}
@@ -131,3 +132,76 @@ def test_names_match_one_pattern_over_the_whole_text():
         left = "".join(rng.choice("aZ_$.-0é'\"` \t\n(") for _ in range(rng.randrange(9)))
         want = pattern.search(left)
         assert secret_scan._name_left(left) == (want.group(1) if want else None), left
+
+
+def test_doubling_constants_cost_a_line_each():
+    import time
+
+    first = "abcdefgh1234ABCD"
+    text = f'a0 = "{first}"\n' + "".join(f"a{i + 1}=a{i}+a{i}\n" for i in range(300)) + "client_secret = a300 + a299\n"
+    text += 'e0 = ""\n' + "".join(f"e{i + 1}=e{i}+e{i}\n" for i in range(300)) + 'db_password = e300 + "Zk39fkJd02Qp" + e300\n'
+    text += 'c0 = "q9"\n' + "".join(f'signing_secret = c{i}\nc{i + 1} = c{i} + "Xy7"\n' for i in range(2000))
+    began = time.perf_counter()
+    spans = secret_scan.pair_spans(text, [])
+    assert time.perf_counter() - began < 1.0
+    assert text.index(first) in [s for s, _, _ in spans] and text.index("Zk39") in [s for s, _, _ in spans]
+    assert sum(text[s:e] == "Xy7" for s, _, e in spans) == 1999
+    literal = dict(secret_scan.pairs(text))["client_secret"]
+    assert literal.length == 16 * (2 ** 300 + 2 ** 299) and literal.counts()["a"] == 2 ** 300 + 2 ** 299
+
+
+def expanded(text):
+    """Pairs and spans with every constant written out: small texts only."""
+    out, known = [], {}
+    for line in text.split("\n"):
+        name, _, right = line.partition(" = ")
+        value, spans = "", []
+        at = text.index(line) + len(name) + 3
+        for term in right.split(" + "):
+            if term in known:
+                value, spans = value + known[term][0], spans + known[term][1]
+            else:
+                value, spans = value + term[1:-1], spans + [(at + 1, at + len(term) - 1)]
+            at += len(term) + 3
+        known[name] = value, spans
+        out.append((name, value, spans))
+    return out
+
+
+def strong(value):
+    n = len(value)
+    if n < 8 or " " in value or secret_scan.PLACEHOLDER.search(value):
+        return 0.0
+    counts = Counter(value)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    classes = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), not value.isalnum()))
+    return min(1.0, n / 20) * 0.3 + min(1.0, entropy / 4) * 0.4 + min(1.0, (classes - 1) / 2) * 0.3
+
+
+def test_constants_equal_written_out_ones():
+    rng = random.Random(8)
+    pieces = ["aB3", "dE5gH", "9mNpQ2rT", "", "xx", "X", "cha", "ngeme", "{", "}", "${", "%(", ")", "<", ">", "q" * 60, "your", "_", "a b"]
+    for _ in range(400):
+        names = [f"k{i}_{rng.choice(['secret', 'name', 'token'])}" for i in range(rng.randint(1, 8))]
+        lines = []
+        for i, n in enumerate(names):
+            terms = [rng.choice(names[:i]) if i and rng.random() < 0.6 else f'"{rng.choice(pieces)}{i if rng.random() < 0.5 else ""}"' for _ in range(rng.randint(1, 5))]
+            lines.append(f"{n} = " + " + ".join(terms))
+        text = "\n".join(lines)
+        want = expanded(text)
+        assert [(n, x.value, sorted(set(x.spans(set())))) for n, x in secret_scan.pairs(text)] == [(n, v, sorted({s for s in spans if s[1] > s[0]})) for n, v, spans in want]
+        spans = {(s, 3, e) for n, v, own in want if secret_scan.sensitivity(n) * strong(v) >= 0.5 for s, e in own if e > s}
+        assert secret_scan.pair_spans(text, []) == sorted(spans), text
+
+
+def test_placeholder_automaton_equals_the_pattern():
+    rng = random.Random(9)
+    pieces = ["x", "xx", "X", "*", "**", "change", "_", "me", "ExAm", "ple", "place", "holder", "your", "-", "dum", "my", "<", ">", "$", "{", "}", "%", "(", ")", "\n", "a", "K", "ſ"]
+    found = 0
+    for _ in range(4000):
+        parts = [rng.choice(pieces) for _ in range(rng.randint(1, 9))]
+        long = secret_scan.Literal([("z" * 300, 0, 300), secret_scan.Literal([(p, 0, len(p)) for p in parts])])
+        want = bool(secret_scan.PLACEHOLDER.search("z" * 300 + "".join(parts)))
+        assert secret_scan.is_placeholder(long, {}) == want, parts
+        found += want
+    assert 150 < found < 3600
