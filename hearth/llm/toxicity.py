@@ -1,21 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A lexicon maps the words of a clause to symbols: insult, threat, target, negation,
-report, other. Insult words and stems are learned from labelled documents, with
-their log-odds as weights; threats, targets, negations and reporting words are short fixed
-lists. Five weighted transducers read the symbols and add weights on their arcs:
-
-    insult     every insult (the first three in a clause count)
-    threat     a threat followed by a target, or the other way round
-    target     an insult and a target in one clause
-    negation   an insult after a negation is taken back
-    report     insults and threats after a reporting word count little
-
-Their composition runs them side by side as one transducer; a clause's score is
-the weight of its path, and a clause that scores over ``MATCH`` is a match. A document's score
-is a logistic function of its best clause, the sum and the number of matches per word; the
-coefficients are fitted on labelled documents too. Isolated words do not score: the same
-word counts less, or not at all, in a negated or reported clause.
+report, contrast, other. Insult words and stems are learned from labelled documents, with
+their log-odds as weights; the other classes are short fixed lists. Five weighted
+transducers read symbols, write symbols, and add weights on their arcs:
+
+    report     rewrites insults and threats behind a reporting word, up to a contrast, to "reported"
+    negation   rewrites insults and threats in the ``SCOPE`` words behind a negation to "negated"
+    insult     weighs every insult (the first three in a clause count)
+    threat     weighs a threat followed by a target, or the other way round
+    target     weighs an insult and a target in one clause
+
+They are composed in this order: each reads what the one before wrote, so a negated or reported
+insult is none to those that weigh, whatever its learned weight. The composition is one
+transducer; a clause's score is the weight of its path, and a clause that scores over ``MATCH`` is a
+match. A document's score is a logistic function of its best clause, the sum and the number of
+matches per word; the coefficients are fitted on labelled documents too. Isolated words do not
+score: the same word counts nothing in a negated or reported clause.
 
 Fit: at most ``max_train`` labelled rows with crc32(doc_id as text) mod 3 <> 1, the smallest
 hashes of ids (a bounded sample); near-copies among them count once for the lexicon.
@@ -33,17 +34,17 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.llm.common import map_batches, prepare, stream_batches, utf8
 from hearth.session import materialize
 
 MAX_TRAIN = 6000
-MAX_CANDIDATES = 3000
 MIN_G2 = 20.0
 MIN_SHARE = 0.8
 STEMS = (5, 6, 7, 8)
@@ -51,13 +52,17 @@ THRESHOLD = 0.7
 MAX_WEIGHT = 10.0
 MATCH = 0.25
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "target", "negation", "report", "other"
+INSULT, THREAT, TARGET, NEGATION, REPORT, CONTRAST, OTHER = "insult", "threat", "target", "negation", "report", "contrast", "other"
+REPORTED, NEGATED = "reported", "negated"
+#: Words behind a negation that it governs; a governed insult or threat starts the count anew ("an idiot or a moron").
+SCOPE = 6
 #: Word lists in the four languages of the corpora.
 INSULTS = "idiot idiots moron imbecile bastard scumbag idiota imbécil estúpido cretino imbécile connard crétin dummkopf trottel arschloch".split()
 THREATS = "kill hurt destroy murder beat strangle töten umbringen vernichten schlagen tuer frapper détruire matar destruir golpear".split()
 TARGETS = "you your you're they them he she du dich dir ihr euch sie tu te toi vous vos tú ti usted ustedes vosotros".split()
 NEGATIONS = "not never no isn't aren't nicht kein keine nie pas jamais ne non nunca jamás".split()
 REPORTS = "said says claimed quoted reported wrote called sagte schrieb zitierte dit écrit cité dijo escribió citó".split()
+CONTRASTS = "but however aber sondern doch mais cependant pero sino".split()
 
 CLAUSE = re.compile(r"[.!?;:\n]+")
 #: ASCII other than letters and the apostrophe parts words; other bytes belong to them.
@@ -66,50 +71,66 @@ _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 or c == 39 else 32 for c in range(
 
 @dataclass(frozen=True)
 class Transducer:
-    """Weighted arcs (state, symbol) -> (state, weight); no arc: stay, weight 0."""
+    """Arcs (state, symbol read) -> (state, symbol written, weight); no arc: stay, write what was read, weight 0."""
 
-    arcs: dict[tuple[int, str], tuple[int, float]]
+    arcs: dict[tuple[int, str], tuple[int, str, float]]
+    start = 0
 
-    def step(self, state: int, symbol: str) -> tuple[int, float]:
-        return self.arcs.get((state, symbol), (state, 0.0))
-
-
-def grammar() -> tuple[Transducer, ...]:
-    """insult, threat, target, negation, report. Insult arcs weigh in units of the word's
-    own weight, threats in absolute units (see ``Composed``)."""
-    insult = Transducer({(0, INSULT): (1, 1.0), (1, INSULT): (2, 0.5), (2, INSULT): (3, 0.25)})
-    threat = Transducer({(0, THREAT): (1, 0.2), (1, TARGET): (3, 2.0), (0, TARGET): (2, 0.0), (2, THREAT): (3, 2.0)})
-    target = Transducer({(0, TARGET): (1, 0.0), (1, INSULT): (3, 0.5), (0, INSULT): (2, 0.0), (2, TARGET): (3, 0.5)})
-    negation = Transducer({(0, NEGATION): (1, 0.0), (1, INSULT): (0, -0.8), (1, THREAT): (0, -1.5)})
-    report = Transducer({(0, REPORT): (1, 0.0), (1, INSULT): (1, -0.5), (1, THREAT): (1, -1.5)})
-    return insult, threat, target, negation, report
+    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
+        return self.arcs.get((state, symbol), (state, symbol, 0.0))
 
 
 class Composed:
-    """The transducers side by side: states are tuples, an arc's weight their sum; arcs
-    are made when a text first needs them (there are finitely many)."""
+    """The composition of two transducers: the second reads what the first writes. Its states are
+    pairs; its arcs are made when a text first needs them (there are finitely many)."""
 
-    def __init__(self, parts: Iterable[Transducer]):
-        self.parts = tuple(parts)
-        self.start = (0,) * len(self.parts)
-        self.arcs: dict[tuple[tuple[int, ...], str], tuple[tuple[int, ...], float]] = {}
+    def __init__(self, first: "Transducer | Composed", second: "Transducer | Composed"):
+        self.first, self.second, self.start = first, second, (first.start, second.start)
+        self.arcs: dict[tuple[tuple, str], tuple[tuple, str, float]] = {}
 
-    def step(self, state: tuple[int, ...], symbol: str) -> tuple[tuple[int, ...], float]:
+    def step(self, state: tuple, symbol: str) -> tuple[tuple, str, float]:
         key = state, symbol
         if key not in self.arcs:
-            moves = [p.step(s, symbol) for p, s in zip(self.parts, state)]
-            self.arcs[key] = tuple(m[0] for m in moves), sum(m[1] for m in moves)
+            a, between, v = self.first.step(state[0], symbol)
+            b, written, w = self.second.step(state[1], between)
+            self.arcs[key] = (a, b), written, v + w
         return self.arcs[key]
 
     def weight(self, clause: Iterable[tuple[str, float]]) -> float:
-        """Path weight of (symbol, word weight) pairs; arcs over an insult are scaled by it."""
+        """Path weight of (symbol, word weight) pairs; an arc over a word is scaled by its weight."""
         state, total = self.start, 0.0
         for symbol, w in clause:
-            state, arc = self.step(state, symbol)
+            state, _, arc = self.step(state, symbol)
             total += arc * w
         return total
 
 
+def weigher(*arcs: tuple[int, str, int, float]) -> Transducer:
+    """A transducer that writes what it reads, from (state, symbol, next state, weight)."""
+    return Transducer({(s, x): (t, x, w) for s, x, t, w in arcs})
+
+
+def grammar() -> tuple[Transducer, ...]:
+    """report, negation, insult, threat, target. Insult arcs weigh in units of the word's
+    own weight, threats in absolute units."""
+    report = Transducer({(0, REPORT): (1, REPORT, 0.0), (1, CONTRAST): (0, CONTRAST, 0.0),
+                         (1, INSULT): (1, REPORTED, 0.0), (1, THREAT): (1, REPORTED, 0.0)})
+    # state k: the next k words are governed
+    governed: dict[tuple[int, str], tuple[int, str, float]] = {(0, NEGATION): (SCOPE, NEGATION, 0.0)}
+    for k in range(1, SCOPE + 1):
+        governed |= {(k, x): (k - 1, x, 0.0) for x in (OTHER, TARGET, REPORT, REPORTED)}
+        governed |= {(k, NEGATION): (SCOPE, NEGATION, 0.0), (k, CONTRAST): (0, CONTRAST, 0.0),
+                     (k, INSULT): (SCOPE, NEGATED, 0.0), (k, THREAT): (SCOPE, NEGATED, 0.0)}
+    insult = weigher((0, INSULT, 1, 1.0), (1, INSULT, 2, 0.5), (2, INSULT, 3, 0.25))
+    threat = weigher((0, THREAT, 1, 0.2), (1, TARGET, 3, 2.0), (0, TARGET, 2, 0.0), (2, THREAT, 3, 2.0))
+    target = weigher((0, TARGET, 1, 0.0), (1, INSULT, 3, 0.5), (0, INSULT, 2, 0.0), (2, TARGET, 3, 0.5))
+    return report, Transducer(governed), insult, threat, target
+
+
+def machine() -> Composed:
+    return reduce(Composed, grammar())
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Insult words and stems with weights; the other classes are fixed."""
@@ -118,7 +139,7 @@ class Lexicon:
     stems: dict[str, float]
 
     def lookup(self) -> tuple[dict[bytes, tuple[str, float]], dict[int, dict[bytes, tuple[str, float]]]]:
-        exact = {w.encode(): (s, 1.0) for s, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
+        exact = {w.encode(): (s, 1.0) for s, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (CONTRAST, CONTRASTS)) for w in ws}
         exact |= {w.encode(): (INSULT, v) for w, v in self.words.items()}
         stems: dict[int, dict[bytes, tuple[str, float]]] = {}
         for w, v in self.stems.items():
@@ -137,7 +158,7 @@ class Scanner:
     def __init__(self, lexicon: Lexicon):
         self.exact, self.stems = lexicon.lookup()
         self.hot = {w for w, (s, _) in self.exact.items() if s in (INSULT, THREAT)}
-        self.machine = Composed(grammar())
+        self.machine = machine()
 
     def symbol(self, word: bytes) -> tuple[str, float]:
         got = self.exact.get(word)
@@ -183,13 +204,13 @@ def _copy_key(text: str | None) -> int:
     return min((xxhash.xxh64_intdigest(b" ".join(words[i:i + 4])) >> 1 for i in range(max(1, len(words) - 3))), default=0)
 
 
-def _g2(tox: float, non: float, n_tox: float, n_non: float) -> float:
-    """Likelihood ratio of a token's counts against independence; 0 if it is rarer in toxic texts."""
-    n, k = n_tox + n_non, tox + non
-    if tox * n_non <= non * n_tox:
-        return 0.0
+def _g2(n_tox: int, n_non: int) -> Column:
+    """Likelihood ratio of a token's counts (tox, non) against independence; 0 if it is rarer in toxic texts."""
+    n, tox, non = float(n_tox + n_non), F.col("tox"), F.col("non")
+    k = tox + non
     cells = ((tox, k * n_tox / n), (non, k * n_non / n), (n_tox - tox, (n - k) * n_tox / n), (n_non - non, (n - k) * n_non / n))
-    return 2 * sum(a * math.log(a / b) for a, b in cells if a > 0 and b > 0)
+    total = sum((F.when((a > 0) & (b > 0), a * F.ln(a / b)).otherwise(0.0) for a, b in cells), F.lit(0.0))
+    return F.when(tox * n_non > non * n_tox, 2 * total).otherwise(0.0)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
@@ -214,8 +235,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.002, steps: int = 60)
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """``sample(doc_id, text, toxic)``: tokens that mark toxic documents. Counts are summed
-    on executors; at most ``MAX_CANDIDATES`` candidates reach the driver."""
+    """``sample(doc_id, text, toxic)``: tokens that mark toxic documents. Counts and their
+    test are made on executors; only tokens that pass it, of the bounded sample, reach the driver."""
 
     def prepare_rows():
         def step(cols):
@@ -242,12 +263,9 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
     counts = stream_batches(rows, count, "token string, toxic int, n long").groupBy("token").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("tox"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("non"))
-    likely = counts.where((F.col("tox") >= 3) & (F.col("tox") >= MIN_SHARE * (F.col("tox") + F.col("non"))))
-    top = likely.orderBy(F.col("tox").desc(), F.col("non"), "token").limit(MAX_CANDIDATES).collect()
+    likely = counts.where((F.col("tox") >= 3) & (F.col("tox") >= MIN_SHARE * (F.col("tox") + F.col("non"))) & (_g2(n_tox, n_non) >= MIN_G2))
     words, stems = {}, {}
-    for r in sorted(top, key=lambda r: (not r.token.endswith("*"), len(r.token), r.token)):
-        if _g2(r.tox, r.non, n_tox, n_non) < MIN_G2:
-            continue
+    for r in sorted(likely.collect(), key=lambda r: (not r.token.endswith("*"), len(r.token), r.token)):
         weight = min(MAX_WEIGHT, math.log(((r.tox + 0.5) / (n_tox + 1)) / ((r.non + 0.5) / (n_non + 1))))
         token = r.token.rstrip("*")
         if any(token.startswith(s) for s in stems):
@@ -262,7 +280,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     prepare(docs.sparkSession)
     sample = materialize(_sample(docs, labels, max_train), "labelled")
     lexicon = learn_lexicon(sample)
-    rows = features(sample, lexicon, ["toxic"]).select("toxic", "best", "total", "density").limit(2 * max_train).collect()
+    rows = features(sample, lexicon, ["toxic"]).select("toxic", "best", "total", "density", "doc_id")
+    rows = rows.orderBy(F.xxhash64("doc_id"), *rows.columns).limit(2 * max_train).collect()  # ids may repeat
     y = np.array([r.toxic for r in rows], float)
     if len(set(y.tolist())) < 2:
         return lexicon, PRIOR

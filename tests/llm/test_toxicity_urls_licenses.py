@@ -1,5 +1,8 @@
+import itertools
+import math
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,25 +20,82 @@ def clause(text, lexicon=toxicity.SEED_LEXICON):
 def test_grammar_scores_clauses_not_words():
     plain, aimed = clause("an idiot"), clause("you are an idiot")
     assert 0 < plain < aimed
-    assert clause("you are not an idiot") < plain and clause("he said you are an idiot") < aimed
     assert clause("i will kill you") > clause("kill") > 0
-    assert clause("he said he will kill you") < clause("i will kill you")
     assert clause("idiot idiot idiot idiot idiot") == clause("idiot idiot idiot")
     assert clause("") == clause("nothing here at all") == 0
 
 
-def test_composition_equals_running_the_parts():
-    parts, symbols = toxicity.grammar(), (toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.OTHER)
-    machine = toxicity.Composed(parts)
-    for n in range(6**4):
-        seq = [symbols[n // 6**k % 6] for k in range(4)]
-        want = 0.0
-        for p in parts:
-            state = 0
-            for x in seq:
-                state, w = p.step(state, x)
-                want += w
-        assert abs(machine.weight((x, 1.0) for x in seq) - want) < 1e-12
+@pytest.mark.parametrize("weight", [0.1, 2.0, 10.0, 1e6])
+def test_negated_and_reported_clauses_never_match(weight):
+    lexicon = toxicity.Lexicon({"idiot": weight, "moron": weight}, {"clow": weight})
+    for text in ("not an idiot", "you are not an idiot", "you are never an idiot or moron", "he said you are an idiot", "she wrote they are clowns and you a moron",
+                 "i will not kill you", "never kill them", "he said he will kill you", "nobody claimed you are not an idiot", "no clown no moron no idiot and no moron"):
+        assert clause(text, lexicon) <= toxicity.MATCH, text
+    for text in ("you are not smart but an idiot", "he said little but you are an idiot", "not one of us here was ever a clown of your kind you idiot moron"):
+        assert clause(text, lexicon) >= weight, text
+
+
+def cascade(symbols, weights):
+    """Total weight by running one transducer after the other over the whole string."""
+    total = 0.0
+    for part in toxicity.grammar():
+        state, out = part.start, []
+        for x, w in zip(symbols, weights):
+            state, y, v = part.step(state, x)
+            total += v * w
+            out.append(y)
+        symbols = out
+    return total
+
+
+def test_composition_equals_the_cascade():
+    kinds = (toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.CONTRAST, toxicity.OTHER)
+    machine = toxicity.machine()
+    for length in range(6):
+        for seq in itertools.product(kinds, repeat=length):
+            weights = [1.0 + 0.5 * i for i in range(length)]
+            assert abs(machine.weight(zip(seq, weights)) - cascade(list(seq), weights)) < 1e-12
+
+
+def brute_score(text, lexicon, coefficients):
+    """A document's score and matches, word by word and transducer by transducer."""
+    lists = [(toxicity.THREAT, toxicity.THREATS), (toxicity.TARGET, toxicity.TARGETS), (toxicity.NEGATION, toxicity.NEGATIONS), (toxicity.REPORT, toxicity.REPORTS), (toxicity.CONTRAST, toxicity.CONTRASTS)]
+
+    def symbol(word):
+        if word in lexicon.words:
+            return toxicity.INSULT, lexicon.words[word]
+        for kind, own in lists:
+            if word in own:
+                return kind, 1.0
+        stems = [s for s in lexicon.stems if word.encode("utf-8", "surrogatepass")[:len(s.encode())] == s.encode()]
+        return (toxicity.INSULT, lexicon.stems[stems[0]]) if stems else (toxicity.OTHER, 1.0)
+
+    n, found = 0, []
+    for part in re.split(r"[.!?;:\n]+", (text or "").lower()):
+        words = re.findall(r"[a-z'\x80-\U0010ffff]+", part)
+        n += len(words)
+        if words:
+            symbols, weights = zip(*map(symbol, words))
+            w = cascade(list(symbols), weights)
+            if w > toxicity.MATCH:
+                found.append(w)
+    b = coefficients
+    z = b[0] + (b[1] * max(found) + b[2] * math.log1p(sum(found)) + b[3] * 100 * len(found) / n if found else 0.0)
+    return 1 / (1 + math.exp(-z)), len(found)
+
+
+def test_scores_against_brute_force(spark, whole, labels):
+    lexicon, coefficients = toxicity.fit(*(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels")))
+    extra = ["you idiot", "you are not an idiot. you moron!", "he said: you idiot; kill them", "i will kill you but not an idiot\nyou are a clown", "Moron IDIOT."]
+    rows = whole.select("doc_id", "text").unionByName(spark.createDataFrame([(9000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
+    want = defaultdict(list)
+    for r in rows.collect():
+        want[r.doc_id].append(brute_score(r.text, lexicon, coefficients))
+    got = toxicity.score(rows, lexicon, coefficients).collect()
+    assert len(got) == sum(map(len, want.values())) and sum(g.n_matches > 0 for g in got) > 5
+    for g in got:
+        assert any(abs(g.score - s) < 1e-9 and g.n_matches == n for s, n in want[g.doc_id]), g
+        assert g.predicted == (g.score >= 0.7) and g.held_out == (g.doc_id is not None and zlib.crc32(str(g.doc_id).encode()) % 3 == 1)
 
 
 def test_held_out_accuracy(spark):
