@@ -5,14 +5,19 @@ Native: DataFrame expressions only.
 Index: of every text the positions of licence words (the words of the templates). Words
 that are common in any prose (``COMMON``) are indexed where a licence word stands right
 before them, so that phrases such as "cc by" are whole. The words' document frequencies in the
-corpus give IDF. A file is looked up by all its licence words, however many notices it holds.
+corpus give IDF.
 
-Match: a file's postings meet the template's postings by word; text position minus
-template position is the shift, and words that agree on one shift stand as in the
-template. A template is a candidate at every shift that one of its words names;
-its share is the IDF of the words aligned there over the template's. It gives its label
-if all words of its mandatory key phrase are aligned and the share is ``min_share`` or more.
-Base phrases are templates that must be aligned whole; each shift is a place.
+Lookup: a template has to have its whole mandatory key phrase in the file, so the
+key-phrase word that is rarest in the corpus (highest IDF) stands for it. A file is looked up by
+those of its words that stand for a template, the rarest of its licence words, and each of
+their places names one shift (text position minus template position) of that template. A word
+that no file holds rules its template out. No candidate is dropped.
+
+Match: at a named shift, the template's other words are looked for at their relative positions in
+the file's postings. A template's share is the IDF of the words aligned there over the template's. It
+gives its label if all words of its key phrase are aligned and the share is ``min_share`` or more.
+Base phrases are templates that must be aligned whole; each shift is a place. Licences have several
+templates: sentences of their notices, and their SPDX lines.
 
 Words: A-Z lower-cased, runs of characters outside ASCII punctuation, blanks and controls.
 
@@ -23,8 +28,7 @@ without licence words gives no labels. Empty tables give empty results.
 
 from __future__ import annotations
 
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearth.llm.common import prepare
@@ -48,12 +52,20 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "distribute this software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies", "permission notice shall"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "endorse or promote products"),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", "permission notice appear"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "published by the free software foundation"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", "copy of the mpl"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released"),
 )
-COMMON = frozenset("a an and any are by for from in into is it of on or that the this to use under was with without 0 1 2 3 4 v".split())
+#: Licences by their SPDX identifiers, as words of a line "SPDX-License-Identifier: ...".
+SPDX = (("apache-2.0", "apache 2 0"), ("mit", "mit"), ("isc", "isc"), ("bsd-2-clause", "bsd 2 clause"), ("bsd-3-clause", "bsd 3 clause"), ("gpl-2", "gpl 2 0"),
+        ("gpl-3", "gpl 3 0"), ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"), ("agpl", "agpl 3 0"), ("mpl-2.0", "mpl 2 0"), ("unlicense", "unlicense"), ("cc0", "cc0 1 0"))
+TEMPLATES += tuple((label, f"spdx license identifier {words}", f"license identifier {words}") for label, words in SPDX)
+COMMON = frozenset("a all an and any are as at be can by for from if in into is it its may name names not of on one or that the this to use used under was with without you 0 1 2 3 4 v".split())
 MIN_SHARE = 0.5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -104,14 +116,18 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES, min_share: float = MIN
     # at most as many rows as the templates have words
     idf = materialize(per_word.select("word", F.log1p(F.lit(float(total)) / F.col("df")).alias("idf")), "idf")
     tokens = table.where(F.size("hits") > 0).select("rid", F.explode("hits").alias("h")).select("rid", "h.word", "h.pos")
-    weighed = tokens.join(F.broadcast(idf), "word")
     postings = _postings(spark, base, templates)
-    by_template = postings.join(F.broadcast(idf), "word", "left").groupBy("template").agg(F.sum(F.coalesce("idf", F.lit(float(0)))).alias("mass"))
-    postings = F.broadcast(postings.join(F.broadcast(by_template), "template"))
-    aligned = weighed.join(postings, "word").select(
-        "rid", "template", "label", "is_base", "mass", "n_key", "is_key", "idf", (F.col("pos") - F.col("at")).alias("shift"))
-    # a shift has each template position once, since a text position holds one word
-    places = aligned.groupBy("rid", "template", "label", "is_base", "mass", "n_key", "shift").agg(
+    # few hundred rows: the words of the templates with their weights, none where no file holds the word
+    postings = postings.join(F.broadcast(idf), "word", "left")
+    rarest = Window.partitionBy("template").orderBy(F.desc("is_key"), F.desc_nulls_first("idf"), "at")
+    postings = postings.withColumn("stands", F.row_number().over(rarest) == 1).withColumn("mass", F.sum("idf").over(Window.partitionBy("template")))
+    postings = materialize(postings.withColumn("idf", F.coalesce("idf", F.lit(0.0))), "templates")
+    about = ["template", "label", "is_base", "mass", "n_key"]
+    named = tokens.join(F.broadcast(postings.where("stands")), "word").select("rid", *about, (F.col("pos") - F.col("at")).alias("shift"))
+    # the other words of a named place, at their positions; the file's postings are met by position, so a long file is spread
+    wanted = named.join(F.broadcast(postings.select("template", "word", "at", "is_key", "idf")), "template").withColumn("pos", F.col("shift") + F.col("at"))
+    aligned = wanted.join(tokens, ["rid", "pos", "word"])
+    places = aligned.groupBy("rid", *about, "shift").agg(
         F.sum("idf").alias("share"), F.sum(F.col("is_key").cast("int")).alias("keys")).where(F.col("keys") == F.col("n_key"))
     share = F.least(F.lit(1.0), F.col("share") / F.col("mass"))
     full = F.col("is_base")

@@ -203,6 +203,42 @@ def test_licenses_match_brute_force(notices):
     assert by[18].labels == "apache,apache-2.0,cc-by,cc-by-nc,gpl,mit"
 
 
+def brute_labels(texts):
+    """Labels and score of every text: each template at every shift."""
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
+    templates = [(w.split(), label, w.split()) for w, label in licenses.BASE] + [(w.split(), label, k.split()) for label, w, k in licenses.TEMPLATES]
+    rare = {w for words, _, _ in templates for w in words} - licenses.COMMON
+    common = {w for words, _, _ in templates for w in words} & licenses.COMMON
+    held = [{i: w for i, w in enumerate(ws) if w in rare or (w in common and rare.intersection(ws[max(0, i - 3):i]))} for ws in split]
+    df = Counter(w for h in held for w in set(h.values()))
+    idf = {w: math.log1p(len(texts) / n) for w, n in df.items()}
+    for h in held:
+        labels, score = set(), 0.0
+        for t, (words, label, key) in enumerate(templates):
+            at = next(i for i in range(len(words)) if words[i:i + len(key)] == key)
+            places = {pos - words.index(key[0], at) for pos, w in h.items() if w == key[0]}
+            mass = sum(idf.get(w, 0.0) for w in words)
+            for shift in places:
+                if all(h.get(shift + i) == words[i] for i in range(at, at + len(key))):
+                    share = min(1.0, sum(idf[w] for i, w in enumerate(words) if h.get(shift + i) == w) / mass)
+                    if t < len(licenses.BASE) or share >= licenses.MIN_SHARE:
+                        labels.add(label)
+                    score = max(score, 0.5 if t < len(licenses.BASE) else share)
+        yield ",".join(sorted(labels)), score
+
+
+def test_labels_and_score_match_a_brute_force_aligner(spark, notices):
+    extra = ["SPDX-License-Identifier: BSD-3-Clause", "// SPDX-License-Identifier: MIT OR Apache-2.0", "spdx license identifier gpl 2", "Permission notice shall not",
+             "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "endorse or promote products",
+             "the above copyright notice and this permission notice shall be included in all copies", "free software foundation published by the free software foundation"]
+    rows = notices.unionByName(spark.createDataFrame([(7000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string")).collect()
+    want = Counter((r.doc_id, labels, round(score, 9)) for r, (labels, score) in zip(rows, brute_labels([r.text for r in rows])))
+    got = licenses.scan(spark.createDataFrame(rows, notices.schema)).collect()
+    assert Counter((g.doc_id, g.labels, round(g.score, 9)) for g in got) == want
+    by = {g.doc_id: g.labels for g in got}
+    assert by[7000] == "bsd-3-clause" and by[7002] == "" and by[7004] == "bsd-3-clause" and "mit" in by[7001]
+
+
 def test_licenses_of_many_notices_in_one_file(spark):
     """Notices of corpus-common words are found beside any number of rarer ones."""
     rows = [(i, "Licensed under the Apache License, Version 2.0") for i in range(50)]
