@@ -9,7 +9,8 @@ subdomains if the path starts with the rule's; the longest rule wins, its verdic
 The other urls are judged by boosted trees. Labelled urls are those that a rule decides
 (or a given ``label`` column: 1 blocks). Features: lengths, depth, labels of the host,
 digit ratio, character entropy, parameter counts, marks, and the statistics of the suffix
-(last host label): its smoothed block rate and its count among all labelled urls. Fit: at
+(last host label): its smoothed block rate and its count among all other labelled urls, so a
+label is no feature of itself. Fit: at
 most ``max_train`` labelled rows, the smallest hashes (a bounded sample); statistics and
 verdicts cover all rows.
 
@@ -107,14 +108,16 @@ def judge(pages: DataFrame, rules=RULES, max_train: int = MAX_TRAIN, trees: int
     if not 0 < bad < n:  # nothing to tell apart
         only = F.lit("block" if n and bad == n else "allow")
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", only).alias("verdict"), F.lit(prior).alias("block_score"))
-    stats = stats.select("suffix", ((F.col("bad") + SMOOTH * prior) / (F.col("n") + SMOOTH)).alias("rate"), F.log1p("n").alias("seen"))
 
-    def whole(part: DataFrame) -> DataFrame:
-        return (part.join(stats, "suffix", "left").withColumn("suffix_rate", F.coalesce("rate", F.lit(prior)))
-                .withColumn("suffix_count", F.coalesce("seen", F.lit(0.0))))
+    def whole(part: DataFrame, own: bool = False) -> DataFrame:
+        """With the suffix's statistics; a row to train on (``own``) is not counted in its own."""
+        y, one = (F.col("y"), 1.0) if own else (F.lit(0.0), 0.0)
+        rate = (F.col("bad") - y + SMOOTH * prior) / (F.col("n") - one + SMOOTH)
+        return (part.join(stats, "suffix", "left").withColumn("suffix_rate", F.coalesce(rate, F.lit(prior)))
+                .withColumn("suffix_count", F.coalesce(F.log1p(F.col("n") - one), F.lit(0.0))))
 
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    sample = whole(labelled).select("y", *FEATURES, F.xxhash64("page_id", "url").alias("h"), "url").orderBy("h", "url", "y").limit(max_train)
+    sample = whole(labelled, own=True).select("y", *FEATURES, F.xxhash64("page_id", "url").alias("h"), "url").orderBy("h", "url", "y").limit(max_train)
     sample = materialize(sample.select("y", *FEATURES), "labelled")
     model = GBTClassifier(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=depth, seed=SEED, stepSize=0.2).fit(assembler.transform(sample))
     scored = model.transform(assembler.transform(whole(rows))).withColumn("block_score", vector_to_array("probability")[1])

@@ -160,6 +160,15 @@ def test_trees_learn_given_labels(spark):
     assert sum((got[i] == "block") == bool(y) for i, _, y in rows) >= 0.98 * len(rows)
 
 
+def test_trees_judge_suffixes_unseen_in_training(spark):
+    """Every labelled url has a suffix of its own: its label must not reach the trees through the suffix."""
+    rows = [(i, f"http://{'a-b-c-d' if bad else 'abcd'}{i % 7}.tld{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i // 676}x/{'y' * (i % 5)}", bad if i < 400 else None)
+            for i in range(600) for bad in [i * 7 % 3 == 0 and 1 or 0]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, label int")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, rules=(), trees=5).collect()}
+    assert all((got[i] == "block") == (i * 7 % 3 == 0) for i in range(400, 600))
+
+
 def test_urls_without_labels(spark, pages):
     assert {r.verdict for r in url_filter.judge(pages, rules=()).collect()} == {"allow"}
     assert {r.verdict for r in url_filter.judge(pages, rules=(("org", "/", "block"),)).collect()} == {"block"}
