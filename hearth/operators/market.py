@@ -2,9 +2,8 @@
 statistics (JN-1..4, PRJ-5..7, AGG-10/11).
 
 Every right side except rent is aggregated before the join, to (state, month) or
-(month) -- bounded by the calendar and the number of states -- so AQE turns
-those joins into broadcast joins at run time (a checked size, with sort-merge as
-the fallback). The rent join is a region x month equi-join of two panels and
+(month) -- bounded by the calendar and the number of states -- and written, so its size is
+known when the join is planned: broadcast under the limit, sort-merge beyond it. The rent join is a region x month equi-join of two panels and
 shuffles on its keys.
 """
 

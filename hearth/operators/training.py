@@ -33,6 +33,10 @@ CATALOGUE_RULES = (
 )
 
 
+#: Name of the row over all types.
+TOTAL = "total"
+
+
 def catalogue_type(name: str) -> str:
     for kind, subs in CATALOGUE_RULES:
         if any(s in name for s in subs):
@@ -55,6 +59,13 @@ def feature_catalogue(df: DataFrame) -> DataFrame:
     return counts.selectExpr(f"stack({len(cols)}, {stack}) as (Feature, Type, position, non_null)")
 
 
+def feature_type_counts(catalogue: DataFrame) -> DataFrame:
+    """PRJ-14: features and their non-null cells per type, and of all types (``TOTAL``), in one pass of
+    grouping sets over the catalogue."""
+    both = catalogue.rollup("Type").agg(F.count(F.lit(1)).alias("features"), F.sum("non_null").alias("non_null"), F.grouping_id().alias("_all"))
+    return both.select(F.when(F.col("_all") == 1, F.lit(TOTAL)).otherwise(F.col("Type")).alias("Type"), "features", "non_null")
+
+
 def model_feature_columns(df: DataFrame) -> list[str]:
     """TRN-3: features = all columns but metadata and target_*."""
     return [c for c in df.columns if c not in METADATA_COLUMNS and not c.startswith("target_")]

@@ -17,6 +17,7 @@ from hearth.plans.queries_scoring import AS_OF, _req_sql
 from hearth.plans.queries_training import TARGETS, encoded_matrix
 from hearth.plans.registry import register
 from hearth.sources import panels as P
+from hearth.streaming import requests as S
 
 DEFAULT_TARGET = "target_return_3m"
 
@@ -112,13 +113,39 @@ def forecasters(spark, sf) -> Forecasters:
     return Forecasters(a.stages[-1], b.stages[-1], tuple(features), name_a, name_b)
 
 
-@register("model_score", _req_sql("SELECT request_id, valid AS success, CASE WHEN NOT valid THEN errors END AS error, valid AS scored, "
-                                  "CASE WHEN valid THEN true END AS within_limits FROM val"))
+_MODEL_SCORE_SQL = _req_sql("SELECT request_id, valid AS success, CASE WHEN NOT valid THEN errors END AS error, valid AS scored, "
+                            "CASE WHEN valid THEN true END AS within_limits FROM val")
+
+
+@register("model_score", _MODEL_SCORE_SQL)
 def model_score(spark, sf):
     """SCR-2..12 with fitted models: vector, saved bundles, adjustment, clipping, intervals,
     risk. What SQL can tell: which requests are scored, and that the clipped returns and
     their intervals keep their limits; the predictions themselves are in ``scoring.score``."""
-    s = sc.score(P.requests(spark, sf), None, AS_OF, models=forecasters(spark, sf))
+    return _told(sc.score(P.requests(spark, sf), None, AS_OF, models=forecasters(spark, sf)))
+
+
+def linear_forecasters(spark, sf) -> Forecasters:
+    """A small bundle: linear models of both targets, fitted, saved, and loaded back."""
+    mat, feats = _matrix(spark, sf)
+    out = []
+    for t in _SCORED_TARGETS:
+        models = {(t, "linear"): M.model_zoo(t)["linear"].fit(mat.where(F.col("split") == "train").where(F.col(t).isNotNull()))}
+        ev = M.metrics(M.predictions(models[t, "linear"], mat, t, "linear")).withColumn("best", F.lit(True))
+        scaler = tr.scaler_statistics(mat, feats, F.col("split") == "train")
+        out.append(M.load_best(spark, M.save_best(ev, models, t, feats, scaler)))
+    (a, name_a, features, _), (b, name_b, _, _) = out
+    return Forecasters(a.stages[-1], b.stages[-1], tuple(features), name_a, name_b)
+
+
+@register("stream_model_score", _MODEL_SCORE_SQL)
+def stream_model_score(spark, sf):
+    """STR-3 with a fitted bundle: requests scored by saved and loaded models as they arrive."""
+    return _told(S.stream_score(spark, sf, None, AS_OF, models=linear_forecasters(spark, sf)))
+
+
+def _told(s):
+    """The columns of scored requests that SQL can tell."""
     kept = (F.col("return_1m").between(*sc.CLIP_1M) & F.col("return_3m").between(*sc.CLIP_3M)
             & (F.col("return_1m_lower") < F.col("return_1m_upper")) & (F.col("return_3m_lower") < F.col("return_3m_upper")))
     return s.select("request_id", "success", "error", (F.col("return_1m").isNotNull() & F.col("risk_category").isNotNull()).alias("scored"),

@@ -12,7 +12,7 @@ from hearth.plans import oracle as O
 from hearth.plans.registry import register
 from hearth.schema import LONG_SCHEMA, DatasetRegistry
 from hearth.sources import clean as C
-from hearth.session import materialize
+from hearth.session import materialize, scratch_path
 from hearth.sources import panels as P
 
 R = O.rnd
@@ -26,9 +26,12 @@ def _all(body):
 
 
 def _stack(spark, sf, names=ALL4):
+    shared = P.FROM_FACTS.keys() & set(names)
+    # two or three of these panels come from one lineitem pass
+    facts = materialize(P.supplier_month_facts(spark, sf), "facts") if len(shared) > 1 else None
     out = None
     for n in names:
-        p = P.panel(spark, sf, n)
+        p = P.FROM_FACTS[n](facts, spark, sf) if facts is not None and n in shared else P.panel(spark, sf, n)
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -272,6 +275,27 @@ def clean_long(spark, sf):
     return C.clean_long(P.dirty_panel(spark, sf))
 
 
+_PARSED = ("SELECT *, coalesce(TRY_CAST(try_strptime(trim(Date), '%Y-%m-%d') AS DATE), TRY_CAST(try_strptime(trim(Date), '%m/%d/%Y') AS DATE)) AS d, "
+           "TRY_CAST(trim(Value) AS DOUBLE) AS v FROM dirty")
+
+
+@register("quarantine_read", _dirty(
+    f"SELECT reason, count(*) AS rows, {R('coalesce(sum(v), 0)', 2)} AS total_value FROM (SELECT CASE WHEN d IS NULL THEN 'date' WHEN v IS NULL THEN 'value' ELSE 'kept' END "
+    f"|| CASE WHEN d IS NULL AND v IS NULL THEN ', value' ELSE '' END AS reason, CASE WHEN d IS NOT NULL THEN v END AS v FROM ({_PARSED}) x) y GROUP BY reason "
+    "UNION ALL SELECT 'lines', count(*), 0.0 FROM dirty"), overrides={"total_value": 2})
+def quarantine_read(spark, sf):
+    """SRC-4, RSH-7/8: the dirty panel as CSV, read with types; rejected lines are kept with their reason."""
+    root = scratch_path(spark, "dirty-csv")
+    P.dirty_panel(spark, sf).write.option("header", True).csv(root)
+    rows, rejects = C.read_quarantined(spark, root)
+    out = scratch_path(spark, "quarantine")
+    rejects.write.parquet(out)  # rejects are a table, not a log line
+    none = F.lit(0.0).alias("total_value")
+    lines = spark.read.text(root).where(~F.startswith("value", F.lit("RegionID,"))).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("lines").alias("reason"), "rows", none)
+    kept = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("Value"), F.lit(0.0)).alias("total_value")).select(F.lit("kept").alias("reason"), "rows", "total_value")
+    return kept.unionByName(lines).unionByName(spark.read.parquet(out).groupBy("reason").agg(F.count(F.lit(1)).alias("rows")).select("reason", "rows", none))
+
+
 @register("clean_rejects", _dirty(
     "SELECT Dataset, count(*) AS rows_read, count(*) FILTER (WHERE d IS NULL) AS invalid_dates, "
     "count(*) FILTER (WHERE d IS NOT NULL AND (v IS NULL OR isnan(v))) AS invalid_values, "

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from hearth.operators import scoring as sc
 from hearth.operators import temporal as tm
 from hearth.operators.evaluation import metrics
+from hearth.operators.history import RunLog, changes, latest_best
 from hearth.plans import oracle as O
 from hearth.plans.queries_market import feature_table_sql
 from hearth.plans.registry import register
 from hearth.plans.queries_training import CATEGORICAL, CHECKED, FEATURES, _sql_base, narrow_split_frame
-from hearth.session import materialize
+from hearth.session import materialize, scratch_path
 from hearth.sources import panels as P
 
 R = O.rnd
@@ -359,7 +360,11 @@ def persistence_forecast(spark, sf):
 
 def eval_frame(spark, sf):
     """Test-split rows as (target, model, y, pred) for the persistence forecasts."""
-    df = narrow_split_frame(spark, sf).where(F.col("split") == "test")
+    return eval_rows(narrow_split_frame(spark, sf).where(F.col("split") == "test"))
+
+
+def eval_rows(df):
+    """(target, model, y, pred) of the persistence forecasts for rows with lags and targets."""
     parts = None
     for h in _H:
         p = df.select(F.lit(f"target_return_{h}m").alias("target"), F.lit("persistence").alias("model"),
@@ -381,3 +386,54 @@ def eval_frame(spark, sf):
     "FROM ev2 JOIN mm ON ev2.target = mm.target AND ev2.model = mm.model GROUP BY ev2.target, ev2.model"))
 def eval_metrics(spark, sf):
     return metrics(eval_frame(spark, sf))
+
+
+# --- EVL-3, SRC-10: run history -----------------------------------------------------------------------------------
+
+_RUNS = (("run-val", "2024-01-01 10:00:00", "val"), ("run-test", "2024-01-02 10:00:00", "test"))
+
+
+def _history_sql(body: str) -> str:
+    ev = " UNION ALL ".join(
+        f"SELECT 'target_return_{h}m' AS target, 'persistence' AS model, split, target_return_{h}m AS y, "
+        f"(Value / nullif(Value_lag_{h}, 0) - 1.0) * 100.0 AS pred FROM sp2" for h in _H)
+    runs = " UNION ALL ".join(f"SELECT '{run}' AS run, TIMESTAMP '{at}' AS ended, '{split}' AS split" for run, at, split in _RUNS)
+    return _sql_base(f",\nev AS ({ev}), ev2 AS (SELECT * FROM ev WHERE y IS NOT NULL AND pred IS NOT NULL), runs AS ({runs}),\n"
+                     "mm AS (SELECT target, split, avg(y) AS ybar FROM ev2 GROUP BY target, split),\n"
+                     "log AS (SELECT run, ended, ev2.target, ev2.model, count(*) AS n, sqrt(avg((y - pred) * (y - pred))) AS rmse, avg(abs(y - pred)) AS mae, "
+                     "1.0 - sum((y - pred) * (y - pred)) / nullif(sum((y - ybar) * (y - ybar)), 0) AS r2 "
+                     "FROM ev2 JOIN mm ON ev2.target = mm.target AND ev2.split = mm.split JOIN runs ON runs.split = ev2.split GROUP BY ALL)\n" + body)
+
+
+def _run_log(spark, sf):
+    """The log after two evaluations, the second committed twice (a replay)."""
+    log = RunLog(spark, scratch_path(spark, "runs"))
+    rows = narrow_split_frame(spark, sf)
+    for run, at, split in (*_RUNS, _RUNS[-1]):
+        log.commit(run, at, metrics(eval_rows(rows.where(F.col("split") == split))))
+    return log.rows()
+
+
+_LOG_SQL = f"{R('rmse')} AS rmse, {R('mae')} AS mae, {R('r2')} AS r2"
+
+
+@register("run_history", _history_sql(f"SELECT run, strftime(ended, '%Y-%m-%d %H:%M:%S') AS ended, target, model, n, {_LOG_SQL} FROM log"))
+def run_history(spark, sf):
+    """EVL-3: every run's rows."""
+    return _run_log(spark, sf).withColumn("ended", F.date_format("ended", "yyyy-MM-dd HH:mm:ss")).drop("params")
+
+
+@register("run_latest_best", _history_sql(
+    f"SELECT run, target, model, n, {_LOG_SQL} FROM log QUALIFY row_number() OVER (PARTITION BY target ORDER BY ended DESC, run DESC, rmse, model) = 1"))
+def run_latest_best(spark, sf):
+    """SRC-10: the model that a service would load for each target."""
+    return latest_best(_run_log(spark, sf)).select("run", "target", "model", "n", "rmse", "mae", "r2")
+
+
+_BY_RUN = "OVER (PARTITION BY target, model ORDER BY ended, run)"
+
+
+@register("run_changes", _history_sql(f"SELECT target, model, run, {R('rmse')} AS rmse, {R(f'lag(rmse) {_BY_RUN}')} AS rmse_before, {R(f'min(rmse) {_BY_RUN}')} AS best_so_far FROM log"))
+def run_changes(spark, sf):
+    """EVL-3: each model run by run."""
+    return changes(_run_log(spark, sf)).drop("ended")

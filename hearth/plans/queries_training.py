@@ -80,16 +80,26 @@ _TYPE_SQL = ("CASE WHEN regexp_matches('{c}', 'lag|rolling|trend|pct_change') TH
              "WHEN regexp_matches('{c}', 'Year|Month|Quarter') THEN 'time' ELSE 'other' END")
 
 
-@register("feature_catalogue", "WITH ft AS (" + feature_table_sql(rounded=False) + ")\n"
+_CATALOGUE_SQL = ("WITH ft AS (" + feature_table_sql(rounded=False) + ")\n"
           "SELECT Feature, Type, position, non_null FROM (UNPIVOT (SELECT "
           + ", ".join(f"count({c}) AS c{i}" for i, c in enumerate(CATALOGUE)) + " FROM ft) ON "
           + ", ".join(f"c{i}" for i in range(len(CATALOGUE))) + " INTO NAME k VALUE non_null) u JOIN ("
           + " UNION ALL ".join(f"SELECT 'c{i}' AS k, '{c}' AS Feature, {_TYPE_SQL.format(c=c)} AS Type, {i} AS position"
                                for i, c in enumerate(CATALOGUE)) + ") t USING (k)")
+
+
+@register("feature_catalogue", _CATALOGUE_SQL)
 def feature_catalogue(spark, sf):
     return tr.feature_catalogue(feature_table(spark, sf, with_clusters=False))
 
 
+@register("feature_type_counts", f"SELECT coalesce(Type, '{tr.TOTAL}') AS Type, count(*) AS features, CAST(sum(non_null) AS BIGINT) AS non_null "
+          f"FROM ({_CATALOGUE_SQL}) c GROUP BY ROLLUP (Type)")
+def feature_type_counts(spark, sf):
+    """PRJ-14: the catalogue's counts per type, with a total row."""
+    return tr.feature_type_counts(tr.feature_catalogue(feature_table(spark, sf, with_clusters=False)))
+
+
 def _codes_sql(src: str) -> str:
     return " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, v AS value, CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code "

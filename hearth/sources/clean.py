@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from hearth.schema import LONG_SCHEMA
+from hearth.session import materialize
 
 REQUIRED = ("Date", "Value")
 
@@ -54,6 +58,37 @@ def read_long_csv(spark: SparkSession, path: str) -> DataFrame | None:
     return None if missing_required(raw) else clean_long(raw)
 
 
+CORRUPT = "_corrupt"
+
+
+def read_quarantined(spark: SparkSession, path: str, schema: T.StructType = LONG_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """SRC-4, RSH-7/8 without a loss: one long CSV (header, columns in the order of ``schema``) read with its
+    types, and what does not fit kept: (rows, rejects). A line that the typed read refuses is read once more as
+    text, so a date in the second format counts; the others are rejects(line, reason), where reason names what
+    is wrong: date, value, fields (their number, or another column's type). Rows and rejects are all lines."""
+    names = schema.fieldNames()
+    read = spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
+    options = {"header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "dateFormat": "yyyy-MM-dd"}
+    # written once: rows and rejects both read it, and Spark answers nothing from the corrupt column alone
+    lines = materialize(read.options(**options).csv(path), "lines")
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names]).add(CORRUPT, "string")
+    again = F.from_csv(F.col(CORRUPT), F.lit(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in text)), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    raw = lines.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), again.alias("t"))
+    parsed = {f.name: F.trim(F.col(f"t.{f.name}")).try_cast(f.dataType) for f in schema if f.name != CORRUPT}
+    parsed |= {"Date": parse_date(F.col("t.Date")), "Value": parse_double(F.col("t.Value"))}
+    misfit = F.col(f"t.{CORRUPT}").isNotNull()
+    for n, c in parsed.items():
+        if n not in REQUIRED:
+            misfit = misfit | (F.col(f"t.{n}").isNotNull() & c.isNull())
+    second = raw.select("line", misfit.alias("misfit"), *[c.alias(n) for n, c in parsed.items()])
+    first = lines.where(F.col(CORRUPT).isNull()).select(F.to_csv(F.struct(*names)).alias("line"), F.lit(False).alias("misfit"), *names)
+    both = first.unionByName(second)
+    bad_value = F.col("Value").isNull() | F.isnan("Value")
+    reason = F.concat_ws(", ", F.when(F.col("Date").isNull(), "date"), F.when(bad_value, "value"), F.when(F.col("misfit"), "fields"))
+    both = both.withColumn("reason", reason)
+    return both.where("reason = ''").select(*names), both.where("reason <> ''").select("line", "reason")
+
+
 def load_long(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
     """The long CSVs that load, by name."""
     found = {name: read_long_csv(spark, path) for name, path in paths.items()}

@@ -1,9 +1,10 @@
 """Long panels derived from the driver tables (the stand-ins for the four monthly
 regional series), plus the dirty panel, the scoring-request table and the request log.
 
-Every panel is pre-aggregated on lineitem *before* it is joined to supplier, so
+Every panel but sales is pre-aggregated on lineitem *before* it is joined to supplier, so
 the join sees suppliers x months rows instead of lineitem rows, and the
-aggregation's map-side combine absorbs a supplier holding a third of lineitem.
+aggregation's map-side combine absorbs a supplier holding a third of lineitem. Sales counts distinct
+orders, which no partial sum by supplier gives; its lines meet a written two-column supplier table.
 nation (25 rows) and region (5 rows) are fixed-size and broadcast explicitly;
 the supplier side grows with the data and is left to AQE's runtime size check.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.functions.exprs import round_half_up
+from hearth.session import materialize
 from hearth.sources.tables import read_table
 
 # Fixed derivation parameters of the driver-table panels.
@@ -94,12 +96,12 @@ def inventory_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nation x month, Value = distinct orders. The lines meet the supplier's nation
-    first: a supplier table under the broadcast limit moves no line, beyond it the
-    join's skew handling splits a hot supplier. Then one distinct per (nation, month,
-    order) spreads the rows by order."""
+    """nation x month, Value = distinct orders. The lines meet (supplier, nation), written first,
+    so its size is known when the join is planned: under the broadcast limit no line moves,
+    beyond it the join's skew handling splits a hot supplier. Then one distinct per (nation,
+    month, order), combined before it moves, spreads the rows by order."""
     li = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_orderkey"])
-    supp = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
+    supp = materialize(read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"]), "supplier-nation")
     lines = li.join(supp, li.l_suppkey == supp.s_suppkey).select("s_nationkey", _month("l_shipdate").alias("Date"), "l_orderkey")
     agg = lines.distinct().groupBy("s_nationkey", "Date").agg(F.count("l_orderkey").cast("double").alias("Value"))
     return _nation_panel(agg, spark, sf_dir, "sales")
@@ -228,6 +230,10 @@ def inventory_from_facts(facts: DataFrame, spark: SparkSession, sf_dir: str) ->
     return _nation_panel(agg, spark, sf_dir, "inventory")
 
 
+#: Panels that ``supplier_month_facts`` gives.
+FROM_FACTS = {"home": home_from_facts, "rent": rent_from_facts, "inventory": inventory_from_facts}
+
+
 def _supplier_rows(j: DataFrame, dataset: str) -> DataFrame:
     return j.select(
         F.col("s_suppkey").cast("long").alias("RegionID"),

@@ -17,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hearth.operators.scoring import Forecasters
 from hearth.session import scratch_path
 from hearth.sources import panels as P
 
@@ -115,10 +116,12 @@ def stream_rate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("limit").alias("limit_per_minute"), (F.col("requests") > F.col("limit")).alias("flagged"))
 
 
-def stream_score(spark: SparkSession, sf_dir: str, latest: DataFrame, as_of: str) -> DataFrame:
+def stream_score(spark: SparkSession, sf_dir: str, latest: DataFrame | None, as_of: str, models: Forecasters | None = None) -> DataFrame:
     """STR-3: requests scored as they arrive: stateless rules plus a stream-static
-    join with the latest region rows; append mode."""
+    join with the latest region rows, or fitted ``models`` loaded from their bundles; append mode."""
     from hearth.operators.scoring import score
     c = _source(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
-    scored = score(P.requests_from_customer(c, P.region_count(spark, sf_dir)), latest, as_of)
+    scored = score(P.requests_from_customer(c, P.region_count(spark, sf_dir)), latest, as_of, models=models)
+    if models is not None:  # the sink holds plain columns
+        scored = scored.drop("features")
     return drain(scored, "stream-score", ["request_id"], mode="append")
