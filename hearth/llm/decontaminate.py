@@ -7,7 +7,8 @@ block is one row of a Parquet table in the shared folder: the index is distribut
 document, any executor can search any block, a lost one reads it again.
 
 Search: a test item gives its windows of ``window`` words (a shorter item one window
-of all its words). In a block, a window takes its rarest term's list, shifts it by the
+of all its words). Windows are kept by the term that the fewest of them hold, so a block is
+searched only for those whose term it has. There, a window takes its rarest term's list, shifts it by the
 term's offset, and intersects it with the next rarest list shifted by that term's
 offset, and so on; what is left are exact phrase matches. With ``slop`` s > 0 the same
 intersection lets each term lie up to s positions off its place, whichever term it
@@ -21,14 +22,14 @@ holds the blocks' names and sizes. Blocks are searched one after the other, thei
 written, and the matches of a row merged.
 
 Cases: null or wordless texts have n_words 0 and no hit, but a row. Items without words
-match nothing; an item id that repeats counts once; a null item id is listed as "".
+match nothing; an item id that repeats counts once; a null item id is an item, counted but not listed.
 Repeated rows and null ids of documents are answered row by row. No test items: no hit.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
@@ -183,7 +184,7 @@ def write_items(benchmark: DataFrame, window: int = WINDOW) -> str:
                     if n and (n + own > most or size + len(joined) > most_bytes):
                         made, n, size = made + 1, 0, 0
                     n, size = n + own, size + len(joined)
-                    yield {"item": [item or ""], "words": [joined], "n_windows": [own], "block": [f"{task}-{made}"]}
+                    yield {"item": [item], "words": [joined], "n_windows": [own], "block": [f"{task}-{made}"]}
 
     path = scratch_path(benchmark.sparkSession, "items")
     stream_batches(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text"), run, ITEMS).write.partitionBy("block").parquet(path)
@@ -218,6 +219,19 @@ def _windows(items: str, blocks: list[str], window: int) -> dict[tuple[bytes, ..
     return wanted
 
 
+def by_anchor(wanted: dict[tuple[bytes, ...], set]) -> dict[bytes, list[tuple[tuple[bytes, ...], set]]]:
+    """The windows by one term each, the one that the fewest of them hold: a block without it has none of them."""
+    held = Counter(t for w in wanted for t in set(w))
+    out: dict[bytes, list] = defaultdict(list)
+    for w, ids in wanted.items():
+        out[min(w, key=lambda t: (held[t], t))].append((w, ids))
+    return out
+
+
+def _listed(ids: Iterable[str | None]) -> list[str | None]:
+    return sorted(ids, key=lambda i: (i is None, i or ""))
+
+
 def _search(items: str, blocks: list[str], window: int, slop: int, finish: Callable[[dict], dict] | None = None, every: bool = True):
     """A task's search of index rows for blocks of test items: a row for each document, or
     only (not ``every``) for those with matches; ``finish`` may turn each block's matches
@@ -227,14 +241,14 @@ def _search(items: str, blocks: list[str], window: int, slop: int, finish: Calla
         wanted = None
         for cols in rows:
             if wanted is None:
-                wanted = _windows(items, blocks, window)
+                wanted = by_anchor(_windows(items, blocks, window))
             for i in range(len(cols["block"])):
                 block = Block({k: v[i] for k, v in cols.items()})
                 n = len(block.ids)
                 spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
                 found: list[set[str]] = [set() for _ in range(n)]
                 near: list[set[str]] = [set() for _ in range(n)]
-                for w, ids in wanted.items():
+                for w, ids in (x for anchor in wanted.keys() & block.terms.keys() for x in wanted[anchor]):
                     for at in block.find(w).tolist():
                         d = int(np.searchsorted(block.starts, at, side="right")) - 1
                         spans[d].append((at - int(block.starts[d]), at - int(block.starts[d]) + len(w)))
@@ -245,7 +259,7 @@ def _search(items: str, blocks: list[str], window: int, slop: int, finish: Calla
                             near[max(0, int(np.searchsorted(block.starts, at + slop, side="right")) - 1)].update(ids)
                 out = {"block": [cols["block"][i]] * n, "seq": list(range(n)), "doc_id": block.ids, "n_words": block.lengths.tolist(),
                        "starts": [[a for a, _ in s] for s in spans], "ends": [[b for _, b in s] for s in spans],
-                       "items": [sorted(f) for f in found], "near_items": [sorted(x - f) for x, f in zip(near, found)]}
+                       "items": [_listed(f) for f in found], "near_items": [_listed(x - f) for x, f in zip(near, found)]}
                 if not every:
                     hit = [d for d in range(n) if found[d] or near[d]]
                     out = {k: [v[d] for d in hit] for k, v in out.items()}
@@ -289,7 +303,7 @@ def _reported(c: dict) -> dict:
     """Report rows from matches."""
     hits = [covered(a, b) for a, b in zip(c["starts"], c["ends"])]
     return {"doc_id": c["doc_id"], "n_words": c["n_words"], "n_hit": hits, "n_items": [len(i) for i in c["items"]],
-            "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for i in c["items"]],
+            "items_sha256": [hashlib.sha256(",".join(x for x in i if x is not None).encode()).hexdigest() for i in c["items"]],
             "contaminated": [h > 0 and 20 * h >= n for h, n in zip(hits, c["n_words"])], "n_near_items": [len(i) for i in c["near_items"]],
             "near_items": c["near_items"]}
 

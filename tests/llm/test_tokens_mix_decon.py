@@ -278,7 +278,7 @@ def test_items_stay_off_the_driver(spark, whole, items, monkeypatch):
     assert written.groupBy("block").agg(F.sum("n_windows").alias("n")).agg(F.max("n")).first()[0] <= 7
     windows = lambda rows: {(i, w) for i, t in rows for w in decontaminate.windows_of(t)}
     assert windows((r.item, bytes(r.words).split()) for r in written.collect()) == \
-        windows(("" if r.item_id is None else str(r.item_id), [w.encode() for w in dwords(r.text)]) for r in items.collect())
+        windows((None if r.item_id is None else str(r.item_id), [w.encode() for w in dwords(r.text)]) for r in items.collect())
 
 
 def near_ids(text, items, slop):
@@ -293,6 +293,34 @@ def near_ids(text, items, slop):
     return out
 
 
+def test_null_and_empty_item_ids_are_two_items(spark):
+    items = spark.createDataFrame([(None, "one two three"), ("", "one two three four"), (None, "nowhere else"), ("b", "one two")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four"), (2, "one two three"), (3, "none")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_items, r.items_sha256) for r in decontaminate.op8(spark, docs, items).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (3, sha(",b")), 2: (2, sha("b")), 3: (0, sha(""))}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", items.toPandas())
+    assert {r[0]: (r[3], r[4]) for r in con.execute(decontaminate.ORACLE).fetchall()} == got
+
+
+def test_windows_are_kept_by_one_term_each():
+    rng = random.Random(4)
+    wanted = {tuple(rng.choice([b"a", b"b", b"c", b"rare%d" % k]) for _ in range(4)): {k} for k in range(200)}
+    kept = decontaminate.by_anchor(wanted)
+    assert sorted((w, ids) for ws in kept.values() for w, ids in ws) == sorted(wanted.items())
+    assert all(anchor in w for anchor, ws in kept.items() for w, _ in ws)
+
+
+def test_shards_follow_the_input(spark, tmp_path, monkeypatch):
+    spark.range(20_000).select("id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("text")).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    assert token_files.shards_for(docs) == 4  # the session's shuffle partitions
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 50_000)
+    assert token_files.shards_for(docs) > 8
+
+
 def test_proximity(spark):
     rng = random.Random(5)
     texts = ["alpha beta gamma delta", "alpha x beta y gamma delta", "delta gamma beta alpha", "alpha", "delta x x x alpha beta gamma"]
