@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.operators.order_stats import average_rank_table, group_stats, prefix_counts, with_average_rank
-from hearth.session import materialize
+from hearth.session import materialize, together
 
 STAT_NAMES = ("mean", "median", "std", "count")
 
@@ -158,16 +158,20 @@ def geographic_features(df: DataFrame, with_clusters: bool = True, cluster_k: in
         state = state_stats(df, "StateName", prefix="State_")
         ranks = average_rank_table(df, ["StateName", "Date"], "Value", pct=True, out="ValueRankInState")
     state = state.withColumn("State_count", F.col("State_count").cast("double"))
-    out = df.join(materialize(state.select("StateName", "State_mean", "State_median", "State_std", "State_count"), "states"),
-                  ["StateName"], "left")
+    # tables that do not need each other are written at the same time
+    jobs = [lambda: materialize(state.select("StateName", "State_mean", "State_median", "State_std", "State_count"), "states"),
+            lambda: materialize(state_rank_table(df), "state-ranks"), lambda: materialize(ranks, "value-ranks")]
+    keys = [["StateName"], ["Date", "StateName"], ["StateName", "Date", "Value"]]
     if has_metro:
         metro = _simple_stats(df, "Metro", "Metro_").join(metro_med, "Metro", "left")
-        out = out.join(materialize(metro.select("Metro", "Metro_mean", "Metro_median", "Metro_std", "Metro_count"), "metros"),
-                       ["Metro"], "left")
-    out = out.join(materialize(state_rank_table(df), "state-ranks"), ["Date", "StateName"], "left")
-    out = out.join(materialize(ranks, "value-ranks"), ["StateName", "Date", "Value"], "left")
+        jobs.insert(1, lambda: materialize(metro.select("Metro", "Metro_mean", "Metro_median", "Metro_std", "Metro_count"), "metros"))
+        keys.insert(1, ["Metro"])
     if with_clusters:
-        clusters = materialize(geo_clusters(df, k=cluster_k), "clusters")
-        out = out.join(clusters, ["RegionName"], "left").withColumn(
-            "GeographicCluster", F.coalesce(F.col("Cluster"), F.lit(-1)).cast("int")).drop("Cluster")
+        jobs.append(lambda: materialize(geo_clusters(df, k=cluster_k), "clusters"))
+        keys.append(["RegionName"])
+    out = df
+    for table, key in zip(together(*jobs), keys):
+        out = out.join(table, key, "left")
+    if with_clusters:
+        out = out.withColumn("GeographicCluster", F.coalesce(F.col("Cluster"), F.lit(-1)).cast("int")).drop("Cluster")
     return out

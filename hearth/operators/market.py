@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hearth.functions.exprs import MEDIAN_INCOME, RENT_MULTIPLE, safe_div
 from hearth.operators.order_stats import group_stats
-from hearth.session import materialize
+from hearth.session import materialize, together
 
 
 def join_rent(home: DataFrame, rent: DataFrame, keys=("RegionName", "Date")) -> DataFrame:
@@ -63,12 +63,12 @@ def national_by_month(df: DataFrame, value: str = "Value", date: str = "Date") -
     return group_stats(df, [date], value, prefix="National_", stats=("mean", "median", "std"))
 
 
-def join_national(df: DataFrame, value: str = "Value", date: str = "Date",
-                  stats_base: DataFrame | None = None) -> DataFrame:
-    """JN-4 + PRJ-7. ``stats_base`` may give the same rows as ``df`` through a
-    shorter plan (see ``market_panel``)."""
+def join_national(df: DataFrame, value: str = "Value", date: str = "Date", stats: DataFrame | None = None) -> DataFrame:
+    """JN-4 + PRJ-7. ``stats`` may give the national table, made of the same rows through
+    a shorter plan (see ``market_panel``)."""
     # one row per month, written first: its size is known before the wide side would move
-    stats = materialize(national_by_month(stats_base if stats_base is not None else df, value, date), "national")
+    if stats is None:
+        stats = materialize(national_by_month(df, value, date), "national")
     j = df.join(stats, [date], "left")
     return j.withColumns({
         "ValueVsNational": safe_div(F.col(value), F.col("National_mean")),
@@ -88,14 +88,15 @@ def market_panel(home: DataFrame, rent: DataFrame | None = None, inventory: Data
     instead of a second copy of the joined plan. Pass False for a rent table
     with repeated keys: the statistics then see the duplicated rows, as in the
     reference's merge."""
-    df = home
-    if rent is not None:
-        df = join_rent(df, rent)
-    if inventory is not None and "StateName" in inventory.columns:
-        df = join_state_volume(df, inventory, "Inventory")
-    if sales is not None and "StateName" in sales.columns:
-        df = join_state_volume(df, sales, "Sales")
-    if "State_Inventory_Total" in df.columns and "State_Sales_Total" in df.columns:
+    # the small sides do not need each other: they are written at the same time
+    volumes = {label: side for label, side in (("Inventory", inventory), ("Sales", sales)) if side is not None and "StateName" in side.columns}
+    jobs = [lambda side=side, label=label: materialize(state_month_volume(side, label), "volume") for label, side in volumes.items()]
+    if rent is None or rent_unique:
+        jobs.append(lambda: materialize(national_by_month(home.select("Date", "Value")), "national"))
+    written = together(*jobs)
+    df = home if rent is None else join_rent(home, rent)
+    for table in written[:len(volumes)]:
+        df = df.join(table, ["StateName", "Date"], "left")
+    if len(volumes) == 2:
         df = with_market_velocity(df)
-    base = home.select("Date", "Value") if (rent is None or rent_unique) else None
-    return join_national(df, stats_base=base)
+    return join_national(df, stats=written[-1] if len(written) > len(volumes) else None)

@@ -17,7 +17,7 @@ from hearth.operators import market as mk
 from hearth.operators import targets as tg
 from hearth.operators import temporal as tm
 from hearth.schema import LONG_SCHEMA
-from hearth.session import materialize
+from hearth.session import materialize, together
 from hearth.sources import panels as P
 
 MARKET_COLUMNS = ["Rent", "PriceToRentRatio", "RentAffordabilityRatio", "PriceRentSpread", "State_Inventory_Mean",
@@ -36,9 +36,10 @@ def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts table -- one lineitem pass instead of three, and the home rows feed
     both the joined panel and the national statistics without a recomputation.
     Sales needs distinct orders per nation and month and reads lineitem itself."""
-    facts = materialize(P.supplier_month_facts(spark, sf_dir))
+    facts, sales = together(lambda: materialize(P.supplier_month_facts(spark, sf_dir), "facts"),
+                            lambda: materialize(P.sales_panel(spark, sf_dir), "sales"))
     return mk.market_panel(P.home_from_facts(facts, spark, sf_dir), P.rent_from_facts(facts, spark, sf_dir),
-                           P.inventory_from_facts(facts, spark, sf_dir), P.sales_panel(spark, sf_dir))
+                           P.inventory_from_facts(facts, spark, sf_dir), sales)
 
 
 def build_features(market: DataFrame, with_clusters: bool = True, cluster_k: int = geo.CLUSTER_K,

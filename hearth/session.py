@@ -6,7 +6,10 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from typing import Any
 
 from pyspark.sql import SparkSession
 
@@ -102,6 +105,14 @@ def scratch(spark: SparkSession):
             remove(spark, path)
 
 
+def together(*jobs: Callable[[], Any]) -> list:
+    """Runs jobs that do not need each other's results at the same time, from a few threads, and gives
+    their results in order; while one table's last tasks run, the others' use the free cores. The
+    first error is raised once all have ended."""
+    with ThreadPoolExecutor(max_workers=min(4, max(1, len(jobs)))) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 def materialize(df, name: str = "table"):
     """Write ``df`` as a Parquet table under the shared checkpoint folder and read
     it back: the lineage is cut (a lost executor re-reads files instead of
