@@ -95,3 +95,12 @@ def test_shared_folder_is_required_on_a_cluster():
                            conf=SimpleNamespace(get=lambda k, d: d))
     with pytest.raises(RuntimeError):
         checkpoint_root(fake)
+
+
+def test_jobs_together_keep_their_order_and_raise():
+    import time
+    import pytest
+    from hearth.session import together
+    assert together(lambda: time.sleep(0.2) or 1, lambda: 2, lambda: 3) == [1, 2, 3] and together() == []
+    with pytest.raises(ZeroDivisionError):
+        together(lambda: 1, lambda: 1 / 0)
