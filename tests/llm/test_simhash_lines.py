@@ -163,6 +163,38 @@ def test_filters_never_miss_a_repeat():
     assert line_dedup.holds(f.twice, line_dedup.probes(second, f.bits)).mean() < 0.2
 
 
+def test_folded_filters_follow_the_repeats(spark):
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 64, 400_000, np.uint64, endpoint=False)
+    often, seldom = hashes[:2000], hashes[2000:]
+    rows = spark.createDataFrame([(int(h) - (1 << 63),) for h in np.concatenate([seldom, often, often])], "h long").repartition(7)
+    packed = line_dedup.packed_hashes(rows, lambda cols: (np.array(cols["h"], np.int64).astype(np.uint64) + np.uint64(1 << 63)))
+    assert packed.agg(F.sum("n")).first()[0] <= 404_000
+    filters = line_dedup.seen_twice(packed)
+    assert filters.holds(often).all()
+    assert filters.holds(seldom).mean() < 0.1
+    # sized by what was seen twice, not by all lines
+    assert 8 * len(filters.packed) < len(hashes) * line_dedup.BITS_PER_LINE / 4
+    # folded to a limit, a filter lets more through and misses nothing
+    small = line_dedup.seen_twice(packed, max_log2_bits=12)
+    assert len(small.packed) <= len(filters.packed) and small.holds(often).all()
+
+
+def test_lines_of_rows_without_ids_and_repeated_ids(spark):
+    line = ["a line of some forty code points, number %d, is here" % i for i in range(6)]
+    rows = [(None, "\n".join(line[:3] + ["own %d" % i])) for i in range(40)]
+    rows += [(7, "\n".join(line)), (7, "\n".join(line)), (7, line[0])] + [(i, line[0] + "\n" + line[i]) for i in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_lines(table.collect())
+    assert Counter(map(tuple, line_dedup.digest(table).collect())) == want
+    assert all(k[2] == 1 for k in want if k[0] is None)
+
+
+def test_texts_that_lose_no_line_do_not_move(spark, whole):
+    branches = line_dedup.digest(whole)._jdf.queryExecution().optimizedPlan().children()
+    assert "Join" not in branches.apply(0).toString() and "Join" in branches.apply(1).toString()
+
+
 def test_lines_empty_and_text(empty, edge):
     assert line_dedup.digest(empty).count() == 0
     texts = {r.doc_id: r.text for r in line_dedup.dedup(edge).collect()}
