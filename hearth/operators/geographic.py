@@ -141,8 +141,9 @@ def _simple_stats(df: DataFrame, key: str, prefix: str) -> DataFrame:
         F.count(v).cast("double").alias(f"{prefix}count"))
 
 
-def geographic_features(df: DataFrame, with_clusters: bool = True, cluster_k: int = CLUSTER_K) -> DataFrame:
-    """The reference's ``create_geographic_features``.
+def geographic_features(df: DataFrame, with_clusters: bool = True, cluster_k: int = CLUSTER_K, onto: DataFrame | None = None) -> DataFrame:
+    """The reference's ``create_geographic_features``; ``onto`` may name some of the rows of ``df``
+    (with further columns), which then alone get the statistics of all of them.
 
     Every statistics and rank table is derived from the same input rows and written
     before it is joined: their sizes are then known, so the planner broadcasts the
@@ -169,7 +170,7 @@ def geographic_features(df: DataFrame, with_clusters: bool = True, cluster_k: in
     if with_clusters:
         jobs.append(lambda: materialize(geo_clusters(df, k=cluster_k), "clusters"))
         keys.append(["RegionName"])
-    out = df
+    out = df if onto is None else onto
     for table, key in zip(together(*jobs), keys):
         out = out.join(table, key, "left")
     if with_clusters:

@@ -27,6 +27,11 @@ class TemporalParams:
     trends: tuple[int, ...] = (6, 12, 24)
     trend_min_rows: int = 3
 
+    @property
+    def reach(self) -> int:
+        """Rows that a row's features look at, itself included."""
+        return max(*(n + 1 for n in self.lags + self.changes), *self.windows, *self.trends)
+
 
 DEFAULT = TemporalParams()
 
@@ -91,6 +96,12 @@ def window_columns(value: str = "Value", region: str = "RegionName", date: str =
     return cols
 
 
+def recent_rows(df: DataFrame, region: str = "RegionName", date: str = "Date", rows: int = DEFAULT.reach) -> DataFrame:
+    """The last ``rows`` rows of each region; Spark drops most others before they are shuffled."""
+    back = Window.partitionBy(region).orderBy(F.col(date).desc())
+    return df.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= rows).drop("_back")
+
+
 def derived_columns(value: str = "Value") -> dict[str, Column]:
     """PRJ-8/9 from the rolling columns."""
     c = lambda s: F.col(f"{value}_{s}")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hearth.operators import geographic as geo
 from hearth.operators import market as mk
+from hearth.operators import scoring as sc
 from hearth.operators import targets as tg
 from hearth.operators import temporal as tm
 from hearth.schema import LONG_SCHEMA
@@ -62,5 +63,17 @@ def build_features(market: DataFrame, with_clusters: bool = True, cluster_k: int
     return t.select(*[c for c in FEATURE_TABLE_COLUMNS if with_clusters or c != "GeographicCluster"])
 
 
+def latest_features(market: DataFrame, as_of: str) -> DataFrame:
+    """SCR-6: each region's last feature row of the day ``as_of`` or earlier, without targets and clusters:
+    the same values as that row of ``build_features``. The windows run over the rows that it looks at,
+    the statistics and ranks over the whole panel, and they meet one row a region."""
+    market = materialize(market, "market")
+    recent = tm.recent_rows(market.where(F.col("Date") <= F.lit(as_of).cast("date")))
+    bounds = (market.select(F.min("Date")).scalar(), market.select(F.max("Date")).scalar())
+    last = materialize(sc.latest_region_rows(tm.temporal_features(recent, bounds=bounds)), "latest")
+    out = geo.geographic_features(market, with_clusters=False, onto=last)
+    return out.select(*[c for c in FEATURE_TABLE_COLUMNS if c != "GeographicCluster" and c not in TARGET_COLUMNS])
+
+
 def feature_table(spark: SparkSession, sf_dir: str, with_clusters: bool = True, cluster_k: int = geo.CLUSTER_K) -> DataFrame:
     return build_features(market_panel(spark, sf_dir), with_clusters, cluster_k)

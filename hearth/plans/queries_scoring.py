@@ -237,8 +237,8 @@ _ACTUAL = [c for c in CHECKED if c not in CATEGORICAL and c not in dict(_DATE_SQ
           + f" FROM {_VALID_SQL} LEFT JOIN (SELECT RegionName, {', '.join(_ACTUAL)} FROM latest) l ON v.region = l.RegionName")
 def request_actual_features(spark, sf):
     """SCR-6: the matched region's whole latest feature row, as of the scoring day, overrides the defaults."""
-    from hearth.plans.features import feature_table
-    latest = sc.latest_region_rows(feature_table(spark, sf, with_clusters=False), as_of=AS_OF)
+    from hearth.plans.features import latest_features, market_panel
+    latest = latest_features(market_panel(spark, sf), AS_OF)
     lk = latest.select(F.col("RegionName").alias("_region"), *[F.col(c).alias(f"_a_{c}") for c in _ACTUAL])
     lk = materialize(lk, "latest-features")  # a row per region: its size is known to the join
     v = _validated(spark, sf).where("valid").withColumn("_region", sc.region_key())

@@ -58,3 +58,30 @@ def test_differential_vs_pandas(spark):
     }
     for name, e in exp.items():
         assert np.allclose(got[name].astype(float), e.astype(float), equal_nan=True, rtol=1e-9), name
+
+
+def test_reach_covers_every_feature():
+    assert tm.DEFAULT.reach == 37
+    assert tm.TemporalParams(lags=(1,), windows=(3,), changes=(2,), trends=(50,)).reach == 50
+
+
+def test_recent_rows(spark):
+    rows = [(r, dt.date(2000 + i // 12, i % 12 + 1, 1), float(i)) for r, n in (("a", 50), ("b", 3)) for i in range(n)]
+    got = tm.recent_rows(_panel(spark, rows), rows=10).collect()
+    assert sorted((r.RegionName, r.Value) for r in got) == [("a", float(i)) for i in range(40, 50)] + [("b", float(i)) for i in range(3)]
+    assert tm.recent_rows(_panel(spark, [])).count() == 0
+
+
+def test_latest_features_are_the_last_row_of_the_feature_table(spark):
+    from hearth.operators import scoring as sc
+    from hearth.plans import features as ft
+
+    sf = "/root/testdata/sf0.001"
+    for as_of in ("1995-02-10", "1999-06-15", "2030-01-01"):
+        got = {r.RegionName: r for r in ft.latest_features(ft.market_panel(spark, sf), as_of).collect()}
+        want = {r.RegionName: r for r in sc.latest_region_rows(ft.feature_table(spark, sf, with_clusters=False), as_of=as_of).collect()}
+        assert got.keys() == want.keys() and len(got) == 10
+        for region, row in got.items():
+            for name, v in row.asDict().items():
+                w = want[region][name]
+                assert v == w or (isinstance(v, float) and isinstance(w, float) and np.isclose(v, w, rtol=1e-9, atol=1e-9)), (as_of, region, name, v, w)
