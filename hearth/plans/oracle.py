@@ -215,3 +215,16 @@ geo AS (
 
 GEO_COLS = ["State_mean", "State_median", "State_std", "State_count", "Metro_mean", "Metro_median", "Metro_std",
             "Metro_count", "StateRank", "ValueRankInState"]
+
+
+# --- calendar ---------------------------------------------------------------------------
+
+ERA_SQL = ("CASE WHEN Date < DATE '2008-01-01' THEN 'pre_crisis' WHEN Date < DATE '2012-01-01' THEN 'crisis_recovery' "
+           "WHEN Date < DATE '2020-01-01' THEN 'post_crisis' WHEN Date < DATE '2022-01-01' THEN 'covid_boom' "
+           "ELSE 'post_covid' END")
+
+
+def months_since_sql(table: str) -> str:
+    """PRJ-3 over the dates of a table."""
+    return (f"CAST(round(datediff('day', (SELECT min(Date) FROM {table}), Date) / 30.44) AS DOUBLE) AS MonthsSinceStart, "
+            f"CAST(round(datediff('day', Date, (SELECT max(Date) FROM {table})) / 30.44) AS DOUBLE) AS MonthsSinceLatest")

@@ -120,20 +120,12 @@ def cyclical_encoding(spark, sf):
 
 
 @register("months_since", O.with_panels(
-    f"SELECT {KEY_SQL}, "
-    "CAST(round(datediff('day', (SELECT min(Date) FROM home), Date) / 30.44) AS DOUBLE) AS MonthsSinceStart, "
-    "CAST(round(datediff('day', Date, (SELECT max(Date) FROM home)) / 30.44) AS DOUBLE) AS MonthsSinceLatest "
-    "FROM home", "home"))
+    f"SELECT {KEY_SQL}, {O.months_since_sql('home')} FROM home", "home"))
 def months_since(spark, sf):
     return _sel(tm.with_months_since(_home(spark, sf)), ["MonthsSinceStart", "MonthsSinceLatest"])
 
 
-_ERA_SQL = ("CASE WHEN Date < DATE '2008-01-01' THEN 'pre_crisis' WHEN Date < DATE '2012-01-01' THEN 'crisis_recovery' "
-            "WHEN Date < DATE '2020-01-01' THEN 'post_crisis' WHEN Date < DATE '2022-01-01' THEN 'covid_boom' "
-            "ELSE 'post_covid' END")
-
-
-@register("market_era", O.with_panels(f"SELECT {KEY_SQL}, {_ERA_SQL} AS MarketEra FROM home", "home"))
+@register("market_era", O.with_panels(f"SELECT {KEY_SQL}, {O.ERA_SQL} AS MarketEra FROM home", "home"))
 def market_era(spark, sf):
     return _sel(tm.with_market_era(_home(spark, sf)), ["MarketEra"])
 

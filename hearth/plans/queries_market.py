@@ -65,7 +65,7 @@ def state_month_volume(spark, sf):
     "SELECT Date, " + O.rnd("avg(Value)") + " AS National_mean, " + O.rnd("median(Value)") + " AS National_median, "
     + O.rnd("stddev_samp(Value)") + " AS National_std FROM home GROUP BY Date", "home"))
 def national_by_month(spark, sf):
-    return mk.national_by_month(materialize(P.home_panel(spark, sf)))
+    return mk.national_by_month(materialize(P.home_panel(spark, sf).select("Date", "Value")))
 
 
 def _stats_sql(key, p):
@@ -77,13 +77,13 @@ def _stats_sql(key, p):
 
 @register("state_stats", _stats_sql("StateName", "State"))
 def state_stats(spark, sf):
-    return geo.state_stats(materialize(P.home_panel(spark, sf)), "StateName", prefix="State_").withColumn(
+    return geo.state_stats(materialize(P.home_panel(spark, sf).select("StateName", "Value")), "StateName", prefix="State_").withColumn(
         "State_count", F.col("State_count").cast("double"))
 
 
 @register("metro_stats", _stats_sql("Metro", "Metro"))
 def metro_stats(spark, sf):
-    return geo.state_stats(materialize(P.home_panel(spark, sf)), "Metro", prefix="Metro_").withColumn(
+    return geo.state_stats(materialize(P.home_panel(spark, sf).select("Metro", "Value")), "Metro", prefix="Metro_").withColumn(
         "Metro_count", F.col("Metro_count").cast("double"))
 
 
@@ -132,11 +132,7 @@ def _calendar_sql():
             "CAST(weekofyear(Date) AS INTEGER) AS WeekOfYear, "
             "sin(2 * pi() * month(Date) / 12.0) AS Month_sin, cos(2 * pi() * month(Date) / 12.0) AS Month_cos, "
             "sin(2 * pi() * quarter(Date) / 4.0) AS Quarter_sin, cos(2 * pi() * quarter(Date) / 4.0) AS Quarter_cos, "
-            "CAST(round(datediff('day', (SELECT min(Date) FROM geo), Date) / 30.44) AS DOUBLE) AS MonthsSinceStart, "
-            "CAST(round(datediff('day', Date, (SELECT max(Date) FROM geo)) / 30.44) AS DOUBLE) AS MonthsSinceLatest, "
-            "CASE WHEN Date < DATE '2008-01-01' THEN 'pre_crisis' WHEN Date < DATE '2012-01-01' THEN 'crisis_recovery' "
-            "WHEN Date < DATE '2020-01-01' THEN 'post_crisis' WHEN Date < DATE '2022-01-01' THEN 'covid_boom' "
-            "ELSE 'post_covid' END AS MarketEra")
+            f"{O.months_since_sql('geo')}, {O.ERA_SQL} AS MarketEra")
 
 
 def feature_table_sql(where: str = "", rounded: bool = True) -> str:

@@ -46,23 +46,41 @@ def _supplier_panel(agg: DataFrame, spark: SparkSession, sf_dir: str, dataset: s
     return _supplier_rows(agg.join(sg, agg.l_suppkey == sg.s_suppkey), dataset)
 
 
+def _cents() -> list[F.Column]:
+    """What the home value is made of: integer cents and lines."""
+    return [F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("_cents"), F.count(F.lit(1)).alias("_n")]
+
+
+def _home_value() -> F.Column:
+    """Mean price from integer cents: one correctly rounded division."""
+    return F.col("_cents").cast("double") / (F.lit(100.0) * F.col("_n").cast("double"))
+
+
+def _unit_prices() -> list[F.Column]:
+    """What the rent value is made of: the unit prices' sum and count."""
+    unit = F.try_divide("l_extendedprice", "l_quantity")
+    return [F.sum(unit).alias("_unit_sum"), F.count(unit).alias("_unit_n")]
+
+
+def _rent_value() -> F.Column:
+    """Mean unit price / 12."""
+    return F.try_divide(F.col("_unit_sum"), F.col("_unit_n").cast("double")) / F.lit(12.0)
+
+
 def home_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier x month, Value = mean extended price, computed in integer cents so
     the mean is one correctly rounded division (bit-identical across engines)."""
     li = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_extendedprice"])
-    agg = li.groupBy("l_suppkey", _month("l_shipdate").alias("Date")).agg(
-        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("_cents"),
-        F.count(F.lit(1)).alias("_n"),
-    ).select("l_suppkey", "Date",
-             (F.col("_cents").cast("double") / (F.lit(100.0) * F.col("_n").cast("double"))).alias("Value"))
+    agg = li.groupBy("l_suppkey", _month("l_shipdate").alias("Date")).agg(*_cents()).select(
+        "l_suppkey", "Date", _home_value().alias("Value"))
     return _supplier_panel(agg, spark, sf_dir, "home")
 
 
 def rent_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier x month, Value = mean unit price / 12."""
     li = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"])
-    agg = li.groupBy("l_suppkey", _month("l_shipdate").alias("Date")).agg(
-        (F.avg(F.try_divide("l_extendedprice", "l_quantity")) / F.lit(12.0)).alias("Value"))
+    agg = li.groupBy("l_suppkey", _month("l_shipdate").alias("Date")).agg(*_unit_prices()).select(
+        "l_suppkey", "Date", _rent_value().alias("Value"))
     return _supplier_panel(agg, spark, sf_dir, "rent")
 
 
@@ -201,28 +219,17 @@ def supplier_month_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     count from the rent start on (rent), and the quantity sum (inventory), joined
     to the supplier's geography once."""
     li = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"])
-    unit = F.try_divide("l_extendedprice", "l_quantity")
-    agg = li.groupBy("l_suppkey", _month("l_shipdate").alias("Date")).agg(
-        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("_cents"),
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(unit).alias("_unit_sum"),
-        F.count(unit).alias("_unit_n"),
-        F.sum("l_quantity").alias("_q"),
-    )
+    agg = li.groupBy("l_suppkey", _month("l_shipdate").alias("Date")).agg(*_cents(), *_unit_prices(), F.sum("l_quantity").alias("_q"))
     sg = _supplier_geo(spark, sf_dir)
     return agg.join(sg, agg.l_suppkey == sg.s_suppkey).drop("l_suppkey")
 
 
 def home_from_facts(facts: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts.withColumn("Value", F.col("_cents").cast("double") / (F.lit(100.0) * F.col("_n").cast("double")))
-    return _supplier_rows(f, "home")
+    return _supplier_rows(facts.withColumn("Value", _home_value()), "home")
 
 
 def rent_from_facts(facts: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Same as ``rent_panel``: avg = sum / count of the unit prices, then / 12."""
-    f = facts.withColumn(
-        "Value", F.try_divide(F.col("_unit_sum"), F.col("_unit_n").cast("double")) / F.lit(12.0))
-    return _supplier_rows(f, "rent")
+    return _supplier_rows(facts.withColumn("Value", _rent_value()), "rent")
 
 
 def inventory_from_facts(facts: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
