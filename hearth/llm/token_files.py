@@ -31,7 +31,7 @@ import unicodedata
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -49,7 +49,8 @@ MOST_SHARDS = 1 << 20
 SEEK_MAGIC = 0x8F92EAB1
 SKIP_SEEK = 0x184D2A5E
 SKIP_DIRECTORY = 0x184D2A5D
-MEMO_WORDS = 240_000
+MEMO_WORDS = 480_000
+MEMO_LENGTH = 64
 
 # --- encoding ----------------------------------------------------------------
 
@@ -65,6 +66,28 @@ def _byte_symbols() -> list[str]:
 BYTE_SYMBOLS = _byte_symbols()
 
 
+class Memo(dict):
+    """Ids of strings, made where they are not known, ``most`` at most. The entries are two halves: a
+    full younger one takes the place of the older one, and what is used again moves to the younger
+    one, so frequent strings stay. Strings over ``MEMO_LENGTH`` are not kept."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.half, self.older = make, max(1, most // 2), {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+            if len(key) > MEMO_LENGTH:
+                return got
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class Encoder:
     """Exact ids of the tokenizers library, with a bounded memo of blank-parted chunks.
 
@@ -73,7 +96,7 @@ class Encoder:
     Latin letters are split by the file's own pattern and go to the library's model piece
     by piece, as byte symbols; other chunks go through the whole library; texts in which
     chunking could differ (special token strings, not in NFC, control blanks, capital
-    sigma) are encoded whole.
+    sigma) are encoded whole. A piece's ids are those of the chunk that it would be alone.
     """
 
     #: U+00C0 to U+024F are letters but for the two signs.
@@ -89,14 +112,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.tokenize = self.library.model.tokenize
         with open(path) as f:
             made = json.load(f)
         self.width = 2 if max(made["model"]["vocab"].values()) < 1 << 16 else 4
         kinds = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])]
         self.chunked = kinds == ["NFC", "Replace", "Lowercase"] and "'s|'t|'re" in json.dumps(made.get("pre_tokenizer"))
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.most = memo_words
+        self.chunks = Memo(self._chunk, memo_words)
 
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
@@ -104,23 +126,21 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return self._pack(self.library.encode(text, add_special_tokens=False).ids)
 
+    def _piece(self, symbols: str) -> bytes:
+        return self._pack([t.id for t in self.tokenize(symbols)])
+
     def _chunk(self, chunk: str) -> bytes:
-        if not self._PLAIN.fullmatch(chunk):
+        plain = chunk.isascii()
+        if plain and chunk.isalpha():
+            return self._piece(chunk)
+        if plain and chunk[:-1].isalpha():  # letters and one other sign are two pieces
+            return self.chunks[chunk[:-1]] + self.chunks[chunk[-1]]
+        if not plain and not self._PLAIN.fullmatch(chunk):
             return self._whole(chunk)
-        out = []
-        for piece in self._PIECES.findall(chunk):
-            got = self.chunks.get(piece)  # a piece that stood alone is known as a chunk
-            if got is None:
-                got = self.pieces.get(piece)
-            if got is None:
-                symbols = piece if piece.isalnum() and piece.isascii() else "".join([BYTE_SYMBOLS[b] for b in piece.encode()])
-                got = self._pack([t.id for t in self.library.model.tokenize(symbols)])
-                if piece != chunk:
-                    if len(self.pieces) >= self.most:
-                        self.pieces.clear()
-                    self.pieces[piece] = got
-            out.append(got)
-        return b"".join(out)
+        pieces = self._PIECES.findall(chunk)
+        if len(pieces) > 1:
+            return b"".join([self.chunks[p] for p in pieces])
+        return b"".join([self._piece("".join([BYTE_SYMBOLS[b] for b in p.encode()])) for p in pieces])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, packed; without the end id."""
@@ -128,21 +148,7 @@ class Encoder:
             return b""
         if not self.chunked or self._ODD.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return self._whole(text)
-        chunks = text.lower().split()
-        known = self.chunks
-        got = list(map(known.get, chunks))
-        if None in got:
-            if len(known) + len(chunks) > self.most:
-                known.clear()
-            new: dict[str, bytes] = {}
-            for i, g in enumerate(got):
-                if g is None:
-                    c = chunks[i]
-                    if c not in new:
-                        new[c] = self._chunk(c)
-                    got[i] = new[c]
-            known.update(new)
-        return b"".join(got)
+        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
 
 _ENCODERS: dict[str, Encoder] = {}

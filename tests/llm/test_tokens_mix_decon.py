@@ -34,6 +34,26 @@ def test_encoder_equals_the_library(library, whole):
         assert np.frombuffer(enc.encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_memo_is_bounded_by_entries_and_by_length(library):
+    enc = token_files.Encoder(PATH, memo_words=100)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 5))) for _ in range(3000)]
+    long = ["日本" * 5000, "q" * 70_000, "a1b2" * 9000, "word" * 40 + ","]
+    for _ in range(2):
+        for text in (" ".join(words), "the common word; " * 500, *long):
+            assert np.frombuffer(enc.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+            assert len(enc.chunks) <= 50 and len(enc.chunks.older) <= 50
+            assert all(len(w) <= token_files.MEMO_LENGTH for w in (*enc.chunks, *enc.chunks.older))
+
+
+def test_memo_keeps_what_is_used_again():
+    made = []
+    memo = token_files.Memo(lambda w: made.append(w) or w.encode(), 10)
+    for k in range(100):
+        assert memo["often"] == b"often" and memo[str(k)] == str(k).encode()
+    assert made.count("often") == 1 and len(made) == 101
+
+
 def test_round_trip_of_a_table(library, whole):
     rows = whole.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
     rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
