@@ -46,3 +46,18 @@ def test_positions_keep_null_and_repeated_keys(spark):
     assert sorted((r["x"] for r in out)) == [1, 1, 2, 3, 4]
     by = {r["x"]: r["position"] for r in out}
     assert by[4] == 0 and by[3] == 4
+
+
+def test_labels_by_cut_are_those_of_the_positions(spark):
+    rows = [(d, r, x) for d in (None, 1, 2, 3, 4, 5, 6) for r, x in ((None, 1), ("a", 2), ("a", 3), ("b", 4), ("c", 5))]
+    for own in (rows, rows[5:12], rows[:1], [], [(1, "a", 1)] * 9, [*rows, *rows]):  # the last two: cuts between equal rows
+        df = spark.createDataFrame(own, "Date int, RegionName string, x int")
+        for sizes in ((0.2, 0.15), (0.37, 0.4), (0.0, 0.0)):
+            want = sorted(map(repr, tr.ordered_split(df, *sizes).select("Date", "RegionName", "x", "split").collect()))
+            assert sorted(map(repr, tr.split_labels(df, *sizes).select("Date", "RegionName", "x", "split").collect())) == want
+
+
+def test_split_labels_move_no_rows(spark):
+    df = spark.range(100).select(F.col("id").alias("Date"), F.col("id").cast("string").alias("RegionName"), F.lit("wide").alias("x"))
+    plan = tr.split_labels(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
