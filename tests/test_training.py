@@ -61,3 +61,9 @@ def test_split_labels_move_no_rows(spark):
     df = spark.range(100).select(F.col("id").alias("Date"), F.col("id").cast("string").alias("RegionName"), F.lit("wide").alias("x"))
     plan = tr.split_labels(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_scaler_statistics_name_every_feature(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
+    assert [tuple(r) for r in tr.scaler_statistics(df, ["b", "a"]).collect()] == [("b", 0.0, 1.0), ("a", 2.0, 1.0)]
+    assert [tuple(r) for r in tr.scaler_statistics(df.limit(0), ["a", "b"]).collect()] == [("a", 0.0, 1.0), ("b", 0.0, 1.0)]
